@@ -53,3 +53,15 @@ def map_batches(df: DataFrame, columns: list[str], schema: str | T.StructType, m
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
+
+
+def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., object]]) -> DataFrame:
+    """The rows of ``df``, with all columns, for which ``make()(*lists of columns)`` is true; one call a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            got = keep(*[batch.column(batch.schema.names.index(c)).to_pylist() for c in columns])
+            yield batch.filter(pa.array([bool(x) for x in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -4,19 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import scratch, table
+from tessera.llm.common import scratch, stored, table
+from tessera.llm.compression_quality import quality
+from tessera.llm.packing import pack
+from tessera.llm.quality_rules import quality_rules
+from tessera.llm.sharding import shard_documents
 from tessera.llm.token_binary import read_tokens, write_tokens
 from tessera.llm.token_counts import token_counts
+from tessera.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_tokens(table(spark, sf_dir, "documents"), path := scratch(spark, "tokens"))
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_token_binary)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(stored(token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens"), "lengths"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op5_token_counts, op6_quality_rules, op7_token_binary, op9_sharding, op10_packing)}
 ORACLES: dict[str, str] = {}
