@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import scratch, stored, table
 from tessera.llm.compression_quality import quality
+from tessera.llm.hmm_lm import score_documents
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sharding import shard_documents
+from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_binary import read_tokens, write_tokens
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
@@ -22,6 +24,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,10 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -43,5 +53,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens"), "lengths"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op5_token_counts, op6_quality_rules, op7_token_binary, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_hmm_scoring, op5_token_counts, op6_quality_rules, op7_token_binary, op8_simhash, op9_sharding, op10_packing)}
 ORACLES: dict[str, str] = {}
