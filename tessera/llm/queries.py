@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import scratch, stored, table
 from tessera.llm.compression_quality import quality
+from tessera.llm.decontamination import decontaminate
 from tessera.llm.hmm_lm import score_documents
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
@@ -20,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,5 +58,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens"), "lengths"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_hmm_scoring, op5_token_counts, op6_quality_rules, op7_token_binary, op8_simhash, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_classifier, op4_hmm_scoring, op5_token_counts, op6_quality_rules, op7_token_binary, op8_simhash, op9_sharding, op10_packing)}
 ORACLES: dict[str, str] = {}
