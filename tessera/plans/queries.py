@@ -1,4 +1,7 @@
-"""Registered queries of the engine and the SQL that checks them."""
+"""All registered queries of the engine and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import text_queries  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "a05_obligation_histogram"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
