@@ -35,8 +35,8 @@ def text_contracts(spark: SparkSession, path: str) -> DataFrame:
 def json_rows(spark: SparkSession, path: str, schema: str, envelope: str) -> DataFrame:
     """Rows of JSON files that hold an array, or an object with the array under ``envelope``."""
     whole = spark.read.text(path, wholetext=True)
-    both = F.coalesce(F.from_json("value", f"array<struct<{schema}>>"), F.from_json("value", f"struct<{envelope}: array<struct<{schema}>>>")[envelope])
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{schema}>>")).otherwise(both)
+    inside = F.from_json("value", f"struct<{envelope}: array<struct<{schema}>>>")[envelope]
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{schema}>>")).otherwise(inside)
     return whole.select(F.explode(listed).alias("x")).select("x.*")
 
 
