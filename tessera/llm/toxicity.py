@@ -96,12 +96,12 @@ def _sketch(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) - (1 << 63)
 
 
-def learn_lexicon(sample: DataFrame, *, least_docs: int = 8, least_gain: float = 30.0, entries: int = 4000) -> Lexicon:
-    """Entries whose presence marks toxic documents of the sample's first half, by log-likelihood ratio; weights are log odds.
+def learn_lexicon(sample: DataFrame, *, least_docs: int = 5, least_gain: float = 24.0, entries: int = 4000) -> Lexicon:
+    """Entries whose presence marks toxic documents of the sample, by log-likelihood ratio; weights are log odds.
 
     Near copies count once (one of each sketch). A longer entry gives way to its better beginning, and the other way.
     """
-    sketch = map_batches(sample.where("half = 0"), ["text", "y"], "text string, y int, sketch long", lambda: lambda t, y: {"text": t, "y": y, "sketch": [_sketch(x) for x in t]})
+    sketch = map_batches(sample, ["text", "y"], "text string, y int, sketch long", lambda: lambda t, y: {"text": t, "y": y, "sketch": [_sketch(x) for x in t]})
     rows = sketch.dropDuplicates(["sketch"])
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -175,21 +175,27 @@ def _shape(got: list[tuple[float, int, int, int]]) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, lexicon: Lexicon | None = None) -> ToxicityModel:
     """Learn lexicon and calibration from at most ``2 * per_class`` labelled documents."""
     sample = labelled_sample(docs, labels, "toxic", per_class=per_class)
-    learned = learn_lexicon(sample)
-    if lexicon:
-        learned = Lexicon(learned.whole | lexicon.whole, learned.starts | lexicon.starts, tuple(dict.fromkeys(learned.exceptions + lexicon.exceptions)))
 
-    def make():
-        measure = learned.matcher()
+    def learned(part: DataFrame) -> Lexicon:
+        found = learn_lexicon(part)
+        return Lexicon(found.whole | lexicon.whole, found.starts | lexicon.starts, tuple(dict.fromkeys(found.exceptions + lexicon.exceptions))) if lexicon else found
 
-        def step(texts, ys):
-            got = [measure(t) for t in texts]
-            return {"s": [g[0] for g in got], "h": [g[1] for g in got], "d": [g[2] for g in got], "w": [g[3] for g in got], "y": ys}
+    # each half is measured with what the other half taught, so the calibration sees honest weights
+    rows = []
+    for half in (0, 1):
+        other = learned(sample.where(f"half = {1 - half}"))
 
-        return step
+        def make(other=other):
+            measure = other.matcher()
+
+            def step(texts, ys):
+                got = [measure(t) for t in texts]
+                return {"s": [g[0] for g in got], "h": [g[1] for g in got], "d": [g[2] for g in got], "w": [g[3] for g in got], "y": ys}
+
+            return step
 
-    rows = map_batches(sample.where("half = 1"), ["text", "y"], "s double, h int, d int, w int, y int", make).collect()  # numbers of the bounded sample
-    return ToxicityModel(learned, Logistic(_shape([r[:4] for r in rows]), np.array([r.y for r in rows])))
+        rows += map_batches(sample.where(f"half = {half}"), ["text", "y"], "s double, h int, d int, w int, y int", make).collect()  # numbers of the bounded sample
+    return ToxicityModel(learned(sample), Logistic(_shape([r[:4] for r in rows]), np.array([r.y for r in rows])))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
