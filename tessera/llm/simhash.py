@@ -1,25 +1,35 @@
 """SimHash near-dedup (8): 64-bit fingerprints, linked within a few bits by the generalised pigeonhole principle.
 
-Equal fingerprints are one row from the start. Bits that go together are grouped into ``PARTS`` partitions. If two fingerprints differ in at
-most ``reach`` bits, then for any thresholds t with sum ``reach - PARTS + 1`` some partition i differs in at most t[i] bits (-1: is not
-looked at). Each fingerprint takes the thresholds with the least estimated candidates, found by dynamic programming over the
-exact counts of the partitions' values, probes the neighbourhoods they name, and every candidate is verified.
+Equal fingerprints are one row from the start. Bits that go together are grouped into partitions. If two fingerprints differ in at
+most ``reach`` bits, then for any thresholds t with sum ``reach - partitions + 1`` some partition i differs in at most t[i] bits (-1: is
+not looked at). Each fingerprint takes the thresholds with the least estimated candidates, found by dynamic programming over
+the counts of the partitions' values, probes the neighbourhoods they name, and every candidate is verified. Components need no more
+than a spanning forest of the links, so a task gives on only those that join what it had not joined yet.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import map_batches, stored
 from tessera.llm.components import components
 
-PARTS, WIDTH = 4, 16
 SEED = 42
+#: Bits of a partition's value by which candidates are counted: the driver holds at most 4 x 65536 counts.
+COUNTED = 16
+
+
+def partitions_for(n: int) -> int:
+    """Fewer, wider partitions for more fingerprints, so that a value's share of them stays small."""
+    return 4 if n < 1 << 22 else 3 if n < 1 << 30 else 2
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -49,8 +59,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_batches(docs, ["doc_id", "text"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long", make)
 
 
-def bit_groups(fps: DataFrame) -> list[list[int]]:
-    """The 64 bits in groups of ``WIDTH``, correlated bits together: greedy from the pair that goes together most.
+def bit_groups(fps: DataFrame, parts: int = 4) -> list[list[int]]:
+    """The 64 bits in ``parts`` groups of about equal size, correlated bits together: greedy from the pair that goes together most.
 
     Needs the sums of bits and of products of bits over all rows: 65 x 64 numbers from each task.
     """
@@ -74,14 +84,12 @@ def bit_groups(fps: DataFrame) -> list[list[int]]:
     tie = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(tie, -1.0)
     left, groups = list(range(64)), []
-    while left:
-        if len(left) <= WIDTH:
-            groups.append(sorted(left))
-            break
+    for i in range(parts):
+        width = -(-len(left) // (parts - i))
         sub = tie[np.ix_(left, left)]
         a, b = np.unravel_index(int(sub.argmax()), sub.shape)
         group = [left[a], left[b]]
-        while len(group) < WIDTH:
+        while len(group) < width:
             rest = [x for x in left if x not in group]
             group.append(max(rest, key=lambda x: (tie[x, group].sum(), -x)))
         groups.append(sorted(group))
@@ -94,18 +102,18 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def _values(fps: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Each fingerprint's value in each partition: rows x PARTS."""
+    """Each fingerprint's value in each partition: rows x partitions."""
     u = fps.view(np.uint64)
     return np.stack([sum(((u >> np.uint64(b)) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(g)) for g in groups], 1).astype(np.int64)
 
 
 def ball_counts(counts: np.ndarray, radius: int) -> np.ndarray:
-    """``counts[v]`` by value -> rows 0..radius: how many rows have values within that many bits of v."""
-    at = np.arange(1 << WIDTH)
+    """``counts[v]`` by value of ``COUNTED`` bits -> rows 0..radius: how many rows have values within that many bits of v."""
+    at = np.arange(1 << COUNTED)
     exact = [counts.astype(np.float64)]
     for d in range(1, radius + 1):
-        around = sum(exact[d - 1][at ^ (1 << b)] for b in range(WIDTH))
-        exact.append((around - (WIDTH - d + 2) * exact[d - 2]) / d if d > 1 else around)
+        around = sum(exact[d - 1][at ^ (1 << b)] for b in range(COUNTED))
+        exact.append((around - (COUNTED - d + 2) * exact[d - 2]) / d if d > 1 else around)
     return np.cumsum(exact, 0)
 
 
@@ -130,47 +138,111 @@ def allocate(costs: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def links(distinct: DataFrame, reach: int = 3) -> DataFrame:
-    """(a, b), a < b, for all pairs of the distinct values ``fp`` that differ in at most ``reach`` bits."""
-    spark, groups = distinct.sparkSession, bit_groups(distinct)
+def _masks(width: int, radius: int) -> list[np.ndarray]:
+    return [np.array([sum(1 << b for b in c) for c in combinations(range(width), d)], np.int64) for d in range(radius + 1)]
+
+
+def links(distinct: DataFrame, reach: int = 3, *, parts: int | None = None, forest: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of the distinct values ``fp`` that differ in at most ``reach`` bits.
+
+    All of them, or with ``forest`` enough of them to connect whatever they connect.
+    """
+    spark, parts = distinct.sparkSession, parts or partitions_for(distinct.count())
+    groups = bit_groups(distinct, parts)
+    least = 1 << COUNTED
 
     def index():
         def step(values):
-            v = _values(np.array(values, np.int64), groups) if values else np.zeros((0, PARTS), np.int64)
-            return {"slot": (v + np.arange(PARTS) * (1 << WIDTH)).ravel().tolist(), "b": np.repeat(np.array(values, np.int64), PARTS)}
+            v = _values(np.array(values, np.int64), groups) if values else np.zeros((0, parts), np.int64)
+            return {"slot": (v + (np.arange(parts, dtype=np.int64) << 32)).ravel(), "fp": np.repeat(np.array(values, np.int64), parts)}
 
         return step
 
-    indexed = map_batches(distinct, ["fp"], "slot int, b long", index)
-    counts = np.zeros((PARTS, 1 << WIDTH))
-    for slot, n in zip(*indexed.groupBy("slot").agg(F.count("*").alias("n")).toPandas().to_numpy().T.tolist() or ((), ())):  # at most 4 * 65536 rows
-        counts[slot >> WIDTH, slot & ((1 << WIDTH) - 1)] = n
+    indexed = map_batches(distinct, ["fp"], "slot long, fp long", index)
+    low = (F.shiftright("slot", 32) * least + F.col("slot").bitwiseAND(least - 1)).cast("int")
+    counts = np.zeros((parts, least))
+    for slot, n in zip(*indexed.groupBy(low.alias("slot")).agg(F.count("*").alias("n")).toPandas().to_numpy().T.tolist() or ((), ())):  # at most parts x 65536 rows
+        counts[slot >> COUNTED, slot & (least - 1)] = n
     shared = spark.sparkContext.broadcast(counts)
 
     def probe():
-        # candidates within t bits, plus a little for every probe itself
-        masks = [np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), d)], np.int64) for d in range(reach + 1)]
-        ways = np.cumsum([len(m) for m in masks])
-        price = [np.vstack([np.zeros(1 << WIDTH), ball_counts(c, reach) + 0.25 * ways[:, None]]) for c in shared.value]
+        # the price of a threshold: its candidates, and a little for every probe itself; counts of a part of the value are spread over the rest
+        masks = [_masks(len(g), min(reach, len(g))) for g in groups]
+        price = []
+        for g, c in zip(groups, shared.value):
+            ways, counted = np.cumsum([comb(len(g), d) for d in range(reach + 1)]), np.cumsum([comb(COUNTED, d) for d in range(reach + 1)])
+            near = ball_counts(c, reach) * (ways / counted / 2.0 ** (len(g) - COUNTED))[:, None]
+            price.append(np.vstack([np.zeros(least), near + 0.25 * ways[:, None]]))
 
         def step(values):
             fps = np.array(values, np.int64)
-            v = _values(fps, groups) if values else np.zeros((0, PARTS), np.int64)
-            costs = np.stack([p[:, v[:, i]].T for i, p in enumerate(price)], 1) if values else np.zeros((0, PARTS, reach + 2))
+            v = _values(fps, groups) if values else np.zeros((0, parts), np.int64)
+            costs = np.stack([p[:, v[:, i] & (least - 1)].T for i, p in enumerate(price)], 1) if values else np.zeros((0, parts, reach + 2))
             t = allocate(costs, reach)
             slots, keys = [], []
-            for i in range(PARTS):
+            for i in range(parts):
                 for d in range(reach + 1):
                     rows = np.flatnonzero(t[:, i] >= d)
-                    slots.append((v[rows, i][:, None] ^ masks[d]).ravel() + i * (1 << WIDTH))
-                    keys.append(np.repeat(fps[rows], len(masks[d])))
-            return {"slot": np.concatenate(slots).astype(np.int32), "a": np.concatenate(keys)}
+                    slots.append((v[rows, i][:, None] ^ masks[i][d]).ravel() + (i << 32))
+                    keys.append(np.repeat(fps[rows], len(masks[i][d])))
+            return {"slot": np.concatenate(slots), "fp": np.concatenate(keys)}
 
         return step
 
-    probes = map_batches(distinct, ["fp"], "slot int, a long", probe)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
-    return probes.join(indexed, (probes.slot == indexed.slot) & near).select("a", "b").distinct()
+    probes = map_batches(distinct, ["fp"], "slot long, fp long", probe)
+    both = indexed.select("slot", "fp", F.lit(0).cast("byte").alias("kind")).unionByName(probes.select("slot", "fp", F.lit(1).cast("byte").alias("kind")))
+    out = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    found = both.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(_verify(reach, forest), out)
+    return found if forest else found.distinct()
+
+
+def _verify(reach: int, forest: bool):
+    """Over rows in order of slot, each slot's index rows before its probes: the pairs within ``reach`` bits.
+
+    Only the index rows of the slot at hand are kept from batch to batch; pairs are made and tested in blocks of bounded size.
+    """
+    block = 1 << 20
+
+    def run(batches):
+        slot_at, held, parent = None, np.zeros(0, np.int64), {}
+
+        def root(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = parent[p]
+                x = p
+            return x
+
+        def fresh(a, b):
+            for x, y in np.unique(np.stack([a, b], 1), axis=0).tolist():
+                if not forest:
+                    yield x, y
+                elif (p := root(x)) != (q := root(y)):
+                    parent[max(p, q)] = min(p, q)
+                    yield x, y
+
+        for batch in batches:
+            slot, fp, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(slot):
+                continue
+            if slot[0] == slot_at:  # the slot goes on: what it has kept stands before the batch
+                slot, fp, kind = np.concatenate([np.full(len(held), slot_at), slot]), np.concatenate([held, fp]), np.concatenate([np.zeros(len(held), kind.dtype), kind])
+            own = np.flatnonzero(kind == 0)
+            asks = np.flatnonzero(kind == 1)
+            lo, hi = (np.searchsorted(slot[own], slot[asks], side=s) for s in ("left", "right"))
+            n, pairs = hi - lo, []
+            ends = np.cumsum(n)
+            for at in range(0, int(ends[-1]) if len(ends) else 0, block):
+                k = np.arange(at, min(at + block, int(ends[-1])))
+                q = np.searchsorted(ends, k, side="right")
+                a, b = fp[asks[q]], fp[own[lo[q] + k - (ends[q] - n[q])]]
+                ok = (a < b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= reach)
+                pairs += fresh(a[ok], b[ok])
+            slot_at = slot[-1]
+            held = fp[own[slot[own] == slot_at]]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> DataFrame:
@@ -181,7 +253,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> Dat
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(links(classes.select("fp"), reach)).withColumnRenamed("node", "fp")
+    found = components(links(classes.select("fp"), reach, forest=True)).withColumnRenamed("node", "fp")
     rooted = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")

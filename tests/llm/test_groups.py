@@ -45,11 +45,15 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("reach", [1, 3])
-def test_links_are_all_found(spark, planted, reach):
-    df = spark.createDataFrame([(signed(x),) for x in planted], "fp long")
+@pytest.mark.parametrize("reach, parts", [(1, None), (3, None), (3, 3), (3, 2), (6, 4)])
+def test_links_are_all_found(spark, planted, reach, parts):
+    df = spark.createDataFrame([(signed(x),) for x in planted], "fp long").repartition(3)
     want = {tuple(sorted((signed(a), signed(b)))) for a, b in combinations(planted, 2) if (a ^ b).bit_count() <= reach}
-    assert {tuple(r) for r in simhash.links(df, reach).collect()} == want
+    assert {tuple(r) for r in simhash.links(df, reach, parts=parts).collect()} == want
+    some = simhash.links(df, reach, parts=parts, forest=True)
+    assert {tuple(r) for r in some.collect()} <= want
+    roots = [{r.node: r.root for r in components(x).collect()} for x in (some, spark.createDataFrame(sorted(want), "a long, b long"))]
+    assert roots[0] == roots[1]
 
 
 def test_allocation_is_optimal():

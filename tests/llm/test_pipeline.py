@@ -18,7 +18,7 @@ def test_stages(spark):
     want = {
         "toxicity": lambda d: before - {r.doc_id for r in toxicity(d, labels).where("predicted = 1").collect()},
         "quality_rules": lambda d: {r.doc_id for r in quality_rules(d, labels).where("kept").collect()},
-        "near_dedup": lambda d: {r.component_id for r in near_duplicates(d).collect()},
+        "near_dedup": lambda d: {r.component_id for r in near_duplicates(d, reach=6).collect()},
         "decontamination": lambda d: before - {r.doc_id for r in decontaminate(d, table(spark, DATA, "benchmark")).where("contaminated").collect()},
     }
     for name, stage in P.STAGES[:-1]:
