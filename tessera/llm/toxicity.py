@@ -31,7 +31,10 @@ EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "pond scum"
 _MARKS = re.compile("[̀-ͯ­​-‏⁠﻿]+")
 _TABLE = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(k): v for k, v in _DIGITS.items()}
 _WIDE_TABLE = _TABLE | {ord(k): _DIGITS.get(v, v) for k, v in _LOOKALIKES.items()} | {i: " " for i in (*range(0x2000, 0x2070), *range(0x3000, 0x3004), 0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF)}
-_SIGNS = re.compile(r"(?<=[a-z])@(?=[a-z])|@(?=[a-z]{2})|\$(?=[a-z])")
+# signs count as letters only next to letters: mail addresses and prices stay apart from words of junk
+_SIGNS = re.compile(r"(?<=[a-z])[@!|](?=[a-z])|(?<![^\s])[@!](?=[a-z])|\$(?=[a-z])")
+#: What signs stand for.
+_SIGN_LETTERS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 
 
 def fold(text: str | None) -> str:
@@ -39,8 +42,8 @@ def fold(text: str | None) -> str:
     t = (text or "").lower()
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    if "@" in t or "$" in t:
-        t = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", t)
+    if any(x in t for x in _SIGN_LETTERS):
+        t = _SIGNS.sub(lambda m: _SIGN_LETTERS[m[0]], t)
     return f" {t.translate(_TABLE if t.isascii() else _WIDE_TABLE)} "
 
 
