@@ -22,8 +22,8 @@ from tessera.llm.common import filter_rows, map_batches
 
 FEATURES = 1 << 15
 HOP, WINDOW = 16, 48
-#: Benchmark passages searched in one pass over the documents.
-BLOCK = 8192
+#: Benchmark items, and bytes of their texts, in one block of the query set.
+BLOCK, BLOCK_BYTES = 8192, 8 << 20
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -241,7 +241,8 @@ def _searches(docs: DataFrame, items: DataFrame, *, rank: int = 160, cosine: flo
     clean = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     idf = weights(*document_frequencies(docs))
     used, axes = latent_space(clean, idf, rank=rank)
-    blocks = max(1, -(-clean.count() // BLOCK))
+    size = clean.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // BLOCK), -(-size.b // BLOCK_BYTES))
     context, out = docs.sparkSession.sparkContext, []
     for b in range(blocks):
         rows = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()

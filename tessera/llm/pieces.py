@@ -7,6 +7,7 @@ sides, and each piece (with its space) encodes by itself. Every piece that a cac
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -15,15 +16,26 @@ from typing import Any
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?*$%&#"
-_SPECIAL = "<|endoftext|>"
+SPECIAL = "<|endoftext|>"
 #: Entries of a worker's cache; at this number the learned ones go and the broadcast ones stay.
 CACHE_ENTRIES = 600_000
 #: Longer pieces are encoded anew each time, so that the cache's bytes are bounded too.
 CACHE_CHARS = 48
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
+
+
 class Irregular(Exception):
     """A piece touches white space other than one space: the text needs the careful cut."""
 
@@ -41,10 +53,18 @@ class PieceTable(dict):
         self.frequent, self.value, self.join = frequent or {}, value, join
         self.tokenizer = Tokenizer.from_file(path)
         self.tails: dict[str, Any] = {}
+        made = json.loads(self.tokenizer.to_str())
+        # a word of plain letters is one pre-token; its bytes may go to the library's model without the steps around it
+        plain = made["normalizer"] is None and made["model"]["type"] == "BPE" and (made["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        self.model = self.tokenizer.model if plain else None
 
     def encode(self, text: str) -> Any:
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def encode_word(self, word: str) -> Any:
+        """The value of a space and a word of letters."""
+        return self.value([t.id for t in self.model.tokenize("".join([_BYTES[32], *map(_BYTES.__getitem__, word.encode())]))])
+
     def __missing__(self, piece: str) -> Any:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Irregular
@@ -57,7 +77,7 @@ class PieceTable(dict):
                     self.tails.clear()
                 self.tails[tail] = self.encode(tail)
             return self.join(self[core], self.tails[tail])
-        got = self.encode(" " + piece)
+        got = self.encode_word(piece) if self.model and _WORD.fullmatch(piece) else self.encode(" " + piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES + len(self.frequent):
                 self.clear()
@@ -69,7 +89,7 @@ class PieceTable(dict):
         """Values of the text's first piece and of the others, in order."""
         if not text:
             return self.value([]), []
-        if _SPECIAL in text:  # the library finds special strings before it splits
+        if SPECIAL in text:  # the library finds special strings before it splits
             return self.encode(text), []
         first, *rest = text.split(" ")
         try:

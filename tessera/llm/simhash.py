@@ -254,9 +254,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, reach: int = 3) -> Dat
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes.select("fp"), reach, forest=True)).withColumnRenamed("node", "fp")
-    rooted = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    rooted = stored(classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    sizes = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "sizes")
+    # a component may hold a third of all fingerprints: the few that large are looked up by broadcast, all others by a join
+    large = F.broadcast(sizes.where(F.col("n") > max(100, classes.count() // 200)).drop("n"))  # 200 rows at most
+    of = rooted.join(large, "root").unionByName(rooted.join(large, "root", "left_anti").join(sizes.drop("n"), "root")).select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

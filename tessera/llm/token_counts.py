@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches
-from tessera.llm.pieces import CACHE_CHARS, worker_table
+from tessera.llm.pieces import CACHE_CHARS, SPECIAL, PieceTable, worker_table
 
 
 def default_tokenizer() -> str:
@@ -22,20 +22,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def frequent_lengths(docs: DataFrame, path: str, *, text: str = "text", sample_docs: int = 2000, table_entries: int = 32_768) -> dict[str, int]:
-    """piece -> number of tokens, for the most frequent pieces of a bounded sample. Empty for an empty table."""
+def frequent_lengths(docs: DataFrame, path: str, *, text: str = "text", sample_docs: int = 2000, sample_chars: int = 4000, table_entries: int = 32_768) -> dict[str, int]:
+    """piece -> number of tokens, for the most frequent pieces of at most ``sample_docs`` times ``sample_chars`` characters.
 
-    def make():
-        def step(texts):
-            seen = Counter(p for t in texts for p in (t or "").split(" ")[1:])
-            table = worker_table("seed", path, len, add)
-            top = [p for p, n in seen.most_common(table_entries) if n > 1 and len(p) <= CACHE_CHARS and p and not p[0].isspace() and not p[-1].isspace()]
-            return {"piece": top, "n": [table[p] for p in top], "seen": [seen[p] for p in top]}
-
-        return step
-
-    found = map_batches(docs.select(text).limit(sample_docs), [text], "piece string, n int, seen long", make)
-    return {r.piece: r.n for r in found.orderBy(F.desc("seen"), "piece").limit(table_entries).collect()}
+    Only as many files are read as hold the sample. Empty for an empty table.
+    """
+    rows = docs.select(F.substring(text, 1, sample_chars).alias("t")).take(sample_docs)
+    seen = Counter(p for r in rows for p in (r.t or "").split(" ")[1:-1])
+    table = PieceTable(path, len, add)
+    top = [p for p, n in seen.most_common(table_entries) if n > 1 and p and len(p) <= CACHE_CHARS and not p[0].isspace() and not p[-1].isspace() and SPECIAL not in p]
+    return {p: table[p] for p in top}
 
 
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", limit: int = 1024, sample_docs: int = 2000, table_entries: int = 32_768) -> DataFrame:

@@ -205,3 +205,19 @@ def test_batches(spark):
         assert sorted(r.slot for r in held) == list(range(len(held))) and len(held) <= per
         assert len(held) == per or (b, k + 1) not in batches
     assert packing.pack(lengths.where("false")).count() == 0
+
+
+def test_large_component(spark):
+    """A component of half of all fingerprints, beside small ones."""
+    random.seed(9)
+    centre = random.getrandbits(64)
+    hot = [centre ^ (1 << k) for k in range(64)] + [centre ^ (1 << k) ^ (1 << j) for k, j in combinations(range(20), 2)]
+    cold = [random.getrandbits(64) for _ in range(200)]
+    docs = spark.createDataFrame([(i, str(i)) for i in range(len(hot) + len(cold))], "doc_id long, text string")
+    made = {str(i): x for i, x in enumerate(hot + cold)}
+    real, simhash.fingerprints = simhash.fingerprints, lambda d, s: spark.createDataFrame([(int(k), signed(x)) for k, x in made.items()], "doc_id long, fp long")
+    try:
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    finally:
+        simhash.fingerprints = real
+    assert all(got[i] == 0 for i in range(len(hot))) and all(got[i] == i for i in range(len(hot), len(made)))
