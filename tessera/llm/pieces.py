@@ -21,7 +21,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?*$%&#"
 SPECIAL = "<|endoftext|>"
 #: Entries of a worker's cache; at this number the learned ones go and the broadcast ones stay.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
+#: The same for punctuation runs and for pieces that begin lines.
+SIDE_ENTRIES = 100_000
 #: Longer pieces are encoded anew each time, so that the cache's bytes are bounded too.
 CACHE_CHARS = 48
 
@@ -53,32 +55,64 @@ class PieceTable(dict):
         self.frequent, self.value, self.join = frequent or {}, value, join
         self.tokenizer = Tokenizer.from_file(path)
         self.tails: dict[str, Any] = {}
+        self.starts: dict[str, Any] = {}
         made = json.loads(self.tokenizer.to_str())
         # a word of plain letters is one pre-token; its bytes may go to the library's model without the steps around it
         plain = made["normalizer"] is None and made["model"]["type"] == "BPE" and (made["pre_tokenizer"] or {}).get("type") == "ByteLevel"
         self.model = self.tokenizer.model if plain else None
+        self.newline_apart = plain and not made["pre_tokenizer"].get("add_prefix_space")
 
     def encode(self, text: str) -> Any:
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode_word(self, word: str) -> Any:
-        """The value of a space and a word of letters."""
-        return self.value([t.id for t in self.model.tokenize("".join([_BYTES[32], *map(_BYTES.__getitem__, word.encode())]))])
+    def encode_word(self, word: str, before: str = " ") -> Any:
+        """The value of a word of letters, with the space before it unless ``before`` is empty."""
+        return self.value([t.id for t in self.model.tokenize("".join(map(_BYTES.__getitem__, (before + word).encode())))])
+
+    def tail(self, tail: str) -> Any:
+        """The value of a run of punctuation behind a letter, which is a pre-token of its own."""
+        if tail not in self.tails:
+            if len(self.tails) > SIDE_ENTRIES:
+                self.tails.clear()
+            self.tails[tail] = self.encode(tail)
+        return self.tails[tail]
+
+    def start(self, piece: str) -> Any:
+        """The value of a piece that begins a line, so without a space."""
+        if piece not in self.starts:
+            got = self.encode_word(piece, "") if self.model and _WORD.fullmatch(piece) else self.encode(piece)
+            if len(piece) > CACHE_CHARS:
+                return got
+            if len(self.starts) > SIDE_ENTRIES:
+                self.starts.clear()
+            self.starts[piece] = got
+        return self.starts[piece]
+
+    def across_lines(self, piece: str) -> Any:
+        """The value of pieces that one newline each joins: the newline is a pre-token, what follows it has no space. None where it is not so plain."""
+        first, *rest = piece.split("\n")
+        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *rest)):
+            return None
+        got, newline = self[first], self.tail("\n")
+        for x in rest:
+            got = self.join(self.join(got, newline), self.start(x))
+        return got
 
     def __missing__(self, piece: str) -> Any:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Irregular
-        core = piece.rstrip(_TAIL)
-        if core and len(core) < len(piece) and core[-1].isalpha() and core[-1] < "ɐ":
-            # a run of punctuation after a letter is a pre-token of its own
-            tail = piece[len(core) :]
-            if tail not in self.tails:
-                if len(self.tails) > 50_000:
-                    self.tails.clear()
-                self.tails[tail] = self.encode(tail)
-            return self.join(self[core], self.tails[tail])
-        got = self.encode_word(piece) if self.model and _WORD.fullmatch(piece) else self.encode(" " + piece)
-        if len(piece) <= CACHE_CHARS:
+        got, known = None, True
+        if piece[-1] in _TAIL:
+            core = piece.rstrip(_TAIL)
+            if core and core[-1].isalpha() and core[-1] < "ɐ":
+                known = core in self
+                got = self.join(self[core], self.tail(piece[len(core) :]))
+        elif self.newline_apart and "\n" in piece:
+            got, known = self.across_lines(piece), False
+        if got is None:
+            got = self.encode_word(piece) if self.model and _WORD.fullmatch(piece) else self.encode(" " + piece)
+        # what is put together from kept parts is kept itself only when its word comes again
+        if known and len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES + len(self.frequent):
                 self.clear()
                 self.update(self.frequent)
