@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, packing, quality_rules, simhash, token_counts, toxicity
+from tessera.llm import decontamination, near_copies, packing, quality_rules, token_counts, toxicity
 from tessera.llm.common import stored, table
 
 
@@ -24,12 +24,8 @@ def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays.
-
-    Copies with one word in fifty changed share 0.8 of their windows of five words, and their fingerprints differ in some 3 to 8 bits: at 6 most are
-    caught, and hardly any pair within 6 bits shares less than half of its windows.
-    """
-    return simhash.keep_one(docs, reach=6)
+    """One document of each group stays; links join texts whose five-word windows have an exact Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_one(docs, similarity=0.8, shingle=5)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
