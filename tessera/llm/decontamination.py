@@ -1,9 +1,9 @@
 """Benchmark decontamination (2): latent semantic retrieval of benchmark passages, then subsequence and answer checks.
 
 Passages are windows of ``WINDOW`` words. TF-IDF weights (document frequencies counted over the whole corpus) over hashed words make their
-vectors; a randomised SVD of the benchmark's passages, with its products summed across partitions, gives the latent space.
+vectors; an SVD of every ``SPACE`` passages gives their latent space, so what it keeps of a passage does not fall as the benchmark grows.
 Every window of every document is projected and compared with all benchmark passages (a stated query set, in blocks); pairs over a
-cosine are candidates. A candidate counts if the longest common subsequence of words covers enough of the passage, and if
+cosine are candidates, and so is every place where one of a passage's rarest runs of three words stands. A candidate counts if the longest common subsequence of words covers enough of the passage, and if
 its answer, the last words, is covered too where the wording differs.
 """
 
@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.common import filter_rows, map_batches
 
@@ -24,6 +23,8 @@ FEATURES = 1 << 15
 HOP, WINDOW = 16, 48
 #: Benchmark items, and bytes of their texts, in one block of the query set.
 BLOCK, BLOCK_BYTES = 8192, 8 << 20
+#: Passages in one latent space, and runs of three words by which a passage is also looked up.
+SPACE, RUNS = 256, 4
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -79,6 +80,15 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 2) / (df + 1))
 
 
+def _runs(features: np.ndarray) -> np.ndarray:
+    """One number for every three features in a row."""
+    return (features[:-2] << 30) + (features[1:-1] << 15) + features[2:] if len(features) > 2 else np.zeros(0, np.int64)
+
+
+def _slot(runs: np.ndarray) -> np.ndarray:
+    return (runs * 0x9E3779B97F4A7 >> 20) & ((1 << 20) - 1)
+
+
 def _rows(parts: list[list[bytes]], idf: np.ndarray, hashed: Hashed) -> list[tuple[np.ndarray, np.ndarray]]:
     """Unit TF-IDF rows, sparse."""
     out = []
@@ -89,47 +99,21 @@ def _rows(parts: list[list[bytes]], idf: np.ndarray, hashed: Hashed) -> list[tup
     return out
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, *, rank: int = 160, oversample: int = 16, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Features that occur, and their rows in the space of the leading right singular vectors of the passages' TF-IDF matrix A.
+def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], *, rank: int = 160, kept: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """Features that occur, and their rows in the space of the leading right singular vectors of the matrix A of these unit rows.
 
-    Randomised: A'(A O) for a random O is summed across partitions, orthogonalised to Q, then the Gram matrix of A Q gives the axes.
+    ``rank`` axes, or as many more as it takes to keep that share of the energy of every row, so no passage is lost to the others.
     """
-    width = rank + oversample
-    columns = [f"c{i}" for i in range(16)]
-
-    def product(basis_of, schema_key: str, both: bool):
-        def make():
-            hashed, basis = Hashed(), basis_of()
-
-            def step(texts):
-                rows = _rows([p for t in texts for p in passages(tokens(t)) if p], idf, hashed)
-                total: dict[int, np.ndarray] = {}
-                for f, x in rows:
-                    y = x @ basis[f]
-                    for i, add in zip(range(width) if both else f.tolist(), np.outer(y if both else x, y)):
-                        total[i] = total.get(i, 0) + add
-                keys = [(k, b) for k in total for b in range(width // 16)]
-                return {schema_key: [k for k, _ in keys], "b": [b for _, b in keys]} | {c: [float(total[k][16 * b + i]) for k, b in keys] for i, c in enumerate(columns)}
-
-            return step
-
-        schema = T.StructType([T.StructField(schema_key, T.IntegerType()), T.StructField("b", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
-        sums = map_batches(items, ["text"], schema, make).groupBy(schema_key, "b").agg(*[F.sum(c).alias(c) for c in columns]).collect()
-        table = np.zeros((width if both else FEATURES, width))
-        for r in sums:
-            table[r[0], 16 * r.b : 16 * r.b + 16] = r[2:]
-        return table
-
-    z = product(lambda: np.random.default_rng(seed).standard_normal((FEATURES, width)), "f", False)
-    used = np.flatnonzero(z.any(1))
-    q = np.linalg.qr(z[used])[0] if len(used) else np.zeros((0, width))
-    q = np.hstack([q, np.zeros((len(used), width - q.shape[1]))])
-    full = np.zeros((FEATURES, width))
-    full[used] = q
-    shared = items.sparkSession.sparkContext.broadcast(full)  # FEATURES x width numbers
-    values, axes = np.linalg.eigh(product(lambda: shared.value, "i", True))
-    lead = np.argsort(-values)[:rank]
-    return used, q @ axes[:, lead]
+    used = np.unique(np.concatenate([f for f, _ in rows]))
+    a = np.zeros((len(rows), len(used)))
+    for i, (f, x) in enumerate(rows):
+        a[i, np.searchsorted(used, f)] = x
+    values, left = np.linalg.eigh(a @ a.T)
+    order = np.argsort(-values)[: max(1, int((values > 1e-9).sum()))]
+    values, left = np.maximum(values[order], 1e-12), left[:, order]
+    shares = np.cumsum(left**2 * values, 1) / np.maximum((a**2).sum(1), 1e-12)[:, None]
+    width = max(rank, 1 + int(np.argmax((shares >= kept - 1e-6) | (np.arange(len(order)) == len(order) - 1), axis=1).max()))
+    return used, a.T @ (left[:, :width] / np.sqrt(values[:width]))
 
 
 def common_subsequence(masks: dict[bytes, int], length: int, words: list[bytes]) -> int:
@@ -177,38 +161,66 @@ class Passage:
         return 0.0
 
 
-class Search:
-    """Finds benchmark passages in documents; built on each executor."""
+class Space:
+    """The latent space of at most ``SPACE`` passages, and their places in it."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, used: np.ndarray, axes: np.ndarray, *, cosine: float, sure: float, wording: float, answer: float):
-        self.hashed, self.cosine = Hashed(), cosine
-        self.checks = {"sure": sure, "wording": wording, "answer": answer}
-        self.passages = [Passage(i, p) for i, t in items for p in passages(tokens(t)) if p]
-        self.table = np.zeros((FEATURES, axes.shape[1]), np.float32)
-        self.table[used] = axes * idf[used, None]
-        self.useful, self.energy = self.table.any(1), (idf**2).astype(np.float32)
-        rows = _rows([p.words for p in self.passages], idf, self.hashed)
-        full = np.zeros((FEATURES, axes.shape[1]))
-        full[used] = axes
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, rank: int):
+        used, axes = latent_space(rows, rank=rank)
+        # row 0 stands for all features that do not occur
+        self.row = np.zeros(FEATURES, np.int32)
+        self.row[used] = np.arange(1, len(used) + 1)
+        self.table = np.vstack([np.zeros((1, axes.shape[1])), axes * idf[used, None]]).astype(np.float32)
         # passages stand with unit length in the latent space
-        self.index = np.array([x @ full[f] for f, x in rows], np.float32).reshape(len(rows), axes.shape[1])
+        self.index = np.array([x @ axes[np.searchsorted(used, f)] for f, x in rows], np.float32)
         self.index /= np.linalg.norm(self.index, axis=1, keepdims=True) + 1e-9
 
-    def windows(self, features: np.ndarray) -> np.ndarray:
+    def windows(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Latent vectors of the windows that begin at every hop, by the length that the windows have with all their words.
 
         So a window that has little in common with the benchmark is near to nothing, whatever its direction.
         """
+        rows = self.row[features]
+        sums = np.zeros((len(lengths) + 2, self.table.shape[1]), np.float32)
+        at = np.flatnonzero(rows)
+        if len(at):
+            hop, begin = np.unique(at // HOP, return_index=True)
+            sums[hop] = np.add.reduceat(self.table[rows[at]], begin, axis=0)
+        return (sums[:-2] + sums[1:-1] + sums[2:]) / lengths[:, None]
+
+
+class Search:
+    """Finds benchmark passages in documents; built on each executor."""
+
+    def __init__(self, passages: list[Passage], spaces: list[Space], idf: np.ndarray, *, cosine: float, sure: float, wording: float, answer: float):
+        self.hashed, self.cosine = Hashed(), cosine
+        self.checks = {"sure": sure, "wording": wording, "answer": answer}
+        self.passages, self.spaces, self.energy = passages, spaces, (idf**2).astype(np.float32)
+        # the rarest runs of three words of each passage, with their places in it: whoever holds a whole passage holds them all
+        self.runs: dict[int, list[tuple[int, int]]] = {}
+        for k, p in enumerate(self.passages):
+            f = np.fromiter(map(self.hashed.__getitem__, p.words), np.int64, len(p.words))
+            runs, rare = _runs(f), idf[f[:-2]] + idf[f[1:-1]] + idf[f[2:]] if len(f) > 2 else np.zeros(0)
+            for o in np.argsort(-rare, kind="stable")[:RUNS].tolist():
+                self.runs.setdefault(int(runs[o]), []).append((k, o))
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[_slot(np.fromiter(self.runs, np.int64, len(self.runs)))] = True
+
+    def candidates(self, features: np.ndarray) -> list[tuple[int, int]]:
+        """(hop, passage), ascending: windows near a passage in its latent space, and those where one of its rarest runs stands."""
         hops = -(-len(features) // HOP)
         energy = np.zeros(hops + 2, np.float32)
         energy[:-2] = np.add.reduceat(self.energy[features], np.arange(0, len(features), HOP))
-        sums = np.zeros((hops + 2, self.table.shape[1]), np.float32)
-        at = np.flatnonzero(self.useful[features])
-        if len(at):
-            hop, begin = np.unique(at // HOP, return_index=True)
-            sums[hop] = np.add.reduceat(self.table[features[at]], begin, axis=0)
-        w = sums[:-2] + sums[1:-1] + sums[2:]
-        return w / np.sqrt(energy[:-2] + energy[1:-1] + energy[2:] + 1e-9)[:, None]
+        lengths = np.sqrt(energy[:-2] + energy[1:-1] + energy[2:] + 1e-9)
+        found, base = set(), 0
+        for s in self.spaces:
+            hop, passage = np.nonzero(s.windows(features, lengths) @ s.index.T >= self.cosine)
+            found.update(zip(hop.tolist(), (passage + base).tolist()))
+            base += len(s.index)
+        runs = _runs(features)
+        for i in np.flatnonzero(self.seen[_slot(runs)]).tolist():
+            for k, o in self.runs.get(int(runs[i]), ()):
+                found.add((max(0, i - o) // HOP, k))
+        return sorted(found)
 
     def of(self, texts: list[str | None]) -> list[dict[int, float]]:
         """For each text: item -> the best share found."""
@@ -221,9 +233,8 @@ class Search:
                 part = words[a : a + 16_384]
                 if part and self.passages:
                     features = np.fromiter(map(self.hashed.__getitem__, part), np.int64, len(part))
-                    hop, passage = np.nonzero(self.windows(features) @ self.index.T >= self.cosine)
                     last, region, held = -1, [], set()
-                    for h, p in zip(hop.tolist(), passage.tolist()):
+                    for h, p in self.candidates(features):
                         q = self.passages[p]
                         if h != last:
                             last, region = h, part[max(0, HOP * h - HOP) : HOP * h + WINDOW + HOP]
@@ -240,13 +251,16 @@ def _searches(docs: DataFrame, items: DataFrame, *, rank: int = 160, cosine: flo
     """A maker of searches for each block of the benchmark."""
     clean = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     idf = weights(*document_frequencies(docs))
-    used, axes = latent_space(clean, idf, rank=rank)
     size = clean.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size.n // BLOCK), -(-size.b // BLOCK_BYTES))
     context, out = docs.sparkSession.sparkContext, []
     for b in range(blocks):
         rows = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        shared = context.broadcast(([(r.item_id, r.text) for r in rows], idf, used, axes))
+        held = [Passage(r.item_id, p) for r in rows for p in passages(tokens(r.text)) if p]
+        vectors = _rows([p.words for p in held], idf, Hashed())
+        n = -(-len(held) // SPACE)
+        cuts = [len(held) * i // n for i in range(n + 1)] if n else []
+        shared = context.broadcast((held, [Space(vectors[a:z], idf, rank) for a, z in zip(cuts, cuts[1:])], idf))
         out.append(lambda shared=shared: Search(*shared.value, cosine=cosine, sure=sure, wording=wording, answer=answer))
     return out
 
