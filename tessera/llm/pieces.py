@@ -7,7 +7,6 @@ sides, and each piece (with its space) encodes by itself. Every piece that a cac
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Callable
@@ -21,7 +20,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?*$%&#"
 SPECIAL = "<|endoftext|>"
 #: Entries of a worker's cache; at this number the learned ones go and the broadcast ones stay.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 #: The same for punctuation runs and for pieces that begin lines.
 SIDE_ENTRIES = 100_000
 #: Longer pieces are encoded anew each time, so that the cache's bytes are bounded too.
@@ -56,11 +55,11 @@ class PieceTable(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tails: dict[str, Any] = {}
         self.starts: dict[str, Any] = {}
-        made = json.loads(self.tokenizer.to_str())
         # a word of plain letters is one pre-token; its bytes may go to the library's model without the steps around it
-        plain = made["normalizer"] is None and made["model"]["type"] == "BPE" and (made["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        cut = self.tokenizer.pre_tokenizer
+        plain = self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE" and type(cut).__name__ == "ByteLevel"
         self.model = self.tokenizer.model if plain else None
-        self.newline_apart = plain and not made["pre_tokenizer"].get("add_prefix_space")
+        self.newline_apart = plain and not cut.add_prefix_space
 
     def encode(self, text: str) -> Any:
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -71,11 +70,14 @@ class PieceTable(dict):
 
     def tail(self, tail: str) -> Any:
         """The value of a run of punctuation behind a letter, which is a pre-token of its own."""
-        if tail not in self.tails:
-            if len(self.tails) > SIDE_ENTRIES:
-                self.tails.clear()
-            self.tails[tail] = self.encode(tail)
-        return self.tails[tail]
+        got = self.tails.get(tail)
+        if got is None:
+            got = self.encode(tail)
+            if len(tail) <= CACHE_CHARS:
+                if len(self.tails) > SIDE_ENTRIES:
+                    self.tails.clear()
+                self.tails[tail] = got
+        return got
 
     def start(self, piece: str) -> Any:
         """The value of a piece that begins a line, so without a space."""

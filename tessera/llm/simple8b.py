@@ -1,7 +1,8 @@
 """Simple-8b: integers in 64-bit words of a 4-bit selector and 60 bits of payload, coded and decoded with whole arrays.
 
-Ids are cut into blocks of ``BLOCK``; every block begins a new word, and the offsets of the blocks' first words let all blocks be
-coded and decoded side by side. A value of over 60 bits is an escape: its word has selector 0 and the index into ``escapes``.
+Values come in runs (one for each document). A run is cut into blocks of ``BLOCK``, so a run always begins a block; every block begins a new word, and
+the offsets of the blocks' first words let all blocks be coded and decoded side by side. A value of over 60 bits is an escape:
+its word has selector 0 and the place among ``escapes``.
 """
 
 from __future__ import annotations
@@ -13,56 +14,60 @@ LAYOUT = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6)
 BLOCK = 128
 _WIDE = BLOCK + 60
 _COUNT = np.array([1] + [LAYOUT[k][0] for k in range(1, 15)], np.int64)
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, at least 1."""
-    out = np.ones(len(values), np.uint8)
-    rest = values >> np.uint64(1)
-    while rest.any():
-        out += rest > 0
-        rest >>= np.uint64(1)
-    return out
+    if not len(values) or values.max() < 1 << 52:
+        return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
+    return np.maximum(np.searchsorted(_POWERS, values, side="right"), 1).astype(np.uint8)
 
 
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def blocks_of(lengths: np.ndarray) -> np.ndarray:
+    """Blocks of runs of these lengths."""
+    return -(-np.asarray(lengths, np.int64) // BLOCK)
+
+
+def _places(lengths: np.ndarray, of_run: np.ndarray) -> np.ndarray:
+    """Where each value stands among the places of all blocks, when blocks are ``BLOCK`` places wide."""
+    first = (np.cumsum(of_run) - of_run) * BLOCK
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def encode(values: np.ndarray, lengths: np.ndarray | list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words, block_offsets (word at which each block begins), escapes; all uint64 but the offsets, uint32."""
     values = np.ascontiguousarray(values, np.uint64)
-    n, blocks = len(values), -(-len(values) // BLOCK)
-    if not n:
+    lengths = np.array([len(values)] if lengths is None else lengths, np.int64)
+    of_run = blocks_of(lengths)
+    blocks = int(of_run.sum())
+    if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-    grid = np.zeros((blocks, _WIDE), np.uint64)
     padded = np.zeros(blocks * BLOCK, np.uint64)
-    padded[:n] = values
-    grid[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    grid, wide = grid.ravel(), np.zeros((blocks, _WIDE), np.uint8)
-    wide[:, :BLOCK] = _widths(padded).reshape(blocks, BLOCK)
-    wide = wide.ravel()
-    length = np.full(blocks, BLOCK, np.int64)
-    length[-1] = n - (blocks - 1) * BLOCK
-    at, active, found = np.zeros(blocks, np.int64), np.arange(blocks), []
-    while active.size:
-        base = active * _WIDE + at[active]
-        most = wide[base]
-        best = np.where(most > 60, 0, 14)
-        # more values in narrower slots fit only where fewer in wider slots do: climb until a step fails
-        live, have = np.flatnonzero(most <= 60), 1
-        for selector in range(13, 0, -1):
-            count, bits = LAYOUT[selector]
-            top = most[live]
-            for j in range(have, count):
-                top = np.maximum(top, wide[base[live] + j])
-            ok = top <= bits
-            live = live[ok]
-            if not live.size:
-                break
-            most[live], best[live], have = top[ok], selector, count
-        found.append((base, best))
-        at[active] += _COUNT[best]
-        active = active[at[active] < length[active]]
-    base, best = np.concatenate([b for b, _ in found]), np.concatenate([s for _, s in found])
-    order = np.argsort(base, kind="stable")
-    base, best = base[order], best[order]
+    padded[_places(lengths, of_run)] = values
+    grid, wide = np.zeros((blocks, _WIDE), np.uint64), np.zeros((blocks, _WIDE), np.uint8)
+    grid[:, :BLOCK], wide[:, :BLOCK] = padded.reshape(blocks, BLOCK), _widths(padded).reshape(blocks, BLOCK)
+    grid, wide = grid.ravel(), wide.ravel()
+    # the selector of a word that would begin at each place: the widest value of the next 1, 2, 3, ... decides
+    choice, most, have = np.full(len(wide), 14, np.uint8), wide.copy(), 1
+    for selector in range(13, 0, -1):
+        count, bits = LAYOUT[selector]
+        for j in range(have, count):
+            np.maximum(most[:-j], wide[j:], out=most[:-j])
+        have = count
+        choice -= (most <= bits).view(np.uint8)  # what fits narrower slots fits all wider ones
+    choice[wide > 60] = 0
+    # words follow each other from every block's beginning
+    ends = np.full(blocks, BLOCK, np.int64)
+    ends[np.cumsum(of_run)[of_run > 0] - 1] = lengths[of_run > 0] - (of_run[of_run > 0] - 1) * BLOCK
+    at, ends, found = np.arange(blocks) * _WIDE, np.arange(blocks) * _WIDE + ends, []
+    while at.size:
+        found.append(at)
+        at = at + _COUNT[choice[at]]
+        live = at < ends
+        at, ends = at[live], ends[live]
+    base = np.sort(np.concatenate(found))
+    best = choice[base]
     words = best.astype(np.uint64) << np.uint64(60)
     for selector, (count, bits) in LAYOUT.items():
         if (rows := np.flatnonzero(best == selector)).size:
@@ -76,9 +81,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offsets, grid[base[escaped]]
 
 
-def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` values that ``encode`` was given."""
-    if not n:
+def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, lengths: np.ndarray | list[int] | int) -> np.ndarray:
+    """The values that ``encode`` was given, runs of these lengths one behind the other."""
+    lengths = np.atleast_1d(np.asarray(lengths, np.int64))
+    if not lengths.sum():
         return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     ahead = np.concatenate([[0], np.cumsum(_COUNT[selector])[:-1]])
@@ -92,4 +98,4 @@ def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
                 out[p + j] = (w >> np.uint64(j * bits)) & mask
     if (rows := np.flatnonzero(selector == 0)).size:
         out[place[rows]] = escapes[words[rows].astype(np.int64)]
-    return out.reshape(-1, _WIDE)[:, :BLOCK].ravel()[:n]
+    return out.reshape(-1, _WIDE)[:, :BLOCK].ravel()[_places(lengths, blocks_of(lengths))]

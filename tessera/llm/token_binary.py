@@ -2,8 +2,11 @@
 
 A data set is a Parquet folder whose rows are segments of whole documents: ``part`` and ``seq`` (their order), ``begin`` (ids
 of the part before the segment), ``n_ids``, ``doc_ids`` (int64), ``lengths`` (uint32, ids of each document), ``offsets``
-(uint32, first word of each block), ``escapes`` and ``words`` (uint64), all little-endian. Spark's own writer commits the
-parts, so a task that is lost is written again whole.
+(uint32, first word of each block; every document begins a block), ``escapes`` and ``words`` (uint64), all little-endian. Spark's
+own writer commits the parts, so a task that is lost is written again whole.
+
+Documents are encoded where they are read; what is shuffled are their coded words, a third of a text's bytes or so. The parts are
+ranges of doc_id with about as many rows each, by quantiles of that column alone.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +25,17 @@ from tessera.llm import simple8b
 from tessera.llm.pieces import worker_table
 from tessera.llm.token_counts import default_tokenizer
 
-SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("seq", T.IntegerType()), ("begin", T.LongType()), ("n_ids", T.LongType()), *((n, T.BinaryType()) for n in ("doc_ids", "lengths", "offsets", "escapes", "words")))])
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+SEGMENT = _struct(part=T.IntegerType(), seq=T.IntegerType(), begin=T.LongType(), n_ids=T.LongType(), **{n: T.BinaryType() for n in ("doc_ids", "lengths", "offsets", "escapes", "words")})
+CODED = _struct(part=T.IntegerType(), doc_id=T.LongType(), n_ids=T.IntegerType(), **{n: T.BinaryType() for n in ("offsets", "escapes", "words")})
 #: Ids at which a segment is closed; it never ends inside a document.
 SEGMENT_IDS = 1 << 18
+#: Ids, and coded rows, that a worker holds at once besides one document.
+HELD_IDS, HELD_ROWS = 1 << 18, 512
 #: Stands for a null doc_id in a segment.
 NO_ID = -(1 << 63)
 
@@ -34,48 +44,97 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _cut(array: np.ndarray, ends: np.ndarray, kind: str) -> list[bytes]:
+    starts = np.concatenate([[0], ends[:-1]])
+    return [array[a:b].astype(kind).tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _coded(keys: list, blobs: list[bytes], bounds: np.ndarray, arrow: pa.Schema) -> pa.RecordBatch:
+    """A row for every document: its words, the offsets of its blocks among them, and its escapes, which its words number from 0."""
+    lengths = np.array([len(b) // 4 for b in blobs], np.int64)
+    words, offsets, escapes = simple8b.encode(np.frombuffer(b"".join(blobs), "<u4"), lengths)
+    blocks = np.cumsum(simple8b.blocks_of(lengths))
+    word_ends = np.append(offsets, len(words)).astype(np.int64)[blocks]
+    escaped = np.flatnonzero(words >> np.uint64(60) == 0)
+    escape_ends = np.searchsorted(escaped, word_ends)
+    starts, first = np.concatenate([[0], word_ends[:-1]]), np.concatenate([[0], escape_ends[:-1]])
+    if len(escaped):
+        words[escaped] -= first[np.searchsorted(word_ends, escaped, side="right")].astype(np.uint64)
+    inside = offsets.astype(np.int64) - np.repeat(starts, simple8b.blocks_of(lengths))
+    part = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
+    row = [part, keys, lengths, _cut(inside, blocks, "<u4"), _cut(escapes, escape_ends, "<u8"), _cut(words, word_ends, "<u8")]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, arrow)], schema=arrow)
+
+
+def encode_documents(docs: DataFrame, bounds: np.ndarray, *, tokenizer: str, end_id: int) -> DataFrame:
+    """The coded rows of ``docs`` and the part, among those that ``bounds`` separate, to which each belongs."""
+    arrow, end = to_arrow_schema(CODED), _packed([end_id])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = worker_table("ids", tokenizer, _packed, lambda a, b: a + b)
+        for batch in batches:
+            keys, blobs, held = [], [], 0
+            for i in range(batch.num_rows):
+                first, rest = table.of(batch.column(1)[i].as_py())
+                keys.append(batch.column(0)[i].as_py())
+                blobs.append(b"".join([first, *rest, end]))
+                held += len(blobs[-1]) // 4
+                if held >= HELD_IDS:
+                    yield _coded(keys, blobs, bounds, arrow)
+                    keys, blobs, held = [], [], 0
+            if keys:
+                yield _coded(keys, blobs, bounds, arrow)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
+
+
+def _segment(part: int, seq: int, begin: int, rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    words, blocks, escapes = ([np.frombuffer(r[n], k) for r in rows] for n, k in (("words", "<u8"), ("offsets", "<u4"), ("escapes", "<u8")))
+    n_words, n_escapes = (np.cumsum([0, *map(len, x)]) for x in (words, escapes))
+    if n_escapes[-1]:
+        words = [np.where(w >> np.uint64(60) == 0, w + np.uint64(k), w) for w, k in zip(words, n_escapes.tolist())]
+    offsets = np.concatenate([b + k for b, k in zip(blocks, n_words.tolist())]).astype("<u4")
+    lengths = np.array([r["n_ids"] for r in rows], "<u4")
+    keys = np.array([NO_ID if r["doc_id"] is None else r["doc_id"] for r in rows], "<i8")
+    row = [part, seq, begin, int(lengths.sum()), *(x.tobytes() for x in (keys, lengths, offsets, np.concatenate(escapes), np.concatenate(words)))]
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
+
+
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 0, parts: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write them to ``path``.
 
     A null or empty text gives the end id alone. Rows without doc_id come first; repeated ids stand side by side, in the order
-    of their texts. An empty table writes an empty data set.
+    of their number of ids and coded words. An empty table writes an empty data set. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    path_json, arrow = tokenizer or default_tokenizer(), to_arrow_schema(SEGMENT)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrow = to_arrow_schema(SEGMENT)
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    bounds = np.unique(np.array(cuts or [], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table("ids", path_json, _packed, lambda a, b: a + b)
-        part, seq, begin = TaskContext.get().partitionId(), 0, 0
-        keys, blobs, held = [], [], 0
-
-        def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(blobs), "<u4")
-            words, offsets, escapes = simple8b.encode(ids)
-            lengths = np.array([len(b) // 4 for b in blobs], "<u4")
-            row = [part, seq, begin, len(ids), np.array([NO_ID if k is None else k for k in keys], "<i8").tobytes(), lengths.tobytes(), offsets.astype("<u4").tobytes(), escapes.astype("<u8").tobytes(), words.astype("<u8").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
-
+        part, seq, begin, rows, held = None, 0, 0, [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, rest = table.of(text)
-                blob = b"".join([first, *rest, end])
-                keys.append(key)
-                blobs.append(blob)
-                held += len(blob) // 4
-                if held >= SEGMENT_IDS:
-                    yield segment()
-                    seq, begin, keys, blobs, held = seq + 1, begin + held, [], [], 0
-        if keys:
-            yield segment()
-
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+            for at in range(0, batch.num_rows, HELD_ROWS):
+                for row in batch.slice(at, HELD_ROWS).to_pylist():
+                    if row["part"] != part:
+                        if rows:
+                            yield _segment(part, seq, begin, rows, arrow)
+                        part, seq, begin, rows, held = row["part"], 0, 0, [], 0
+                    rows.append(row)
+                    held += row["n_ids"]
+                    if held >= SEGMENT_IDS:
+                        yield _segment(part, seq, begin, rows, arrow)
+                        seq, begin, rows, held = seq + 1, begin + held, [], 0
+        if rows:
+            yield _segment(part, seq, begin, rows, arrow)
+
+    coded = encode_documents(docs, bounds, tokenizer=tokenizer or default_tokenizer(), end_id=end_id)
+    ordered = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n_ids", "words")
     ordered.mapInArrow(run, SEGMENT).write.option("compression", "none").parquet(path)
 
 
 def part_starts(spark: SparkSession, path: str) -> dict[int, int]:
-    """part -> ids in the parts before it; one number a file comes to the driver."""
+    """part -> ids in the parts before it; one number a part comes to the driver."""
     sums = spark.read.schema(SEGMENT).parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     starts, total = {}, 0
     for r in sums:
@@ -92,14 +151,16 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-                ids = simple8b.decode(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["offsets"], "<u4"), np.frombuffer(row["escapes"], "<u8"), row["n_ids"]).astype("<u4")
+            for i in range(batch.num_rows):  # a segment at a time, its columns without a copy
+                row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+                part, begin = row["part"].as_py(), row["begin"].as_py()
+                keys, lengths, offsets, escapes, words = (np.frombuffer(row[n].as_buffer(), k) for n, k in (("doc_ids", "<i8"), ("lengths", "<u4"), ("offsets", "<u4"), ("escapes", "<u8"), ("words", "<u8")))
+                lengths = lengths.astype(np.int64)
+                ids = simple8b.decode(words, offsets, escapes, lengths).astype("<u4")
                 ends = np.cumsum(lengths)
-                raw = memoryview(ids.tobytes())
+                raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                keys = np.frombuffer(row["doc_ids"], "<i8").tolist()
-                got = [pa.array([None if k == NO_ID else k for k in keys], pa.int64()), pa.array(ends - lengths + row["begin"] + starts.value[row["part"]]), pa.array(lengths), pa.array(crc, pa.int64())]
+                got = [pa.array([None if k == NO_ID else k for k in keys.tolist()], pa.int64()), pa.array(ends - lengths + begin + starts.value[part]), pa.array(lengths), pa.array(crc, pa.int64())]
                 if with_ids:
                     got.append(pa.array([ids[e - n : e].astype(np.int64) for e, n in zip(ends, lengths)], arrow.field("ids").type))
                 yield pa.RecordBatch.from_arrays(got, schema=arrow)
