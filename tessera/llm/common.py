@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,10 +26,15 @@ def remainder(divisor: int, key: str = "doc_id") -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Without the setting a temporary folder takes its place if the session runs on one machine; on a cluster, whose executors would
+    each write to their own disks, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root or tempfile.mkdtemp(prefix='tessera-')}/{name}-{uuid.uuid4().hex}"
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -90,17 +90,49 @@ def test_exact_bound():
     assert NormalDist().cdf(0) == 0.5
 
 
-def test_cutoffs_keep_their_promise():
+def test_paths_are_nested_and_tested_in_order():
     rng = np.random.default_rng(0)
     counts = Counter()
-    for q, n, top in ((1, 6000, 200), (0, 900, 1000)):
-        for v in rng.integers(0, top, n):
-            counts[1, 0, q, int(-(-v // 20) * 20)] += 1
-    rules = quality_rules.choose(counts, false_rejection=0.02, error=0.05, price=3.0)
-    cut = rules.cutoffs[1, 0]
-    lost = sum(n for (s, r, q, g), n in counts.items() if q == 1 and g > cut)
-    assert lost / 6000 <= 0.02 / len(quality_rules.RULES) and 180 <= cut < 400
-    assert not quality_rules.choose({k: v for k, v in counts.items() if k[2] == 0}, false_rejection=0.02, error=0.05, price=3.0).cutoffs
+    for y, n, top in ((1, 6000, 200), (0, 900, 1000)):
+        for r in (0, 3):
+            for v in rng.integers(0, top, n):
+                counts[r, y, int(-(-v // 20) * 20)] += 1
+    path = quality_rules.path_of(counts, 3.0)
+    assert path[0] == {0: 200, 3: 200} and all(set(a) <= set(b) and all(b[r] <= a[r] for r in a) for a, b in zip(path, path[1:]))
+    steps = lambda lost, good: quality_rules.allowed_steps(lost, good, false_rejection=0.02, error=0.0125)
+    assert steps([0, 0, 1, 30, 2], 1000) == 3 and steps([0], 216) == 0 and steps([0], 217) == 1 and steps([0], 0) == 0
+    assert quality_rules.strata_of({0: 5, 1: 300, 2: 220, 3: 10}, 217) == ((0, 1), (2, 3)) and quality_rules.strata_of({1: 3}, 217) == ((0, 1, 2, 3),)
+
+
+def test_false_rejection_is_limited_in_simulation():
+    """In no more than the error level of many draws does an allowed step reject more good documents than allowed."""
+    rng, broken, used = np.random.default_rng(4), 0, 0
+    true = np.array([0.001, 0.008, 0.015, 0.021, 0.03])  # shares of good documents that the steps of a path really reject
+    for _ in range(2000):
+        at = np.searchsorted(true, rng.random(1500))
+        lost = [int((at <= k).sum()) for k in range(len(true))]
+        n = quality_rules.allowed_steps(lost, 1500, false_rejection=0.02, error=0.05)
+        used += n > 0
+        broken += n > 3
+    assert broken <= 0.05 * 2000 and used > 1900
+
+
+def test_verdicts_by_brute_force(spark):
+    """At a size with enough labels cutoffs are chosen; every verdict follows from them, few good documents go and most bad ones."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    rules = quality_rules.fit_rules(quality_rules.measured(docs), labels)
+    assert rules.cutoffs
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, labels).collect()}
+    figures = {r.doc_id: (measures(r.text), y) for r, y in ((r, r.quality) for r in docs.join(labels, "doc_id", "left").select("doc_id", "text", "quality").collect())}
+    for k, (m, _) in figures.items():
+        over = any(m[5 + r] > c for (b, r), c in rules.cutoffs.items() if b == sum(m[0] >= x for x in (50, 200, 1000)))
+        assert kept[k] == (m[0] >= 10 and 100 * m[4] <= 20 * m[0] and not over)
+    good = [kept[k] for k, (m, y) in figures.items() if y == 1 and not quality_rules.base_failed(m[0], m[4])]
+    bad = [kept[k] for k, (m, y) in figures.items() if y == 0 and not quality_rules.base_failed(m[0], m[4])]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
+    plan = quality_rules.drop_by_rules(docs, labels)
+    assert {r.doc_id for r in plan.select("doc_id").collect()} == {k for k, v in kept.items() if v}
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rules_query(spark, docs):
