@@ -1,39 +1,54 @@
-"""Near copies for the pipeline: texts whose sets of five-word windows have an exact Jaccard similarity of 0.8 or more are linked.
-
-Texts of equal sets are one row from the start. Candidates share one of ``BANDS`` keys, each the least values of ``ROWS`` hashes over
-the set: a pair at 0.8 shares none with probability (1 - 0.8 ** 6) ** 32, under 1 in 10,000, however long the texts are. Every link is then verified on
-the whole sets. Each bucket's members meet its two ends first; only pairs that are in different components after that are still
-tried, all of them, so a large group costs no pair twice and no link is lost.
+"""SimHash near-dedup (8) at a similarity: texts whose sets of five-word windows have an exact Jaccard similarity of 0.8 or more are linked.
+
+64 bits tell little at 0.8, so the fingerprints here are wider: each bit is the majority of a bit of the windows' hashes, and the bits go, those that
+go together first, into ``parts`` partitions. By the generalised pigeonhole principle two fingerprints that differ in at most ``parts - 1`` bits agree in
+some partition within its threshold, whatever thresholds with sum 0 each of them takes; dynamic programming over estimated candidates gives every
+fingerprint its own: 0 mostly, -1 (not looked at) where its value is common, 1 (all values one bit away too) where that is cheaper. Pairs
+at 0.8 differ in more bits; width and number of partitions are such that they still share one but for a chance of ``MISS``.
+
+Texts of equal sets are one row from the start. Who meets in a partition is tested on sizes and 128 bits of the fingerprints, then on
+all bits, and every link is verified on the whole sets. A first round gives each text one partner and looks at only ``LEADERS`` rows
+of crowded values; the second tests all that share a value and are not in one component yet, so that a large group of copies costs
+no pair twice and no link of a candidate is lost. A value of more than ``CROWD`` rows is dealt over several tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import filter_rows, map_batches, stored
 from tessera.llm.components import components
+from tessera.llm.simhash import allocate, ball_counts, correlated_groups, dealt
 
-BANDS, ROWS = 32, 6
-#: A pair's share of equal hashes may lie so far under its similarity: more than five standard deviations.
-SLACK = 0.16
-_ODD = np.random.default_rng(42).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MISS = 1e-3
+#: Rows of a value after which only its first ``LEADERS`` are met in the first round, and rows that one task takes of it.
+CROWDED, LEADERS, CROWD = 256, 64, 20_000
+#: Nodes that are sent to all executors at most; more are joined.
+BROADCAST = 1 << 21
+#: Bits of a partition's value by which candidates are counted, and fingerprints from which correlations are estimated.
+COUNTED, SAMPLE = 12, 8192
+_LANES = np.uint64(0x0101010101010101)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
     """word -> hash, remembered by the worker up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word, 42)
         return got
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * _ODD
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
@@ -49,33 +64,195 @@ def windows(text: str | None, hashed: dict, shingle: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(held: np.ndarray) -> np.ndarray:
-    least = np.full(len(_ODD), np.uint64((1 << 64) - 1))
-    for at in range(0, len(held), 2048):
-        least = np.minimum(least, (held[at : at + 2048, None] * _ODD).min(0))
-    return least
-
-
-def _keys(least: np.ndarray) -> list[int]:
-    total = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        total = _mix(total + least[k::ROWS])
-    return total.view(np.int64).tolist()
+def differing(similarity: float) -> float:
+    """The share of bits in which sets of that Jaccard similarity and equal size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shape_of(n: int, similarity: float) -> tuple[int, int]:
+    """(64-bit words of a fingerprint, partitions) for ``n`` texts: a value holds about 128 unlike texts, and one in 1 / ``MISS`` pairs is missed."""
+    width = max(10.0, math.log2(max(n, 1)) - 7)
+    parts = math.ceil(math.log(MISS) / math.log1p(-((1 - differing(similarity)) ** width)))
+    return -(-math.ceil(parts * width) // 64), parts
+
+
+def signatures(sets: list[np.ndarray], words: int) -> list[bytes]:
+    """Fingerprints of 64 * ``words`` bits: the majority of each bit of the members' hashes."""
+    out: list[bytes] = []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    # some thousand members at a time stay in the processor's cache; a set is never cut
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 4096, prepend=-1)).tolist() + [len(sets)]
+    for a, z in zip(cuts, cuts[1:]):
+        n, held = sizes[a:z], np.concatenate(sets[a:z])
+        # counts are summed in the bytes of an integer, so over at most 255 members
+        first = np.cumsum(n) - n
+        chunks = -(-n // 255)
+        chunk_first = np.cumsum(chunks) - chunks
+        at = np.repeat(first - 255 * chunk_first, chunks) + 255 * np.arange(int(chunks.sum()))
+        bits = np.empty((len(n), words, 8, 8), bool)
+        for w in range(words):
+            x = _mix(held * (_ODD + np.uint64(2 * w)))
+            for j in range(8):
+                lanes = np.add.reduceat((x >> np.uint64(j)) & _LANES, at).view(np.uint8).reshape(-1, 8)
+                bits[:, w, j] = 2 * np.add.reduceat(lanes.astype(np.int64), chunk_first) > n[:, None]
+        packed = np.packbits(bits.reshape(len(n), -1), axis=1)
+        out += [row.tobytes() for row in packed]
+    return out
 
 
 def _node(held: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(held.tobytes(), 42) - (1 << 63)
 
 
-def _similar(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are that similar: first by the signatures, with slack, then by the whole sets."""
+def _bits(signs: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1), axis=1)
+
+
+def _values(signs: list[bytes], groups: list[list[int]]) -> np.ndarray:
+    """Each fingerprint's value in each partition: rows x partitions."""
+    if not signs:
+        return np.zeros((0, len(groups)), np.int64)
+    bits = _bits(signs)
+    return np.stack([bits[:, g].astype(np.int64) @ (1 << np.arange(len(g), dtype=np.int64)) for g in groups], 1)
+
+
+def thresholds(classes: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """``classes`` with ``asks``: the threshold of each partition plus 1, a byte each."""
+    parts, least = len(groups), 1 << COUNTED
+
+    def count():
+        def step(signs):
+            slot, n = np.unique((_values(signs, groups) & (least - 1)) + np.arange(parts) * least, return_counts=True)
+            return {"slot": slot, "n": n}
+
+        return step
+
+    counts = np.zeros(parts * least)
+    for slot, n in map_batches(classes, ["sign"], "slot int, n long", count).groupBy("slot").agg(F.sum("n")).toPandas().to_numpy().tolist():  # at most parts x 4096 rows
+        counts[int(slot)] = n
+    shared = classes.sparkSession.sparkContext.broadcast(counts.reshape(parts, least).astype(np.float32))
+
+    def make():
+        price = []
+        for g, c in zip(groups, shared.value):
+            near = ball_counts(c, 1, COUNTED) / 2.0 ** max(0, len(g) - COUNTED)
+            price.append(np.vstack([np.zeros(least), near[0] + 1, near[1] + 1 + len(g)]).astype(np.float32))
+
+        def step(nodes, least_rows, ns, signs):
+            v, out = _values(signs, groups) & (least - 1), []
+            for at in range(0, len(nodes), 2048):
+                costs = np.stack([p[:, v[at : at + 2048, i]].T for i, p in enumerate(price)], 1)
+                out += [r.tobytes() for r in (allocate(costs, parts - 1) + 1).astype(np.uint8)]
+            return {"node": nodes, "least": least_rows, "n": ns, "sign": signs, "asks": out}
+
+        return step
+
+    schema = classes.select("node", "least", "n", "sign").schema.add("asks", "binary")
+    return map_batches(classes, ["node", "least", "n", "sign"], schema, make)
+
+
+def _rows(classes: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """A row for every value at which a class stands (kind 1: and looks, 0: without looking) or only looks (kind 2)."""
+
+    def make():
+        def step(nodes, roots, ns, signs, asks):
+            v = _values(signs, groups)
+            node, root, n = (np.array(x, np.int64) for x in (nodes, roots, ns))
+            t = np.frombuffer(b"".join(asks), np.uint8).reshape(len(nodes), len(groups))
+            check = np.frombuffer(b"".join(s[:16] for s in signs), "<i8").reshape(-1, 2)
+            slot, at, kind = [], [], []
+            for i, g in enumerate(groups):
+                slot.append(v[:, i] + (i << 32))
+                at.append(np.arange(len(node)))
+                kind.append((t[:, i] > 0).astype(np.int8))
+                far = np.flatnonzero(t[:, i] > 1)
+                slot.append((v[far, i][:, None] ^ (1 << np.arange(len(g)))).ravel() + (i << 32))
+                at.append(np.repeat(far, len(g)))
+                kind.append(np.full(len(far) * len(g), 2, np.int8))
+            at = np.concatenate(at)
+            return {"slot": np.concatenate(slot), "kind": np.concatenate(kind), "root": root[at], "node": node[at], "n": n[at], "c0": check[at, 0], "c1": check[at, 1]}
+
+        return step
+
+    return map_batches(classes, ["node", "root", "n", "sign", "asks"], "slot long, kind byte, root long, node long, n int, c0 long, c1 long", make)
+
+
+_ORDER = ["slot", "cell", "root", "node", "kind", "block", "n", "c0", "c1"]
+
+
+def _meetings(similarity: float, leaders: bool):
+    """Over rows in that order: pairs of one value that may be similar and are of different roots, ``a`` under ``b``.
+
+    With ``leaders`` each row gives one partner only, rows far down a crowded value meet its first rows only, and all rows that
+    have a partner or stand in a crowded value are named (a is b).
+    """
+    p = differing(similarity)
+    most = 128 * p + 4 * math.sqrt(128 * p * (1 - p))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            old = 0
+            if held is not None and len(got[0]) and held[0][0] == got[0][0] and held[1][0] == got[1][0]:
+                old, got = len(held[0]), [np.concatenate(x) for x in zip(held, got)]
+            slot, cell, root, node, kind, block, n, c0, c1 = got
+            if not len(slot):
+                continue
+            here = np.arange(len(slot))
+            fresh = np.concatenate([[True], (slot[1:] != slot[:-1]) | (cell[1:] != cell[:-1])])
+            start = np.maximum.accumulate(np.where(fresh, here, 0))
+            other = np.maximum.accumulate(np.where(fresh | np.concatenate([[True], root[1:] != root[:-1]]), here, 0))
+            back = other - start
+            if leaders:
+                back = np.where(here - start >= CROWDED, np.minimum(back, LEADERS), back)
+            back[:old] = 0
+            ends = np.cumsum(back)
+            pairs = []
+            for at in range(0, int(ends[-1]), 1 << 20):
+                k = np.arange(at, min(at + (1 << 20), int(ends[-1])))
+                x = np.searchsorted(ends, k, side="right")
+                y = start[x] + k - (ends[x] - back[x])
+                near = np.bitwise_count((c0[x] ^ c0[y]).view(np.uint64)) + np.bitwise_count((c1[x] ^ c1[y]).view(np.uint64)) <= most
+                x, y = x[near], y[near]
+                ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & ((kind[x] > 0) | (kind[y] > 0)) & ((kind[x] < 2) | (kind[y] < 2)) & (node[x] != node[y])
+                ok &= (cell[x] % (1 << 20) == cell[x] >> 20) | (block[x] != block[y])
+                pairs.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]]))
+            a, b = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+            if leaders:
+                crowded = node[np.flatnonzero(np.bincount(start, minlength=len(slot))[start] > CROWDED)]
+                # any partner will do, so not the same one for all
+                order = np.lexsort((_mix(a.view(np.uint64) ^ _mix(b.view(np.uint64))), b))
+                keep = order[np.concatenate([[True], b[order][1:] != b[order][:-1]])] if len(b) else order
+                named = np.unique(np.concatenate([a, crowded]))
+                a, b = np.concatenate([a[keep], named]), np.concatenate([b[keep], named])
+            elif len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            held = [c[start[-1] :] for c in got]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _met(classes: DataFrame, groups: list[list[int]], similarity: float, *, leaders: bool) -> DataFrame:
+    """What ``_meetings`` says of ``classes`` (node, root, n, sign, asks)."""
+    rows = dealt(_rows(classes, groups), CROWD, pairs=not leaders)
+    ordered = rows.select(*_ORDER).repartition("slot", "cell").sortWithinPartitions(*_ORDER[:4])
+    return ordered.mapInArrow(_meetings(similarity, leaders), "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets are that similar: first by all bits, with slack, then by the whole sets."""
 
     def ends(found: DataFrame, held: DataFrame) -> DataFrame:
         return found.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
 
+    p = differing(similarity)
+
     def near():
         def keep(x, y):
-            return [np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) >= (similarity - SLACK) * len(p) for p, q in zip(x, y)]
+            return [(int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= len(a) * 8 * p + 5 * math.sqrt(len(a) * 8 * p * (1 - p)) for a, b in zip(x, y)]
 
         return keep
 
@@ -91,65 +268,80 @@ def _similar(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: fl
     def exact():
         def keep(x, y):
             out = []
-            for p, q in zip(x, y):
-                a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            for s, t in zip(x, y):
+                a, b = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(both >= similarity * (len(a) + len(b) - both))
             return out
 
         return keep
 
-    left = stored(filter_rows(ends(pairs, signs), ["x", "y"], near).select("a", "b"), "candidates")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = map_batches(docs, ["text"], "node long, held binary", sets).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    left = stored(filter_rows(ends(pairs, classes.select("node", "sign")), ["x", "y"], near).select("a", "b"), "candidates")
+    if left.isEmpty():
+        return left
+    wanted = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    small = wanted.count() <= BROADCAST
+    held = map_batches(docs, ["text"], "node long, held binary", sets).join(F.broadcast(wanted) if small else wanted, "node", "left_semi").dropDuplicates(["node"])
     return stored(filter_rows(ends(left, stored(held, "sets")), ["x", "y"], exact).select("a", "b"), "similar")
 
 
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id and component_id (the least doc_id that links reach) for every row.
+def _groups(classes: DataFrame, parts: int) -> list[list[int]]:
+    """The fingerprints' bits in ``parts`` groups, by their correlations over about ``SAMPLE`` classes drawn by a hash."""
+    draw = F.pmod(F.xxhash64(F.lit("groups"), "node"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, classes.count())) * (1 << 30)))
+    signs = [bytes(r.sign) for r in classes.where(draw).select("sign").collect()]
+    bits = _bits(signs).astype(np.float64) if len(signs) > 1 else np.zeros((2, 8 * len(signs[0]) if signs else 64))
+    bits -= bits.mean(0)
+    scale = np.sqrt((bits**2).sum(0)) + 1e-9
+    return correlated_groups(np.abs(bits.T @ bits) / np.outer(scale, scale), parts)
 
-    Null and empty texts are copies of each other. A row without doc_id takes part; a component of such rows alone has a null id.
-    """
+
+def _linked(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node) of every row, ``key`` a hash of its text, and (node, root, least) of every class, ``least`` the least (doc_id, key) in it."""
+    words, parts = shape_of(docs.count(), similarity)
 
     def make():
         hashed = Words()
 
-        def step(keys, texts):
+        def step(keys, texts, hashes):
             held = [windows(t, hashed, shingle) for t in texts]
-            least = [signature(h) for h in held]
-            return {"doc_id": keys, "node": [_node(h) for h in held], "n": [len(h) for h in held], "keys": [_keys(s) for s in least], "sign": [s.view(np.uint8)[7::8].tobytes() for s in least]}
+            return {"doc_id": keys, "key": hashes, "node": [_node(h) for h in held], "n": [len(h) for h in held], "sign": signatures(held, words) if held else []}
 
         return step
 
-    rows = stored(map_batches(docs, ["doc_id", "text"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, keys array<long>, sign binary", make), "windows")
-    classes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign")), "classes")
-    signs = classes.select("node", "sign")
-    dealt = classes.select(F.explode("keys").alias("key"), "node", "n")
-    met = dealt.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("lo"), F.max_by(F.struct("node", "n"), "node").alias("hi")).where("lo.node <> hi.node")
-    shared = stored(dealt.join(met, "key"), "shared")
-
-    def pairs(a, m, b, n, found):
-        near = F.least(m, n) >= similarity * F.greatest(m, n)  # sets of less like sizes cannot be that similar
-        return found.where((a != b) & near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-
-    c = F.col
-    first = stored(pairs(c("node"), c("n"), c("lo.node"), c("lo.n"), shared).unionByName(pairs(c("node"), c("n"), c("hi.node"), c("hi.n"), shared)).distinct(), "first")
-    linked = _similar(first, signs, docs, similarity, shingle)
-    known = components(linked)
-    placed = shared.select("key", "node", "n").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    placed = stored(placed.join(open_keys, "key", "left_semi"), "open")
-    x, y = placed.select("key", *(c(k).alias(f"{k}1") for k in ("node", "n", "root"))), placed.select("key", *(c(k).alias(f"{k}2") for k in ("node", "n", "root")))
-    rest = x.join(y, "key").where("root1 <> root2 and node1 < node2")
-    rest = pairs(c("node1"), c("n1"), c("node2"), c("n2"), rest).distinct().join(first, ["a", "b"], "left_anti")
-    links = linked.unionByName(_similar(rest, signs, docs, similarity, shingle))
-    rooted = stored(classes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    sizes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(rooted.join(sizes, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs``, with all columns, of each component: that with the least doc_id. Rows without doc_id stay."""
-    found = near_copies(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = stored(map_batches(keyed, ["doc_id", "text", "key"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, n int, sign binary", make), "windows")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    classes = stored(rows.groupBy("node").agg(F.min(named).alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
+    groups = _groups(classes, parts)
+    asked = stored(thresholds(classes, groups), "asked")
+    one = F.min(F.when(F.col("a") != F.col("b"), F.struct(F.xxhash64("a", "b").alias("h"), "a"))).alias("partner")
+    first = stored(_met(asked.withColumn("root", F.col("node")), groups, similarity, leaders=True).groupBy("b").agg(one), "first")
+    tried = first.where("partner is not null").select("partner.a", "b")
+    links = _verified(tried, classes, docs, similarity, shingle)
+    rooted = lambda some, found: some.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = stored(rooted(asked.join(first.select(F.col("b").alias("node")), "node", "left_semi"), links), "open")
+    rest = _met(left, groups, similarity, leaders=False).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(rest, classes, docs, similarity, shingle))
+    return rows.select("doc_id", "key", "node"), stored(rooted(classes.select("node", "least"), links), "rooted")
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id (the least doc_id that links reach) for every row.
+
+    Null and empty texts are copies of each other. A row without doc_id takes part; a component of such rows alone has a null id.
+    Repeated rows stay, an empty table stays empty, other columns are not looked at.
+    """
+    rows, rooted = _linked(docs, similarity, shingle)
+    least = rooted.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row of ``docs``, with all columns, of each component: that with the least doc_id, and of several texts under that id that with the least hash.
+
+    Rows without doc_id stay. Equal rows of one id count once; another text under the same id is judged by itself. An empty table stays empty.
+    """
+    _, rooted = _linked(docs, similarity, shingle)
+    best = rooted.groupBy("root").agg(F.min("least").alias("x")).where("x is not null").select(F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias("_text_hash"))
+    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(best, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

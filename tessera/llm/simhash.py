@@ -27,9 +27,41 @@ SEED = 42
 COUNTED = 16
 
 
-def partitions_for(n: int) -> int:
-    """Fewer, wider partitions for more fingerprints, so that a value's share of them stays small."""
-    return 4 if n < 1 << 22 else 3 if n < 1 << 30 else 2
+#: Rows of one value that a task takes; more are dealt over several.
+CROWD = 20_000
+
+
+def partitions_for(n: int, reach: int) -> int:
+    """2, 3 or 4 partitions: the number with the fewest probes and candidates for a fingerprint, if values were even and thresholds near equal."""
+
+    def price(parts: int) -> float:
+        width, total = 64 // parts, 0.0
+        for i in range(parts):
+            t = (reach - parts + 1 + i) // parts  # thresholds of that sum
+            ways = sum(comb(width, d) for d in range(t + 1))
+            total += ways * (1 + n / 2.0**width)
+        return total
+
+    return min((2, 3, 4), key=lambda p: (price(p), -p))
+
+
+def dealt(rows: DataFrame, most: int, *, pairs: bool) -> DataFrame:
+    """``rows`` (slot, node, ...) with ``cell`` and ``block``: where a slot has more than ``most`` rows they are cut into blocks by a hash of node.
+
+    With ``pairs`` every two blocks meet in a cell of their own (so a row goes to as many cells as its slot has blocks), else each block
+    is a cell. A cell is i * 2**20 + j for blocks i <= j. The crowded slots are broadcast only if they are few.
+    """
+    crowded = stored(rows.groupBy("slot").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("slot", F.ceil(F.col("_n") / most).cast("long").alias("_blocks")), "crowded")
+    many = crowded.count()
+    if not many:
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "block": F.lit(0).cast("int")})
+    joined = rows.join(F.broadcast(crowded) if many <= 1 << 16 else crowded, "slot", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    joined = joined.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    place = lambda i, j: F.shiftleft(i.cast("long"), 20) + j
+    if not pairs:
+        return joined.withColumn("cell", place(F.col("block"), F.col("block"))).drop("_blocks")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda j: place(F.least(j, F.col("block").cast("long")), F.greatest(j, F.col("block").cast("long"))))
+    return joined.withColumn("cell", F.explode(cells)).drop("_blocks")
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -81,19 +113,27 @@ def bit_groups(fps: DataFrame, parts: int = 4) -> list[list[int]]:
     mean = table[64] / n
     cov = table[:64] / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    tie = np.abs(cov / np.outer(sd, sd))
+    return correlated_groups(np.abs(cov / np.outer(sd, sd)), parts)
+
+
+def correlated_groups(tie: np.ndarray, parts: int) -> list[list[int]]:
+    """The bits in ``parts`` groups of about equal size, greedily from the pair that goes together most."""
+    tie = tie.copy()
     np.fill_diagonal(tie, -1.0)
-    left, groups = list(range(64)), []
+    free, groups = np.ones(len(tie), bool), []
     for i in range(parts):
+        left = np.flatnonzero(free)
         width = -(-len(left) // (parts - i))
         sub = tie[np.ix_(left, left)]
-        a, b = np.unravel_index(int(sub.argmax()), sub.shape)
-        group = [left[a], left[b]]
+        group = [int(left[k]) for k in np.unravel_index(int(sub.argmax()), sub.shape)][:width]
+        free[group] = False
+        near = tie[:, group].sum(1)
         while len(group) < width:
-            rest = [x for x in left if x not in group]
-            group.append(max(rest, key=lambda x: (tie[x, group].sum(), -x)))
+            x = int(np.where(free, near, -np.inf).argmax())
+            group.append(x)
+            free[x] = False
+            near = near + tie[:, x]
         groups.append(sorted(group))
-        left = [x for x in left if x not in group]
     return groups
 
 
@@ -107,33 +147,35 @@ def _values(fps: np.ndarray, groups: list[list[int]]) -> np.ndarray:
     return np.stack([sum(((u >> np.uint64(b)) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(g)) for g in groups], 1).astype(np.int64)
 
 
-def ball_counts(counts: np.ndarray, radius: int) -> np.ndarray:
-    """``counts[v]`` by value of ``COUNTED`` bits -> rows 0..radius: how many rows have values within that many bits of v."""
-    at = np.arange(1 << COUNTED)
+def ball_counts(counts: np.ndarray, radius: int, bits: int = COUNTED) -> np.ndarray:
+    """``counts[v]`` by value of ``bits`` bits -> rows 0..radius: how many rows have values within that many bits of v."""
+    at = np.arange(1 << bits)
     exact = [counts.astype(np.float64)]
     for d in range(1, radius + 1):
-        around = sum(exact[d - 1][at ^ (1 << b)] for b in range(COUNTED))
-        exact.append((around - (COUNTED - d + 2) * exact[d - 2]) / d if d > 1 else around)
+        around = sum(exact[d - 1][at ^ (1 << b)] for b in range(bits))
+        exact.append((around - (bits - d + 2) * exact[d - 2]) / d if d > 1 else around)
     return np.cumsum(exact, 0)
 
 
 def allocate(costs: np.ndarray, reach: int) -> np.ndarray:
-    """``costs``: rows x PARTS x (reach + 2), the cost of thresholds -1..reach. Returns the thresholds, rows x PARTS.
+    """``costs``: rows x partitions x k, the cost of thresholds -1..k - 2. Returns the thresholds, rows x partitions.
 
     Dynamic programming over the partitions and the sum of (threshold + 1) spent so far; the sum must be ``reach + 1``.
     """
     n, need = len(costs), reach + 1
-    best = np.full((n, need + 1), np.inf)
+    best = np.full((n, need + 1), np.inf, costs.dtype)
     best[:, 0], choice = 0, []
     for i in range(costs.shape[1]):
-        options = np.full((n, need + 1, need + 1), np.inf)  # spent after, spent here
-        for here in range(need + 1):
-            options[:, here:, here] = best[:, : need + 1 - here] + costs[:, i, here : here + 1]
-        choice.append(options.argmin(2))
-        best = options.min(2)
+        after, taken = np.full((n, need + 1), np.inf, costs.dtype), np.zeros((n, need + 1), np.int8)  # by what is spent with this partition
+        for here in range(costs.shape[2]):
+            option = best[:, : need + 1 - here] + costs[:, i, here : here + 1]
+            better = option < after[:, here:]
+            after[:, here:][better], taken[:, here:][better] = option[better], here
+        choice.append(taken)
+        best = after
     out, left = np.empty((n, costs.shape[1]), np.int64), np.full(n, need)
     for i in range(costs.shape[1] - 1, -1, -1):
-        here = choice[i][np.arange(n), left]
+        here = choice[i][np.arange(n), left].astype(np.int64)
         out[:, i], left = here - 1, left - here
     return out
 
@@ -147,7 +189,7 @@ def links(distinct: DataFrame, reach: int = 3, *, parts: int | None = None, fore
 
     All of them, or with ``forest`` enough of them to connect whatever they connect.
     """
-    spark, parts = distinct.sparkSession, parts or partitions_for(distinct.count())
+    spark, parts = distinct.sparkSession, parts or partitions_for(distinct.count(), reach)
     groups = bit_groups(distinct, parts)
     least = 1 << COUNTED
 
@@ -190,9 +232,21 @@ def links(distinct: DataFrame, reach: int = 3, *, parts: int | None = None, fore
         return step
 
     probes = map_batches(distinct, ["fp"], "slot long, fp long", probe)
-    both = indexed.select("slot", "fp", F.lit(0).cast("byte").alias("kind")).unionByName(probes.select("slot", "fp", F.lit(1).cast("byte").alias("kind")))
+    # a crowded slot is cut into blocks of its index rows; its probes go to all of them
+    crowded = stored(indexed.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("slot", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")), "crowded")
+    many = crowded.count()
+    zero, kind = F.lit(0), lambda k: F.lit(k).cast("byte").alias("kind")
+    if many:
+        crowded = F.broadcast(crowded) if many <= 1 << 16 else crowded
+        indexed = indexed.join(crowded, "slot", "left").select("slot", "fp", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+        probes = probes.join(crowded, "slot", "left").select("slot", "fp", F.explode(F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    else:
+        indexed, probes = indexed.withColumn("block", zero), probes.withColumn("block", zero)
+    both = indexed.select("slot", "block", "fp", kind(0)).unionByName(probes.select("slot", "block", "fp", kind(1)))
     out = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    found = both.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(_verify(reach, forest), out)
+    dealt_rows = both.repartition("slot", "block").sortWithinPartitions("slot", "block", "kind")
+    cell = (F.shiftleft("slot", 20) + F.col("block")).alias("cell")
+    found = dealt_rows.select(cell, "fp", "kind").mapInArrow(_verify(reach, forest), out)
     return found if forest else found.distinct()
 
 
@@ -237,6 +291,8 @@ def _verify(reach: int, forest: bool):
                 a, b = fp[asks[q]], fp[own[lo[q] + k - (ends[q] - n[q])]]
                 ok = (a < b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= reach)
                 pairs += fresh(a[ok], b[ok])
+            if len(parent) > 1 << 20:  # some links may then be told twice
+                parent.clear()
             slot_at = slot[-1]
             held = fp[own[slot[own] == slot_at]]
             if pairs:

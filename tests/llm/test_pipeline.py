@@ -4,8 +4,8 @@ import corpus_pipeline as P
 from tessera.llm.common import stored, table
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.quality_rules import quality_rules
-from tessera.llm.simhash import near_duplicates
 from tessera.llm.toxicity import toxicity
+from test_near_copies import slow_components
 
 DATA = "/root/testdata/sf0.01"
 
@@ -18,7 +18,7 @@ def test_stages(spark):
     want = {
         "toxicity": lambda d: before - {r.doc_id for r in toxicity(d, labels).where("predicted = 1").collect()},
         "quality_rules": lambda d: {r.doc_id for r in quality_rules(d, labels).where("kept").collect()},
-        "near_dedup": lambda d: {r.component_id for r in near_duplicates(d, reach=6).collect()},
+        "near_dedup": lambda d: set(slow_components([(r.doc_id, r.text) for r in d.collect()]).values()),
         "decontamination": lambda d: before - {r.doc_id for r in decontaminate(d, table(spark, DATA, "benchmark")).where("contaminated").collect()},
     }
     for name, stage in P.STAGES[:-1]:
