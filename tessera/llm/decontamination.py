@@ -9,39 +9,113 @@ its answer, the last words, is covered too where the wording differs.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filter_rows, map_batches
+from tessera.llm.common import filter_rows, map_batches, stored
 
 FEATURES = 1 << 15
 HOP, WINDOW = 16, 48
 #: Benchmark items, and bytes of their texts, in one block of the query set.
 BLOCK, BLOCK_BYTES = 8192, 8 << 20
+#: Blocks that a worker holds at once.
+AT_ONCE = 2
 #: Passages in one latent space, and runs of three words by which a passage is also looked up.
 SPACE, RUNS = 256, 4
 
+#: Bytes of texts that are hashed and searched together; longer texts go in cuts that overlap.
+GROUP_BYTES = 1 << 19
+#: Features in more than this share of the documents, and in this number of them at least, carry no weight.
+COMMON, COMMON_DOCS = 1 / 16, 100
+
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+_ODD = np.random.default_rng(2).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def spaced(text: str | None) -> bytes:
+    """Lower-case UTF-8 with spaces for ASCII punctuation."""
+    return (text or "").encode().translate(_SPACED).lower()
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Lower-case words without ASCII punctuation."""
-    return (text or "").encode().translate(_SPACED).lower().split()
-
+    return spaced(text).split()
 
-class Hashed(dict):
-    """word -> feature, remembered by the worker up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        got = self[word] = zlib.crc32(word) & (FEATURES - 1)
-        return got
+@dataclass
+class Group:
+    """Words of several texts side by side: ``cuts`` are (text, its first word here, the word after its last); a long text has several."""
+
+    raw: bytes
+    features: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    cuts: list[tuple[int, int, int]]
+
+    def words(self, a: int, b: int) -> list[bytes]:
+        return self.raw[self.starts[a] : self.ends[b - 1]].split() if b > a else []
+
+
+def hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features, starts and ends of the words in ``raw``, all at once: a word's feature is a hash of its bytes and their places."""
+    buffer = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(buffer) + 2, np.int8)
+    inside[1:-1] = buffer != 32
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return np.zeros(0, np.int32), starts, ends
+    letters, lengths = buffer[inside[1:-1].view(bool)], ends - starts
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(begin, lengths)
+    h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _ODD[place & 255], begin) + lengths.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _ODD[0]
+    return (h >> np.uint64(49)).astype(np.int32), starts, ends
+
+
+def _cuts(raw: bytes) -> Iterator[bytes]:
+    """``raw`` itself, or pieces of it at spaces, each beginning two windows of words before the last one's end."""
+    at = 0
+    while True:
+        end = raw.find(b" ", at + GROUP_BYTES)
+        if end < 0:
+            yield raw[at:]
+            return
+        yield raw[at:end]
+        back = end
+        for _ in range(2 * WINDOW):  # a word at a time
+            while back > at and raw[back - 1] == 32:
+                back -= 1
+            back = max(at, raw.rfind(b" ", at, back))
+        at = back if back > at else end
+
+
+def grouped(texts: list[str | None]) -> Iterator[Group]:
+    """The texts in groups of about ``GROUP_BYTES``."""
+    held, size = [], 0
+
+    def group() -> Group:
+        raw = b" ".join(x for _, x in held)
+        features, starts, ends = hashed(raw)
+        bounds = np.cumsum([0, *(len(x) + 1 for _, x in held)])
+        first = np.searchsorted(starts, bounds).tolist()
+        return Group(raw, features, starts, ends, [(i, a, z) for (i, _), a, z in zip(held, first, first[1:])])
+
+    for i, text in enumerate(texts):
+        for raw in _cuts(spaced(text)):
+            held.append((i, raw))
+            size += len(raw)
+            if size >= GROUP_BYTES:
+                yield group()
+                held, size = [], 0
+    if held:
+        yield group()
 
 
 def passages(words: list[bytes]) -> list[list[bytes]]:
@@ -55,13 +129,20 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each feature, over all rows; at most ``FEATURES`` sums come to the driver."""
 
     def make():
-        hashed = Hashed()
+        place = np.zeros(FEATURES, np.int32)
 
         def step(texts):
-            df = np.zeros(FEATURES, np.int64)
-            for t in texts:
-                if w := set(map(hashed.__getitem__, tokens(t))):
-                    df[list(w)] += 1
+            df, last = np.zeros(FEATURES, np.int64), (-1, np.zeros(FEATURES, bool))
+            for g in grouped(texts):
+                for i, a, z in g.cuts:
+                    f, here = g.features[a:z], np.arange(z - a, dtype=np.int32)
+                    place[f] = here
+                    f = f[place[f] == here]  # each feature once
+                    if z == len(g.features) or last[0] == i:  # the text may go on in the next group
+                        last = last if last[0] == i else (i, np.zeros(FEATURES, bool))
+                        f = f[~last[1][f]]
+                        last[1][f] = True
+                    df[f] += 1
             at = np.flatnonzero(df)
             return {"f": [-1, *at.tolist()], "n": [len(texts), *df[at].tolist()]}
 
@@ -77,23 +158,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log((n + 2) / (df + 1))
+    """Inverse document frequencies, 0 for features of too many documents."""
+    return np.where(df > max(COMMON * n, COMMON_DOCS), 0.0, np.log((n + 2) / (df + 1)))
 
 
 def _runs(features: np.ndarray) -> np.ndarray:
     """One number for every three features in a row."""
-    return (features[:-2] << 30) + (features[1:-1] << 15) + features[2:] if len(features) > 2 else np.zeros(0, np.int64)
+    f = features.astype(np.int64)
+    return (f[:-2] << 30) + (f[1:-1] << 15) + f[2:] if len(f) > 2 else np.zeros(0, np.int64)
 
 
 def _slot(runs: np.ndarray) -> np.ndarray:
     return (runs * 0x9E3779B97F4A7 >> 20) & ((1 << 20) - 1)
 
 
-def _rows(parts: list[list[bytes]], idf: np.ndarray, hashed: Hashed) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unit TF-IDF rows, sparse."""
+def _rows(parts: list[list[bytes]], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit TF-IDF rows, sparse; a row of common words alone is empty."""
     out = []
     for p in parts:
-        f, c = np.unique(np.fromiter(map(hashed.__getitem__, p), np.int64, len(p)), return_counts=True)
+        f, c = np.unique(hashed(b" ".join(p))[0], return_counts=True)
+        f, c = f[idf[f] > 0], c[idf[f] > 0]
         x = c * idf[f]
         out.append((f, x / (np.linalg.norm(x) or 1.0)))
     return out
@@ -105,6 +189,8 @@ def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], *, rank: int = 160,
     ``rank`` axes, or as many more as it takes to keep that share of the energy of every row, so no passage is lost to the others.
     """
     used = np.unique(np.concatenate([f for f, _ in rows]))
+    if not len(used):
+        return used, np.zeros((0, 1))
     a = np.zeros((len(rows), len(used)))
     for i, (f, x) in enumerate(rows):
         a[i, np.searchsorted(used, f)] = x
@@ -153,7 +239,7 @@ class Passage:
         n = len(self.words)
         share = common_subsequence(self.masks, n, region) / n
         if n < 8:
-            return share if share == 1.0 and b" %s " % b" ".join(self.words) in b" %s " % b" ".join(region) and n >= 4 else 0.0
+            return share if share == 1.0 and b" %s " % b" ".join(self.words) in b" %s " % b" ".join(region) and n >= 3 else 0.0
         if share >= sure:
             return share
         if share >= wording and common_subsequence(self.tail_masks, len(self.tail), region) >= answer * len(self.tail):
@@ -174,17 +260,19 @@ class Space:
         self.index = np.array([x @ axes[np.searchsorted(used, f)] for f, x in rows], np.float32)
         self.index /= np.linalg.norm(self.index, axis=1, keepdims=True) + 1e-9
 
-    def windows(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def windows(self, features: np.ndarray, hop: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Latent vectors of the windows that begin at every hop, by the length that the windows have with all their words.
 
-        So a window that has little in common with the benchmark is near to nothing, whatever its direction.
+        ``hop`` is that of each word, ascending. So a window that has little in common with the benchmark is near to nothing, whatever its direction.
         """
         rows = self.row[features]
         sums = np.zeros((len(lengths) + 2, self.table.shape[1]), np.float32)
         at = np.flatnonzero(rows)
         if len(at):
-            hop, begin = np.unique(at // HOP, return_index=True)
-            sums[hop] = np.add.reduceat(self.table[rows[at]], begin, axis=0)
+            held, begin, n = np.unique(hop[at], return_index=True, return_counts=True)
+            for k in range(n.max()):  # the k-th word of every hop that has so many
+                more = n > k
+                sums[held[more]] += self.table[rows[at[begin[more] + k]]]
         return (sums[:-2] + sums[1:-1] + sums[2:]) / lengths[:, None]
 
 
@@ -192,115 +280,139 @@ class Search:
     """Finds benchmark passages in documents; built on each executor."""
 
     def __init__(self, passages: list[Passage], spaces: list[Space], idf: np.ndarray, *, cosine: float, sure: float, wording: float, answer: float):
-        self.hashed, self.cosine = Hashed(), cosine
+        self.cosine = cosine
         self.checks = {"sure": sure, "wording": wording, "answer": answer}
         self.passages, self.spaces, self.energy = passages, spaces, (idf**2).astype(np.float32)
         # the rarest runs of three words of each passage, with their places in it: whoever holds a whole passage holds them all
         self.runs: dict[int, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.passages):
-            f = np.fromiter(map(self.hashed.__getitem__, p.words), np.int64, len(p.words))
+            f = hashed(b" ".join(p.words))[0]
             runs, rare = _runs(f), idf[f[:-2]] + idf[f[1:-1]] + idf[f[2:]] if len(f) > 2 else np.zeros(0)
             for o in np.argsort(-rare, kind="stable")[:RUNS].tolist():
                 self.runs.setdefault(int(runs[o]), []).append((k, o))
+        self.whole = {b" ".join(p.words): p.item for p in passages if len(p.words) < 3}
         self.seen = np.zeros(1 << 20, bool)
         self.seen[_slot(np.fromiter(self.runs, np.int64, len(self.runs)))] = True
 
-    def candidates(self, features: np.ndarray) -> list[tuple[int, int]]:
-        """(hop, passage), ascending: windows near a passage in its latent space, and those where one of its rarest runs stands."""
-        hops = -(-len(features) // HOP)
-        energy = np.zeros(hops + 2, np.float32)
-        energy[:-2] = np.add.reduceat(self.energy[features], np.arange(0, len(features), HOP))
-        lengths = np.sqrt(energy[:-2] + energy[1:-1] + energy[2:] + 1e-9)
-        found, base = set(), 0
+    def candidates(self, g: Group) -> list[tuple[int, int, int]]:
+        """(cut, hop in it, passage), ascending: windows near a passage in its latent space, and those where one of its rarest runs stands."""
+        first, n = np.array([a for _, a, _ in g.cuts]), np.array([z - a for _, a, z in g.cuts])
+        # every cut begins a hop, and two empty hops behind it keep its windows from its neighbour's
+        hops = -(-n // HOP) + 2
+        base = np.cumsum(hops) - hops
+        cut = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(cut)) - np.repeat(first, n)
+        hop = base[cut] + place // HOP
+        energy = np.bincount(hop, self.energy[g.features], int(hops.sum()) + 2)
+        lengths = np.sqrt(energy[:-2] + energy[1:-1] + energy[2:] + 1e-9).astype(np.float32)
+        found, before = set(), 0
         for s in self.spaces:
-            hop, passage = np.nonzero(s.windows(features, lengths) @ s.index.T >= self.cosine)
-            found.update(zip(hop.tolist(), (passage + base).tolist()))
-            base += len(s.index)
-        runs = _runs(features)
+            near = s.windows(g.features, hop, lengths)
+            # no passage is nearer than a vector is long
+            long = np.flatnonzero(np.einsum("ij,ij->i", near, near) >= self.cosine**2)
+            at, passage = np.nonzero(near[long] @ s.index.T >= self.cosine)
+            at = long[at]
+            of = np.searchsorted(base, at, side="right") - 1
+            found.update(zip(of.tolist(), (at - base[of]).tolist(), (passage + before).tolist()))
+            before += len(s.index)
+        runs = _runs(g.features)
         for i in np.flatnonzero(self.seen[_slot(runs)]).tolist():
-            for k, o in self.runs.get(int(runs[i]), ()):
-                found.add((max(0, i - o) // HOP, k))
+            for k, o in self.runs.get(int(runs[i]), ()) if cut[i] == cut[i + 2] else ():
+                found.add((int(cut[i]), max(0, int(place[i]) - o) // HOP, k))
         return sorted(found)
 
     def of(self, texts: list[str | None]) -> list[dict[int, float]]:
         """For each text: item -> the best share found."""
-        found: list[dict[int, float]] = []
-        for text in texts:
-            words = tokens(text)
-            got: dict[int, float] = {}
-            # a long text goes in cuts that overlap by two windows, so memory does not follow its length
-            for a in range(0, max(1, len(words)), 16_384 - 2 * WINDOW):
-                part = words[a : a + 16_384]
-                if part and self.passages:
-                    features = np.fromiter(map(self.hashed.__getitem__, part), np.int64, len(part))
-                    last, region, held = -1, [], set()
-                    for h, p in self.candidates(features):
-                        q = self.passages[p]
-                        if h != last:
-                            last, region = h, part[max(0, HOP * h - HOP) : HOP * h + WINDOW + HOP]
-                            held = set(region)
-                        if got.get(q.item, 0.0) < 1.0 and q.at_most(held) >= min(self.checks["wording"], self.checks["sure"]):
-                            share = q.match(region, **self.checks)
-                            if share > got.get(q.item, 0.0):
-                                got[q.item] = share
-            found.append(got)
+        found: list[dict[int, float]] = [{} for _ in texts]
+        if not self.passages:
+            return found
+        for g in grouped(texts):
+            if not len(g.features):
+                continue
+            last, region, held = None, [], set()
+            for i, a, z in g.cuts if self.whole else ():
+                if z - a < 3 and (item := self.whole.get(b" ".join(g.words(a, z)))) is not None:
+                    found[i][item] = 1.0
+            for c, h, p in self.candidates(g):
+                q, (i, a, z) = self.passages[p], g.cuts[c]
+                got = found[i]
+                if (c, h) != last:
+                    last, region = (c, h), g.words(max(a, a + HOP * h - HOP), min(z, a + HOP * h + WINDOW + HOP))
+                    held = set(region)
+                if got.get(q.item, 0.0) < 1.0 and q.at_most(held) >= min(self.checks["wording"], self.checks["sure"]):
+                    share = q.match(region, **self.checks)
+                    if share > got.get(q.item, 0.0):
+                        got[q.item] = share
         return found
 
 
-def _searches(docs: DataFrame, items: DataFrame, *, rank: int = 160, cosine: float = 0.22, sure: float = 0.75, wording: float = 0.6, answer: float = 0.6) -> list:
-    """A maker of searches for each block of the benchmark."""
+def _searches(docs: DataFrame, items: DataFrame, *, rank: int = 160, cosine: float = 0.22, sure: float = 0.75, wording: float = 0.6, answer: float = 0.6) -> Iterator[Callable[[], list[Search]]]:
+    """Makers of the searches for ``AT_ONCE`` blocks of the benchmark each, so that no worker holds more of it; the next ones replace them."""
     clean = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     idf = weights(*document_frequencies(docs))
     size = clean.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size.n // BLOCK), -(-size.b // BLOCK_BYTES))
-    context, out = docs.sparkSession.sparkContext, []
-    for b in range(blocks):
-        rows = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+    context = docs.sparkSession.sparkContext
+
+    def block(b: int) -> Broadcast:
+        rows = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         held = [Passage(r.item_id, p) for r in rows for p in passages(tokens(r.text)) if p]
-        vectors = _rows([p.words for p in held], idf, Hashed())
+        vectors = _rows([p.words for p in held], idf)
         n = -(-len(held) // SPACE)
         cuts = [len(held) * i // n for i in range(n + 1)] if n else []
-        shared = context.broadcast((held, [Space(vectors[a:z], idf, rank) for a, z in zip(cuts, cuts[1:])], idf))
-        out.append(lambda shared=shared: Search(*shared.value, cosine=cosine, sure=sure, wording=wording, answer=answer))
-    return out
+        return context.broadcast((held, [Space(vectors[a:z], idf, rank) for a, z in zip(cuts, cuts[1:])], idf))
+
+    for first in range(0, blocks, AT_ONCE):
+        shared = [block(b) for b in range(first, min(blocks, first + AT_ONCE))]
+        yield lambda shared=shared: [Search(*s.value, cosine=cosine, sure=sure, wording=wording, answer=answer) for s in shared]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending) and best_share for every row of ``docs``.
 
-    Null and empty texts hold nothing; null or empty items are not searched; items of fewer than 4 words neither, those of 4 to
-    7 words must stand word for word. Repeated rows are judged each. With an empty benchmark nothing is contaminated.
+    Null and empty texts hold nothing; null or empty items are not searched. Items of 3 to 7 words must stand word for word, shorter ones must
+    be a whole text. Repeated rows are judged each. With an empty benchmark nothing is contaminated. A benchmark of more than
+    ``AT_ONCE`` blocks takes several passes over the texts.
     """
-    makers = _searches(docs, items, **options)
+    kind, found = docs.schema["doc_id"].dataType.simpleString(), "item_ids array<long>, best_share double"
+    rows = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_share"))
+    for n, maker in enumerate(_searches(docs, items, **options)):
 
-    def make():
-        searches = [m() for m in makers]
+        def make(maker=maker):
+            searches = maker()
 
-        def step(keys, texts):
-            got = [{} for _ in texts]
-            for s in searches:
-                for g, x in zip(got, s.of(texts)):
-                    g.update(x)
-            return {"doc_id": keys, "contaminated": [bool(g) for g in got], "item_ids": [sorted(g) for g in got], "best_share": [max(g.values(), default=0.0) for g in got]}
+            def step(keys, texts, known, best):
+                got = [dict.fromkeys(k, 0.0) for k in known]
+                for s in searches:
+                    for g, x in zip(got, s.of(texts)):
+                        g.update(x)
+                return {"doc_id": keys, "text": texts, "item_ids": [sorted(g) for g in got], "best_share": [max([b, *g.values()]) for b, g in zip(best, got)]}
 
-        return step
+            return step
 
-    return map_batches(docs, ["doc_id", "text"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, contaminated boolean, item_ids array<long>, best_share double", make)
+        rows = stored(rows, "searched") if n else rows
+        rows = map_batches(rows, ["doc_id", "text", "item_ids", "best_share"], f"doc_id {kind}, text string, {found}", make)
+    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "best_share")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, that hold no benchmark passage."""
-    makers = _searches(docs, items, **options)
+    """The rows of ``docs``, all their columns, that hold no benchmark passage.
 
-    def make():
-        searches = [m() for m in makers]
+    Null and empty texts stay; rows without doc_id and repeated rows are judged each; an empty table stays empty.
+    """
+    rows = docs
+    for n, maker in enumerate(_searches(docs, items, **options)):
+
+        def make(maker=maker):
+            searches = maker()
 
-        def keep(texts):
-            hit = [False] * len(texts)
-            for s in searches:
-                hit = [h or bool(x) for h, x in zip(hit, s.of(texts))]
-            return [not h for h in hit]
+            def keep(texts):
+                hit = [False] * len(texts)
+                for s in searches:
+                    hit = [h or bool(x) for h, x in zip(hit, s.of(texts))]
+                return [not h for h in hit]
 
-        return keep
+            return keep
 
-    return filter_rows(docs, ["text"], make)
+        rows = filter_rows(stored(rows, "searched") if n else rows, ["text"], make)
+    return rows
