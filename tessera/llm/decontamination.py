@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import filter_rows, map_batches, stored
+from tessera.llm.words import word_hashes
 
 FEATURES = 1 << 15
 HOP, WINDOW = 16, 48
@@ -35,7 +36,6 @@ GROUP_BYTES = 1 << 19
 COMMON, COMMON_DOCS = 1 / 16, 100
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_ODD = np.random.default_rng(2).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def spaced(text: str | None) -> bytes:
@@ -63,19 +63,8 @@ class Group:
 
 
 def hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """features, starts and ends of the words in ``raw``, all at once: a word's feature is a hash of its bytes and their places."""
-    buffer = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(buffer) + 2, np.int8)
-    inside[1:-1] = buffer != 32
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.zeros(0, np.int32), starts, ends
-    letters, lengths = buffer[inside[1:-1].view(bool)], ends - starts
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(begin, lengths)
-    h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _ODD[place & 255], begin) + lengths.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * _ODD[0]
+    """features, starts and ends of the words in ``raw``, all at once: a word's feature is a part of its hash."""
+    h, starts, ends = word_hashes(raw)
     return (h >> np.uint64(49)).astype(np.int32), starts, ends
 
 

@@ -162,8 +162,8 @@ def test_forward_is_exact():
 def test_baum_welch_never_gets_worse():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 6, rng.integers(1, 60)) for _ in range(50)]
-    parts = [hmm_lm.segments_of(s) for s in sequences]
-    grid, first = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    grid, first = hmm_lm.segments_of(np.concatenate(sequences), np.array(list(map(len, sequences))))
+    assert [len(s) for s in np.split(grid, np.flatnonzero(first)[1:])] == [-(-len(s) // hmm_lm.SEGMENT) for s in sequences]
     hmm = hmm_lm.HMM.from_counts(rng.random(2), rng.random((2, 2)), rng.random((6, 2)), np.ones(6) / 6, 1e-9)
     before = -1e9
     for _ in range(8):
@@ -174,6 +174,25 @@ def test_baum_welch_never_gets_worse():
         before, hmm = now, hmm_lm.HMM.from_counts(start, move, emit, np.ones(6) / 6, 1e-9)
 
 
+def test_symbols_are_those_of_single_words():
+    own = [b"the", b"a", b"\xc3\xa9t\xc3\xa9"]
+    s = hmm_lm.Symbols(own, 7)
+    texts = ["The a x  yz", None, "", "été\tabcd\nA", " the"]
+    flat, lengths = s.of(texts)
+    want = [[own.index(w) if w in own else 3 + hmm_lm.suffix_symbol(w, 7) for w in hmm_lm.words_of(t)] + [s.end] for t in texts]
+    assert flat.tolist() == [x for w in want for x in w] and lengths.tolist() == list(map(len, want))
+
+
+def test_frequent_words_are_the_commonest(spark):
+    random.seed(6)
+    n = {f"w{i}".encode(): random.choice([1, 2, 3, 10, 500, 100_000 + i]) for i in range(400)}
+    counts = spark.createDataFrame([(bytearray(w), k) for w, k in n.items()], "word binary, n long")
+    got = hmm_lm.frequent_words(counts, 200)
+    assert 0 < len(got) <= 200 and all(n[w] == k for w, k in got.items()) and list(got.values()) == sorted(got.values(), reverse=True)
+    assert min(got.values()) > max(k for w, k in n.items() if w not in got)
+    assert hmm_lm.frequent_words(counts, 400) == dict(sorted(n.items(), key=lambda x: (-x[1], x[0]))) and hmm_lm.frequent_words(counts.where("false"), 5) == {}
+
+
 def test_scores_against_brute_force(spark, docs):
     part = docs.where("doc_id < 120 or doc_id is null")
     rows = hmm_lm.score_documents(part, states=3, own=50, frequent=80, suffixes=16, passes=1, sample_segments=500).collect()
