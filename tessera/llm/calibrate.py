@@ -13,11 +13,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class
     """``text, y, half`` of at most ``per_class`` documents of each class, in stored form.
 
     Only rows whose crc32(doc_id) modulo ``folds`` is not 0 are drawn, in the order of a hash of their id; ``half`` (0 or 1)
-    splits them for fitting and calibration. Null labels or ids are not drawn.
+    splits them for fitting and calibration. Null labels or ids are not drawn. A cutoff of the hash, from the number of labels, goes first,
+    so that what is sorted is bounded too; by chance it may leave a few less than ``per_class``.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(folds) != 0))
-    order = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id"), F.col("y")]
-    drawn = [usable.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    n = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rank = F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 40))
+    cut = {y: int(min(1.0, 1.2 * per_class / max(1, n.get(y, 0))) * (1 << 40)) for y in (0, 1)}
+    drawn = [usable.where((F.col("y") == y) & (rank < cut[y])).orderBy(rank, "doc_id").limit(per_class) for y in (0, 1)]
     ids = drawn[0].unionByName(drawn[1]).dropDuplicates(["doc_id"])  # at most 2 * per_class rows
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
     return stored(rows.select("text", "y", (F.xxhash64(F.lit("half"), "doc_id").bitwiseAND(1)).cast("int").alias("half")), "sample")

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from tessera.llm.calibrate import Logistic, labelled_sample
 from tessera.llm.common import filter_rows, map_batches, remainder
 
-# Look-alike letters.
-_LOOKALIKES = dict(zip("аеорсухіјѕһԁոսɡαβεικνορτυωϲ", "aeopcyxijshdnugabeiknoptuwc"))
+# Letters of other scripts and the Latin letters that they look like, capitals first (some look like another letter than their small form).
+_CAPITALS = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹՏՕՍԼ", "ABESIJKMHOPCTYXYGQWABEZHIKMNOPTYXCSOUL"))
+_LOOKALIKES = dict(zip("авеѕіјкмнорстухҽһԁԛԝгпьӏү" + "αβεηικμνορτυχωγσϲɑɡɩ" + "աոսօզցհյքւ", "abesijkmhopctyxehdqwrnbly" + "abenikuvoptuxwyocagi" + "wnuoqghjpl"))
 #: What digits stand for; l, 1 and i fold into one.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "l": "i"}
 # Phrases in which a listed word is harmless.
@@ -30,6 +31,8 @@ EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "pond scum"
 
 _MARKS = re.compile("[̀-ͯ­​-‏⁠﻿]+")
 _TABLE = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(k): v for k, v in _DIGITS.items()}
+_OTHER_SCRIPT = re.compile("[\u0370-\u058f]")
+_CAPITAL_TABLE = str.maketrans(_CAPITALS)
 _WIDE_TABLE = _TABLE | {ord(k): _DIGITS.get(v, v) for k, v in _LOOKALIKES.items()} | {i: " " for i in (*range(0x2000, 0x2070), *range(0x3000, 0x3004), 0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF)}
 # signs count as letters only next to letters: mail addresses and prices stay apart from words of junk
 _SIGNS = re.compile(r"(?<=[a-z])[@!|](?=[a-z])|(?<![^\s])[@!](?=[a-z])|\$(?=[a-z])")
@@ -39,9 +42,13 @@ _SIGN_LETTERS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 
 def fold(text: str | None) -> str:
     """The form in which the lexicon is matched, between spaces."""
-    t = (text or "").lower()
-    if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    t = text or ""
+    if t.isascii():
+        t = t.lower()
+    else:
+        if _OTHER_SCRIPT.search(t):  # the lunate sigma has a normal form that looks otherwise
+            t = unicodedata.normalize("NFKD", t.replace("Ϲ", "C").replace("ϲ", "c")).translate(_CAPITAL_TABLE)
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t)).lower()
     if any(x in t for x in _SIGN_LETTERS):
         t = _SIGNS.sub(lambda m: _SIGN_LETTERS[m[0]], t)
     return f" {t.translate(_TABLE if t.isascii() else _WIDE_TABLE)} "
@@ -73,9 +80,11 @@ class Lexicon:
         def measure(text: str | None) -> tuple[float, int, int, int]:
             folded = fold(text)
             hits = list(a.iter(folded))
-            words = folded.count(" ") - 1 if hits else 0
             if not hits:
-                return 0.0, 0, 0, words
+                return 0.0, 0, 0, 0
+            held = folded.split()
+            words = len(held)
+            hits = list(a.iter(f" {' '.join(held)} "))  # phrases go over signs and line ends
             free = [(e - n, e) for e, (w, _, n) in hits if w is None]
             counted = [(w, x) for e, (w, x, n) in hits if w is not None and not any(s <= e - n and e <= t + 1 for s, t in free)]
             return sum(x for _, x in counted), len(counted), len({w for w, _ in counted}), words
@@ -84,10 +93,10 @@ class Lexicon:
 
 
 def _features(text: str) -> set[str]:
-    """Whole words (with a final space) and word beginnings of 4 to 8 letters."""
+    """Whole words of 2 letters or more (with a final space) and word beginnings of 4 to 8 letters."""
     out = set()
     for w in set(fold(text).split()):
-        if 4 <= len(w) <= 24:
+        if 2 <= len(w) <= 24:
             out.add(w + " ")
             out.update(w[:k] for k in range(4, min(9, len(w))))
     return out
@@ -224,7 +233,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose score is under ``threshold``."""
+    """The rows of ``docs``, all their columns, whose score is under ``threshold``.
+
+    Null and empty texts have the score of a text without hits. Rows without doc_id and repeated rows are judged each; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, **options))
 
     def make():

@@ -51,6 +51,41 @@ def test_fold():
     assert fold(None) == "  " and fold("i\u200bdi\u00adot").split() == ["idiot"]
 
 
+def test_every_lookalike_folds():
+    from tessera.llm import toxicity as T
+
+    assert all(len(k) == len(v) == 1 for k, v in (T._CAPITALS | T._LOOKALIKES).items())
+    for k, v in (T._CAPITALS | T._LOOKALIKES).items():
+        assert fold(f"x{k}x") == fold(f"x{v}x"), k
+    assert fold("КІЅЅ МΟΤΗ вут") == fold("KISS MOTH byt")
+
+
+def slow_measure(lexicon, text):
+    """Weight and hits by looking at every entry at every word, and the words of the folded text."""
+    words = fold(text).split()
+    free = set()
+    for p in lexicon.exceptions:
+        q = fold(p).split()
+        free |= {i + k for i in range(len(words)) if words[i : i + len(q)] == q for k in range(len(q))}
+    found = [x for i, w in enumerate(words) if i not in free for e, x in [*((e, x) for e, x in lexicon.whole.items() if e == w), *((e, x) for e, x in lexicon.starts.items() if w.startswith(e))]]
+    return sum(found), len(found), len(words)
+
+
+def test_matches_by_brute_force(docs):
+    random.seed(8)
+    lexicon = Lexicon({"ciown": 3.0, "ab": 1.5}, {"idio": 2.0, "ida": 0.5}, ("clown fish", "ab ab"))
+    parts = ["clown", "cl0wn", "fish", "idiot", "IDIOTIC", "ab", "idaho", "id", "Іdіоt", "x", ".", "\n", "!!", "clówn"]
+    for t in [" ".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(400)]:
+        got, want = lexicon.matcher()(t), slow_measure(lexicon, " ".join(fold(t).split()))
+        assert (got[0], got[1]) == want[:2] and (not got[1] or got[3] == want[2]), t
+
+
+def test_padding_does_not_hide_words():
+    measure = Lexicon({"idiot": 3.0}).matcher()
+    plain = measure("you idiot")
+    assert plain[3] == 2 and measure("you idiot " + ". " * 500) == plain and measure("\n\n" * 300 + "you   idiot") == plain
+
+
 def test_lexicon_phrases():
     lexicon = Lexicon({"ciown": 3.0}, {"idio": 2.0}, ("clown fish",))
     assert lexicon.matcher()("A clown fish, an idiotic cl0wn.")[:3] == (5.0, 2, 2)
