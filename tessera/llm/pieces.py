@@ -20,7 +20,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?*$%&#"
 SPECIAL = "<|endoftext|>"
 #: Entries of a worker's cache; at this number the learned ones go and the broadcast ones stay.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 #: The same for punctuation runs and for pieces that begin lines.
 SIDE_ENTRIES = 100_000
 #: Longer pieces are encoded anew each time, so that the cache's bytes are bounded too.
@@ -34,7 +34,14 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-_BYTES = _byte_letters()
+_BYTES = str.maketrans(dict(enumerate(_byte_letters())))
+
+
+_SPACE = " ".translate(_BYTES)
+
+
+def _plain(word: str) -> bool:
+    return word.isalpha() if word.isascii() else _WORD.fullmatch(word) is not None
 
 
 class Irregular(Exception):
@@ -66,7 +73,8 @@ class PieceTable(dict):
 
     def encode_word(self, word: str, before: str = " ") -> Any:
         """The value of a word of letters, with the space before it unless ``before`` is empty."""
-        return self.value([t.id for t in self.model.tokenize("".join(map(_BYTES.__getitem__, (before + word).encode())))])
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return self.value([t.id for t in self.model.tokenize(_SPACE + letters if before else letters)])
 
     def tail(self, tail: str) -> Any:
         """The value of a run of punctuation behind a letter, which is a pre-token of its own."""
@@ -82,7 +90,7 @@ class PieceTable(dict):
     def start(self, piece: str) -> Any:
         """The value of a piece that begins a line, so without a space."""
         if piece not in self.starts:
-            got = self.encode_word(piece, "") if self.model and _WORD.fullmatch(piece) else self.encode(piece)
+            got = self.encode_word(piece, "") if self.model and _plain(piece) else self.encode(piece)
             if len(piece) > CACHE_CHARS:
                 return got
             if len(self.starts) > SIDE_ENTRIES:
@@ -112,7 +120,7 @@ class PieceTable(dict):
         elif self.newline_apart and "\n" in piece:
             got, known = self.across_lines(piece), False
         if got is None:
-            got = self.encode_word(piece) if self.model and _WORD.fullmatch(piece) else self.encode(" " + piece)
+            got = self.encode_word(piece) if self.model and _plain(piece) else self.encode(" " + piece)
         # what is put together from kept parts is kept itself only when its word comes again
         if known and len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES + len(self.frequent):

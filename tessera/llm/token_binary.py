@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ NO_ID = -(1 << 63)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return pack(f"<{len(ids)}I", *ids)
 
 
 def _cut(array: np.ndarray, ends: np.ndarray, kind: str) -> list[bytes]:
