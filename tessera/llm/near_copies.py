@@ -7,7 +7,7 @@ fingerprint its own: 0 mostly, -1 (not looked at) where its value is common, 1 (
 at 0.8 differ in more bits; width and number of partitions are such that they still share one but for a chance of ``MISS``.
 
 Texts of equal sets are one row from the start. Who meets in a partition is tested on sizes and 128 bits of the fingerprints, then on
-all bits, and every link is verified on the whole sets. A first round gives each text one partner and looks at only ``LEADERS`` rows
+all bits, and every link is verified on the whole sets. A first round gives each text its ``NEAREST`` partners at most and looks at only ``LEADERS`` rows
 of crowded values; the second tests all that share a value and are not in one component yet, so that a large group of copies costs
 no pair twice and no link of a candidate is lost. A value of more than ``CROWD`` rows is dealt over several tasks.
 """
@@ -28,7 +28,9 @@ from tessera.llm.simhash import allocate, ball_counts, correlated_groups, dealt
 
 MISS = 1e-3
 #: Rows of a value after which only its first ``LEADERS`` are met in the first round, and rows that one task takes of it.
-CROWDED, LEADERS, CROWD = 256, 64, 20_000
+CROWDED, LEADERS, CROWD = 2048, 64, 20_000
+#: Nearest partners of a text that the first round verifies, and that a batch of rows names.
+NEAREST, NAMED = 8, 4
 #: Nodes that are sent to all executors at most; more are joined.
 BROADCAST = 1 << 21
 #: Bits of a partition's value by which candidates are counted, and fingerprints from which correlations are estimated.
@@ -181,9 +183,9 @@ _ORDER = ["slot", "cell", "root", "node", "kind", "block", "n", "c0", "c1"]
 
 
 def _meetings(similarity: float, leaders: bool):
-    """Over rows in that order: pairs of one value that may be similar and are of different roots, ``a`` under ``b``.
+    """Over rows in that order: pairs of one value that may be similar and are of different roots, ``a`` under ``b``, and the bits in which they differ.
 
-    With ``leaders`` each row gives one partner only, rows far down a crowded value meet its first rows only, and all rows that
+    With ``leaders`` each row gives its nearest partners only, rows far down a crowded value meet its first rows only, and all rows that
     have a partner or stand in a crowded value are named (a is b).
     """
     p = differing(similarity)
@@ -213,24 +215,23 @@ def _meetings(similarity: float, leaders: bool):
                 k = np.arange(at, min(at + (1 << 20), int(ends[-1])))
                 x = np.searchsorted(ends, k, side="right")
                 y = start[x] + k - (ends[x] - back[x])
-                near = np.bitwise_count((c0[x] ^ c0[y]).view(np.uint64)) + np.bitwise_count((c1[x] ^ c1[y]).view(np.uint64)) <= most
-                x, y = x[near], y[near]
+                apart = np.bitwise_count((c0[x] ^ c0[y]).view(np.uint64)) + np.bitwise_count((c1[x] ^ c1[y]).view(np.uint64))
+                near = apart <= most
+                x, y, apart = x[near], y[near], apart[near].astype(np.int64)
                 ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & ((kind[x] > 0) | (kind[y] > 0)) & ((kind[x] < 2) | (kind[y] < 2)) & (node[x] != node[y])
                 ok &= (cell[x] % (1 << 20) == cell[x] >> 20) | (block[x] != block[y])
-                pairs.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]]))
-            a, b = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+                pairs.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok], apart[ok]]))
+            a, b, d = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((3, 0), np.int64)
             if leaders:
                 crowded = node[np.flatnonzero(np.bincount(start, minlength=len(slot))[start] > CROWDED)]
-                # any partner will do, so not the same one for all
-                order = np.lexsort((_mix(a.view(np.uint64) ^ _mix(b.view(np.uint64))), b))
-                keep = order[np.concatenate([[True], b[order][1:] != b[order][:-1]])] if len(b) else order
+                order = np.lexsort((d, b))
+                first = np.flatnonzero(np.concatenate([[True], b[order][1:] != b[order][:-1]])) if len(b) else order
+                keep = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < NAMED]
                 named = np.unique(np.concatenate([a, crowded]))
-                a, b = np.concatenate([a[keep], named]), np.concatenate([b[keep], named])
-            elif len(a):
-                a, b = np.unique(np.stack([a, b]), axis=1)
+                a, b, d = np.concatenate([a[keep], named]), np.concatenate([b[keep], named]), np.concatenate([d[keep], 0 * named])
             held = [c[start[-1] :] for c in got]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
     return run
 
@@ -239,7 +240,7 @@ def _met(classes: DataFrame, groups: list[list[int]], similarity: float, *, lead
     """What ``_meetings`` says of ``classes`` (node, root, n, sign, asks)."""
     rows = dealt(_rows(classes, groups), CROWD, pairs=not leaders)
     ordered = rows.select(*_ORDER).repartition("slot", "cell").sortWithinPartitions(*_ORDER[:4])
-    return ordered.mapInArrow(_meetings(similarity, leaders), "a long, b long")
+    return ordered.mapInArrow(_meetings(similarity, leaders), "a long, b long, d long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -314,13 +315,15 @@ def _linked(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame
     classes = stored(rows.groupBy("node").agg(F.min(named).alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
     groups = _groups(classes, parts)
     asked = stored(thresholds(classes, groups), "asked")
-    one = F.min(F.when(F.col("a") != F.col("b"), F.struct(F.xxhash64("a", "b").alias("h"), "a"))).alias("partner")
-    first = stored(_met(asked.withColumn("root", F.col("node")), groups, similarity, leaders=True).groupBy("b").agg(one), "first")
-    tried = first.where("partner is not null").select("partner.a", "b")
+    # a text's partners here are at most NAMED for each of its values and batches of rows; any order among equally near ones will do, so not the same for all
+    near = F.collect_set(F.when(F.col("a") != F.col("b"), F.struct("d", F.xxhash64("a", "b").alias("h"), "a")))
+    met = _met(asked.withColumn("root", F.col("node")), groups, similarity, leaders=True)
+    first = stored(met.groupBy("b").agg(F.slice(F.array_sort(near), 1, NEAREST)["a"].alias("partners")), "first")
+    tried = first.select(F.explode("partners").alias("a"), "b")
     links = _verified(tried, classes, docs, similarity, shingle)
     rooted = lambda some, found: some.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = stored(rooted(asked.join(first.select(F.col("b").alias("node")), "node", "left_semi"), links), "open")
-    rest = _met(left, groups, similarity, leaders=False).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = _met(left, groups, similarity, leaders=False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, classes, docs, similarity, shingle))
     return rows.select("doc_id", "key", "node"), stored(rooted(classes.select("node", "least"), links), "rooted")
 
