@@ -138,6 +138,11 @@ def exposure(actions: DataFrame, evidence: DataFrame, action_key: str, *, strict
     return rows.groupBy("sr_id").agg(F.array_sort(F.collect_set("clause_id")).alias("clauses"), F.countDistinct("clause_id").alias("n_clauses"), F.countDistinct(action_key).alias("n_actions"))
 
 
+def ranked_exposure(rows: DataFrame) -> DataFrame:
+    """Adds rank: the most clauses first, then by requirement. A row for each requirement, so one task is enough."""
+    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n_clauses"), "sr_id")))
+
+
 def status_counts(findings: DataFrame, keys: list[str], column: str, values: list[str], other: str = "unknown") -> DataFrame:
     """Fixed buckets of counts by ``column``; null or unlisted values count as ``other``."""
     c = F.when(F.col(column).isin(*values), F.col(column)).otherwise(other)

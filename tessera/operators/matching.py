@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,7 +74,7 @@ def match_patterns_join(clauses: DataFrame, patterns: DataFrame, *, text: str =
 
 
 # Words that carry no topic.
-STOP_WORDS = ("the", "and", "or", "of", "to", "in", "a", "an", "for", "with", "by", "on", "at", "is", "are", "be", "as", "it", "its", "this", "that", "from", "not", "any", "all", "shall", "will", "may", "must", "such", "which", "has", "have", "been", "was", "were", "other", "than", "no", "if", "each")
+STOP_WORDS = ("the", "an", "and", "or", "of", "to", "in", "for", "is", "are", "be", "by", "as", "at", "on", "with", "this", "that", "from", "it", "its", "any", "all", "may", "must", "shall", "should", "will", "not", "no", "have", "has", "been", "their", "which", "each", "per", "when", "where", "more", "than")
 
 
 def token_rows(rows: DataFrame, text: str, *keys: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -81,10 +85,8 @@ def token_rows(rows: DataFrame, text: str, *keys: str, stop_words: tuple[str, ..
 
 
 def retrieval_text(r: Requirement) -> str:
-    """Title twice, the patterns without their regex signs and digits, the synonyms."""
-    import re
-
-    plain = [re.sub(r"\\[a-z]|[^A-Za-z ]", " ", p) for p in r.patterns]
+    """Title twice, the patterns with spaces for their regex signs and digits, the synonyms."""
+    plain = [re.sub(r"[\\|?.+*^$\[\](){}]|\d+", " ", p).strip() for p in r.patterns]
     return " ".join([r.title, r.title, *plain, *r.synonyms])
 
 
@@ -138,16 +140,67 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float | None = None) -> DataFrame:
-    """query_id, item_id, similarity, rank: exact cosine neighbours of queries(query_id, v) among a small index(item_id, v).
+def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float | None = None, block: int = 2048) -> DataFrame:
+    """query_id, item_id, similarity, rank: exact cosine neighbours of queries(query_id, v) among all rows of index(item_id, v).
 
-    The index is the requirement library; it is broadcast only under ``spark.sql.autoBroadcastJoinThreshold``, as Spark sees fit.
+    The queries go to the executors in blocks of about ``block``; each block meets every batch of the index as one matrix product, and a
+    batch gives on its ``k`` best for each query only. Null, empty and zero vectors, and those of another length, are near to nothing: they
+    find and are found by none.
     """
-    pairs = queries.join(index.withColumnRenamed("v", "v2"), F.lit(True)).select("query_id", "item_id", F.round(cosine(F.col("v"), F.col("v2")), 4).alias("similarity"))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "item_id"))).where(F.col("rank") <= k)
+    rows = queries.where(F.col("query_id").isNotNull() & (F.size("v") > 0)).select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    spark, parts = queries.sparkSession, []
+
+    def search(held: list) -> DataFrame:
+        widths = sorted({len(r.v) for r in held})
+        asked = {}
+        for w in widths:
+            m = np.array([r.v for r in held if len(r.v) == w])
+            size = np.linalg.norm(m, axis=1)
+            asked[w] = (np.array([r.query_id for r in held if len(r.v) == w])[size > 0], m[size > 0] / size[size > 0, None])
+        shared = spark.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                items, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for w, (ids, q) in shared.value.items():
+                    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == w and items[i] is not None and None not in v]
+                    m = np.array([vectors[i] for i in at], float).reshape(len(at), w)
+                    size = np.linalg.norm(m, axis=1)
+                    m, name = m[size > 0] / size[size > 0, None], np.array(items, object)[at][size > 0].astype(np.int64)
+                    if not len(name) or not len(ids):
+                        continue
+                    score = np.round(q @ m.T, 4)
+                    order = np.lexsort((np.broadcast_to(name, score.shape), -score), axis=1)[:, :k]
+                    take = np.take_along_axis(score, order, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(name[order].ravel()), pa.array(take.ravel())], names=["query_id", "item_id", "similarity"])
+
+        return index.select(F.col("item_id").cast("long").alias("item_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, item_id long, similarity double")
+
+    blocks = max(1, -(-rows.count() // block))
+    for b in range(blocks):
+        parts.append(search(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()))  # about ``block`` vectors
+    pairs = reduce(DataFrame.unionByName, parts)
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))).where(F.col("rank") <= k)
     return ranked if least is None else ranked.where(F.col("similarity") >= least)
 
 
+def contained(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """doc_key, item_key: documents that hold the whole text of an item, in any case. Null and empty items are in none.
+
+    Words inside an item stand as whole words in such a document, so the two meet by the item's longest inner word, and the whole
+    text is then looked for. Only items of one or two words are tried on every document.
+    """
+    d = docs.select(doc_key, F.lower(text).alias("_text"))
+    i = items.select(item_key, F.lower(text).alias("_item")).where(F.col("_item") != "").withColumn("_words", F.split("_item", r"\s+"))
+    inner = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
+    keyed = i.select(item_key, "_item", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_word"))
+    words = d.select(doc_key, "_text", F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("_word"))
+    holds = F.contains("_text", F.col("_item"))
+    long = words.join(keyed.where(F.col("_word") != ""), "_word").where(holds)
+    short = d.join(keyed.where(F.col("_word").isNull() | (F.col("_word") == "")), holds)
+    return long.select(doc_key, item_key).unionByName(short.select(doc_key, item_key)).distinct()
+
+
 def catalogue_rows(spark: SparkSession, catalogue: tuple[Requirement, ...] = CATALOGUE) -> DataFrame:
     rows = [(r.sr_id, r.control_id, r.framework, r.title, list(r.contract_types) if r.contract_types else None, TIER_RANK[r.min_tier], r.severity, list(r.patterns), retrieval_text(r)) for r in catalogue]
     return spark.createDataFrame(rows, "sr_id string, control_id string, framework string, title string, contract_types array<string>, min_rank int, severity string, patterns array<string>, retrieval_text string")

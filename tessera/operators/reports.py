@@ -35,6 +35,23 @@ def trace(clauses: DataFrame, obligations: DataFrame, matches: DataFrame, propos
     return out.join(listed, key, "left").withColumn("n_matches", F.greatest(F.size("sr_matches"), F.lit(0)))
 
 
+def with_details(findings: DataFrame, details: DataFrame, key: str, *columns: str, severities: tuple[str, ...] = ("HIGH", "MEDIUM")) -> DataFrame:
+    """Findings of these severities; where one lacks a value of ``columns``, the last detail (by position) of its key gives it."""
+    last = last_by(details.select(key, "position", *columns), key, "position").select(key, *[F.col(c).alias(f"_d_{c}") for c in columns])
+    kept = findings.where(F.col("severity").isin(*severities)).join(last, key, "left")
+    own = [c for c in findings.columns if c not in columns]
+    return kept.select(*own, *[(F.coalesce(F.col(c), F.col(f"_d_{c}")) if c in findings.columns else F.col(f"_d_{c}")).alias(c) for c in columns])
+
+
+def proposal_findings(proposals: DataFrame, reasons: DataFrame, matches: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Proposals as findings: the reason of the key's obligation or else the proposal's preview, its matches (best first) and its whole text."""
+    listed = matches.where("match_type <> 'NO_MATCH'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("match_confidence")).alias("order"), "sr_id"))).alias("_m"))
+    why = last_by(reasons.select(key, "position", "reason"), key, "position").select(key, "reason")
+    out = proposals.join(why, key, "left").join(listed, key, "left").join(texts.select(key, "clause_full_text"), key, "left")
+    empty = F.array().cast("array<string>")
+    return out.withColumn("reason", first_filled(F.col("reason"), F.col("preview"))).withColumn("sr_matches", F.coalesce(F.col("_m.sr_id").cast("array<string>"), empty)).withColumn("clause_full_text", F.coalesce("clause_full_text", F.lit(""))).drop("_m")
+
+
 def brief(findings: DataFrame, *keys: str) -> DataFrame:
     """A section for each topic: issues, highest severity, affected clauses and types in order, place in the report."""
     out = findings.groupBy(*keys, "topic").agg(

@@ -21,6 +21,24 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+def clean_clause(text: Column) -> Column:
+    """The text without lines that are page numbers, running headers or other artefacts; runs of blank lines shortened, ends stripped."""
+    plain = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    kept = F.filter(F.split(text, "\n"), lambda x: (plain(x) == "") | ~is_artefact(plain(x)))
+    return plain(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+
+
+def is_artefact(line: Column) -> Column:
+    return (F.length(line) < 4) | line.rlike(PAGE_ONLY) | line.rlike(SKIP_WORDS)
+
+
+def aggregate_text(rows: DataFrame, key: str, pos: str, *columns: str) -> DataFrame:
+    """key, text: in order of ``pos`` the first filled of ``columns`` of every row, joined by blank lines; rows without any are left out."""
+    first = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
+    listed = F.array_sort(F.collect_list(F.when(first.isNotNull(), F.struct(pos, first.alias("text")))))
+    return rows.groupBy(key).agg(F.array_join(listed["text"], "\n\n").alias("text"))
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *extra: str) -> DataFrame:
     """key, pos (from 0), line."""
     return docs.select(key, *extra, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -52,8 +70,7 @@ def block_kind(text: Column) -> Column:
     caps = (~F.contains(t, F.lit("\n"))) & (F.length(t) <= MAX_HEADING) & F.size(words).between(1, 12) & (upper >= 0.7 * F.size(words))
     rows = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     toc = t.rlike(TOC_TITLE) | (F.size(F.filter(rows, lambda x: F.trim(x).rlike(TOC_LINE))) >= 0.5 * F.size(rows))
-    artefact = (F.length(t) < 4) | t.rlike(PAGE_ONLY) | t.rlike(SKIP_WORDS)
-    return F.when(t.isNull() | artefact, "skip").when(toc, "toc").when(t.rlike(NUMBERED) & (F.length(t) <= MAX_HEADING), "heading").when(caps, "heading").when(t.rlike(COLON) & ~F.contains(t, F.lit("\n")), "heading_colon").otherwise("body")
+    return F.when(t.isNull() | is_artefact(t), "skip").when(toc, "toc").when(t.rlike(NUMBERED) & (F.length(t) <= MAX_HEADING), "heading").when(caps, "heading").when(t.rlike(COLON) & ~F.contains(t, F.lit("\n")), "heading_colon").otherwise("body")
 
 
 def layout(text: Column) -> Column:
@@ -68,10 +85,16 @@ def layout(text: Column) -> Column:
     return F.when(text.isNull() | (n == 0), "paragraph").when((pipes >= 2) & (pipes >= 0.35 * n), "table").when((n >= 3) & (tabs >= 0.6 * n) & even, "table").when((bullets >= 2) & (bullets >= 0.3 * n), "bullet_list").when((n >= 2) & after_colon, "bullet_list").otherwise("paragraph")
 
 
-def language_strength(text: Column) -> Column:
-    """1.0 shall or must, .75 will, .5 should, .25 may, .1 none; English and German."""
-    has = lambda p: F.coalesce(text.rlike(rf"(?iU)\b({p})\b"), F.lit(False))
-    return F.when(has(r"shall|muss|müssen|hat\s+zu|haben\s+zu|must"), 1.0).when(has("will"), 0.75).when(has(r"should|sollten?|is\s+required\s+to|sind\s+verpflichtet"), 0.5).when(has("may|kann|können|darf|dürfen"), 0.25).otherwise(0.1)
+# Words of obligation, English and German, by their strength.
+STRENGTHS = ((1.0, r"shall|muss|müssen|hat\s+zu|haben\s+zu|must"), (0.75, "will"), (0.5, r"should|sollten?|is\s+required\s+to|sind\s+verpflichtet"), (0.25, "may|kann|können|darf|dürfen"))
+
+
+def language_strength(text: Column, words: tuple[tuple[float, str], ...] = STRENGTHS) -> Column:
+    """The strength of the first of ``words`` (strength, alternatives) that stands in the text as a word, .1 where none does."""
+    out = F.when(F.lit(False), 0.0)
+    for strength, p in words:
+        out = out.when(F.coalesce(text.rlike(rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_])(?:{p})(?:[^\p{{L}}\p{{N}}_]|$)"), F.lit(False)), strength)
+    return out.otherwise(0.1)
 
 
 def segments(elements: DataFrame, key: str, pos: str, starts: Column, alone: Column | None = None) -> DataFrame:

@@ -67,6 +67,16 @@ def current_state(events: DataFrame, key: str, state: str, *order: Column) -> Da
     return latest(events, [key], *order).select(key, F.col(state).alias("state"))
 
 
+def reset_on_upload(events: DataFrame, key: str, state: str, upload: str, *order: Column, archived: str = "archived") -> DataFrame:
+    """Adds old_status, new_status, decision: an upload of a new version sets its case back to ``uploaded`` without a decision, unless it is archived.
+
+    One row for every upload that resets; the first event of a key has no status to reset.
+    """
+    old = F.lag(state).over(W.partitionBy(key).orderBy(*order))
+    moved = events.withColumn("old_status", old).where((F.col(state) == upload) & F.col("old_status").isNotNull() & (F.col("old_status") != archived))
+    return moved.withColumns({"new_status": F.lit("uploaded"), "decision": F.lit("none")})
+
+
 def illegal_moves(events: DataFrame, rules: DataFrame, key: str, state: str, *order: Column) -> DataFrame:
     """Events whose move from the previous state is not in ``rules`` (from_state, to_state); the first event of a key is free."""
     moves = events.withColumn("from_state", F.lag(state).over(W.partitionBy(key).orderBy(*order))).withColumn("to_state", F.col(state)).where(F.col("from_state").isNotNull())

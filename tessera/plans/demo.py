@@ -28,3 +28,4 @@ CATALOGUE = (
 )
 TYPES = {"SAAS": ("thble", "hain", "stor", "web-based"), "CLOUD_HOSTING": ("nicht", "oder", "keit"), "MSP": ("avec", "pour", "dans"), "DATA_PROCESSING": ("mente", "para", "ado", "sub-processor"), "ICT_OUTSOURCING": ("ertion", "attion", "erble", "thtion", "whing")}
 LEVELS = {"SPECIAL_CATEGORY": ("password", "@"), "PERSONAL_DATA": ("license", "tel"), "CONFIDENTIAL": ("hehe", "stst"), "INTERNAL": ("inin",), "PUBLIC": ("the ",)}
+STRENGTHS = ((1.0, "oder|stor|heit"), (0.75, "with"), (0.5, "avec|nicht"), (0.25, "para|pero"))

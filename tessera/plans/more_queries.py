@@ -18,10 +18,10 @@ from tessera.sources import files
 _N = "CASE WHEN trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g'), ' '), ' ')) END"
 
 
-@query(f"WITH {Q.LINES} SELECT doc_id, pos, CAST(CASE WHEN {_N} = 0 OR {_N} > 20 THEN NULL WHEN (8 + pos % 9) / 10.0::DOUBLE >= 1.5::DOUBLE THEN 1 WHEN (8 + pos % 9) / 10.0::DOUBLE >= 1.3::DOUBLE THEN 2 WHEN (8 + pos % 9) / 10.0::DOUBLE >= 1.2::DOUBLE THEN 3 WHEN regexp_matches(line, '^\\s*\\(?[a-zA-Z]\\)\\s+\\S') AND {_N} <= 10 THEN 3 END AS INT) AS level, regexp_matches(line, ':\\s*$') AND {_N} <= 40 AS preamble FROM lines WHERE NOT regexp_matches(line, '^\\s*[§0-9]|^\\s*(section|article|clause|annex|schedule|artikel|abschnitt)', 'i')")
+@query(f"WITH {Q.LINES} SELECT doc_id, pos, CAST(CASE WHEN {_N} = 0 OR {_N} > 20 THEN NULL WHEN (8 + pos % 9) / 10.0::DOUBLE >= 1.5::DOUBLE THEN 1 WHEN (8 + pos % 9) / 10.0::DOUBLE >= 1.3::DOUBLE THEN 2 WHEN (8 + pos % 9) / 10.0::DOUBLE >= 1.2::DOUBLE THEN 3 WHEN regexp_matches(line, '^\\s*§\\s*\\d+') THEN 2 WHEN regexp_matches(line, '^\\s*(?:\\d+(?:\\.\\d+)*\\.?\\s+\\S|(?:section|article|clause|annex|schedule|artikel|abschnitt)\\s+\\S)', 'i') THEN CASE WHEN regexp_matches(line, '^\\s*\\d') THEN least(length(regexp_replace(regexp_extract(line, '^\\s*(\\d+(?:\\.\\d+)*)', 1), '[^.]', '', 'g')) + 1, 3) ELSE 2 END WHEN regexp_matches(line, '^\\s*\\(?[a-zA-Z]\\)\\s+\\S') AND {_N} <= 10 THEN 3 END AS INT) AS level, regexp_matches(line, ':\\s*$') AND {_N} <= 40 AS preamble FROM lines")
 def p06_heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P06, P07 with sizes that follow the line's place; section marks are left to the tests."""
-    rows = Q._lines(spark, sf_dir).where(~F.col("line").rlike(r"(?iu)^\s*[§0-9]|^\s*(section|article|clause|annex|schedule|artikel|abschnitt)"))
+    """P06, P07 with sizes that follow the line's place."""
+    rows = Q._lines(spark, sf_dir)
     return rows.select("doc_id", "pos", E.heading_level(F.col("line"), (8 + F.col("pos") % 9).cast("double"), F.lit(10.0)).cast("int").alias("level"), E.is_preamble(F.col("line")).alias("preamble"))
 
 
@@ -70,12 +70,12 @@ def u08_unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", F.array_join(F.array_except("p", F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))), ",").alias("unknown"))
 
 
-@query("SELECT vec_id, CAST(round_even(vec_id::DOUBLE / 10, 0) AS BIGINT) AS y_row, '[' || array_to_string(list_transform(embedding[1:3], lambda x: printf('%.4f', x::DOUBLE)), ',') || ']' AS head FROM embeddings")
+@query("SELECT vec_id, CAST(round_even(vec_id::DOUBLE / 10, 0) AS BIGINT) AS y_row, '[' || array_to_string(list_transform(embedding[1:3], lambda x: printf('%.8f', x::DOUBLE)), ',') || ']' AS head FROM embeddings")
 def o12_spatial_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O12, F17."""
     e = table(spark, sf_dir, "embeddings")
-    head = F.transform(F.slice("embedding", 1, 3), lambda x: F.format_string("%.4f", x.cast("double")))
-    return e.select("vec_id", E.spatial_order(F.lit(0), F.col("vec_id").cast("double"))[0].cast("long").alias("y_row"), F.concat(F.lit("["), F.array_join(head, ","), F.lit("]")).alias("head"))
+    head = models.vector_text(F.slice("embedding", 1, 3))
+    return e.select("vec_id", E.spatial_order(F.lit(0), F.col("vec_id").cast("double"))[0].cast("long").alias("y_row"), head.alias("head"))
 
 
 @query("""SELECT event_id, coalesce(event_type = 'purchase' AND value > 5, FALSE) AS matches, CASE WHEN event_type IN ('purchase', 'click') THEN CASE WHEN event_type = 'purchase' AND value > 5 THEN 'full' ELSE 'none' END ELSE 'none' END AS coverage, CAST(CASE WHEN event_type IN ('purchase', 'click') THEN 0.5 ELSE round(event_id % 100 / 100.0::DOUBLE * 0.5::DOUBLE, 4) END AS DOUBLE) AS confidence FROM events""")
@@ -96,9 +96,9 @@ def s16_mermaid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(rows, "a").select("a", "value", "row")
 
 
-@query("SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—' || chr(160), '''''\"\"-- '), ' {2,}', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS INT) AS n_chars_clean FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—' || chr(160), '''''\"\"-- '), ' {2,}', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS clean FROM documents")
 def f01_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(S.normalise(F.col("text"))).alias("n_chars_clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.normalise(F.col("text")).alias("clean"))
 
 
 @query(f"WITH {Q.LINES}, m AS (SELECT doc_id, pos, CAST(floor(coalesce(sum(len(regexp_split_to_array(trim(line, ' '), '\\s+'))) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500.0) + 1 AS BIGINT) AS page FROM lines) SELECT doc_id, page, count(*) AS n_lines, min(pos) AS first_pos FROM m GROUP BY ALL")
@@ -118,10 +118,10 @@ def api_list_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.join(last, "c_custkey", "left").join(n, "c_custkey", "left").select("c_custkey", "c_name", "last_analysis", "status", F.coalesce("n_versions", F.lit(0)).alias("n_versions"), F.coalesce("n_done", F.lit(0)).alias("n_done"))
 
 
-@query("SELECT user_id, event_id, ts, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS step FROM events WHERE event_type <> 'error'")
+@query("SELECT user_id, event_id, ts, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS step FROM events")
 def api_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key's history in order."""
-    rows = table(spark, sf_dir, "events").where("event_type <> 'error'")
+    rows = table(spark, sf_dir, "events")
     return rows.select("user_id", "event_id", "ts", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"))
 
 

@@ -11,6 +11,7 @@ from tessera.operators import matching as M
 from tessera.operators import obligations as O  # noqa: E741
 from tessera.operators import segments as S
 from tessera.operators import store
+from tessera.operators import tracing as T
 from tessera.plans import demo
 from tessera.plans.registry import query, table
 
@@ -71,11 +72,17 @@ def p05_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.layout(F.col("text")).alias("layout"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^\\p{L}\\p{N}_])(oder|stor|heit)([^\\p{L}\\p{N}_]|$)', 'i') THEN 1.0::DOUBLE WHEN regexp_matches(text, '(^|[^\\p{L}\\p{N}_])with([^\\p{L}\\p{N}_]|$)', 'i') THEN 0.75::DOUBLE ELSE 0.1::DOUBLE END AS strength FROM documents")
+def _strength_sql() -> str:
+    tests = " ".join(f"WHEN regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])({p})([^\\p{{L}}\\p{{N}}_]|$)', 'i') THEN {s}::DOUBLE" for s, p in demo.STRENGTHS)
+    labels = " ".join(f"WHEN strength >= {s} THEN '{label}'" for s, label in T.LANGUAGE_LABELS)
+    return f"WITH s AS (SELECT doc_id, CASE {tests} ELSE 0.1::DOUBLE END AS strength FROM documents) SELECT doc_id, strength, CASE {labels} ELSE 'none detected' END AS label FROM s"
+
+
+@query(_strength_sql())
 def p08_language_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graded test with words of the supplied prose; the English and German list is the operator's default."""
-    has = lambda p: F.col("text").rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}_])({p})([^\p{{L}}\p{{N}}_]|$)")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(has("oder|stor|heit"), 1.0).when(has("with"), 0.75).otherwise(0.1).alias("strength"))
+    """The graded test with words of the supplied prose; the English and German list is the operator's default."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", S.language_strength(F.col("text"), demo.STRENGTHS).alias("strength"))
+    return rows.select("doc_id", "strength", T.language_label(F.col("strength")).alias("label"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '…' ELSE text END AS preview, CAST(length(regexp_replace(lower(replace(replace(text, '-', ' '), '_', ' ')), '\\s+', ' ', 'g')) AS INT) AS n_normal, replace(lower(replace(replace(text, '-', ' '), '_', ' ')), chr(10), ' ')[1:60] AS head FROM documents")
@@ -213,9 +220,9 @@ def j10_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc_id", "sr_id").agg(F.sum("hits").cast("long").alias("hits"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, 'attion', 'i') THEN trim(replace(text[greatest(strpos(lower(text), 'attion') - 50, 1):strpos(lower(text), 'attion') + 105], chr(10), ' '), ' ') ELSE '' END AS evidence FROM documents WHERE NOT regexp_matches(text, 'İ')")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, 'attion', 'i') THEN trim(replace(text[greatest(strpos(lower(text), 'attion') - 50, 1):strpos(lower(text), 'attion') + 105], chr(10), ' '), ' ') ELSE '' END AS evidence FROM documents")
 def p15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("İ")))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", M.evidence(F.col("text"), ("attion",)).alias("evidence"))
 
 
@@ -296,17 +303,16 @@ def j11_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir).select("doc_id", "item_id", "score", "rank")
 
 
-_EXACT = "x AS (SELECT d.doc_id, i.item_id FROM documents d JOIN benchmark i ON contains(lower(d.text), lower(i.text[1:30])))"
+_EXACT = "x AS (SELECT d.doc_id, i.item_id FROM documents d JOIN benchmark i ON i.text <> '' AND contains(lower(d.text), lower(i.text)))"
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 30)).alias("head"))
-    return docs.join(items, F.contains(F.lower("text"), F.col("head"))).select("doc_id", "item_id")
+    return M.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"WITH {SIMILAR}, {_EXACT}, u AS (SELECT coalesce(x.doc_id, t.doc_id) AS doc_id, coalesce(x.item_id, t.item_id) AS item_id, x.doc_id IS NOT NULL AS det, t.score FROM x FULL JOIN top t ON x.doc_id = t.doc_id AND x.item_id = t.item_id), r AS (SELECT *, count(*) FILTER (det) OVER (PARTITION BY doc_id) AS nd, row_number() OVER (PARTITION BY doc_id, det ORDER BY score DESC NULLS LAST, item_id DESC) AS rk FROM u) SELECT doc_id, item_id, det, score FROM r WHERE det OR rk <= greatest(0, 3 - nd)")
 def w04_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact heads first, filled up to three by similarity."""
+    """Whole items first, filled up to three by similarity."""
     return M.shortlist(_exact(spark, sf_dir), _similar(spark, sf_dir), "doc_id", "item_id", cap=3)
 
 
@@ -316,11 +322,11 @@ def j20_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate(_similar(spark, sf_dir).withColumn("match_type", F.lit("x")), _exact(spark, sf_dir).withColumn("match_type", F.lit("x")), ["doc_id", "item_id"])
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE label >= 0), l AS (SELECT vec_id AS item_id, embedding AS b FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, item_id, round(list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])), 4) AS similarity FROM q, l) SELECT query_id, item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, item_id) AS INT) AS rank FROM s QUALIFY rank <= 10")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), l AS (SELECT vec_id AS item_id, embedding AS b FROM embeddings), s AS (SELECT query_id, item_id, round(list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])), 4) AS similarity FROM q, l) SELECT query_id, item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, item_id) AS INT) AS rank FROM s QUALIFY rank <= 10")
 def j12_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector against a library of the first 20, top 10 by cosine."""
+    """Every vector whose id is divisible by 20 against all vectors, top 10 by cosine."""
     e = table(spark, sf_dir, "embeddings")
-    return M.nearest(e.where("label >= 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.where("vec_id < 20").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")))
+    return M.nearest(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")))
 
 
 # ---- risk chain ------------------------------------------------------------
@@ -364,7 +370,10 @@ def a12_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir).select("source", "finding_type", "priority", "max_score", "total_score", "n_findings", F.size("clauses").alias("n_docs"), F.array_join(F.array_sort("topics"), ",").alias("topics"), F.element_at("clauses", 1).cast("string").alias("first_doc"), "action_no")
 
 
-@query(f"WITH {PLAN}, ev AS (SELECT DISTINCT s.source, s.assessment AS finding_type, m.sr_id FROM scores s JOIN matches m USING (doc_id, pos) WHERE s.assessment <> 'VALID' AND m.hits > 0), x AS (SELECT e.sr_id, e.source || '/' || e.finding_type AS a, unnest(p.docs) AS doc_id FROM ev e JOIN plan p USING (source, finding_type)) SELECT sr_id, count(DISTINCT doc_id) AS n_clauses, count(DISTINCT a) AS n_actions FROM x GROUP BY sr_id")
+EXPOSURE = f"WITH {PLAN}, ev AS (SELECT DISTINCT s.source, s.assessment AS finding_type, m.sr_id FROM scores s JOIN matches m USING (doc_id, pos) WHERE s.assessment <> 'VALID' AND m.hits > 0), x AS (SELECT e.sr_id, e.source || '/' || e.finding_type AS a, unnest(p.docs) AS doc_id FROM ev e JOIN plan p USING (source, finding_type)) SELECT sr_id, count(DISTINCT doc_id) AS n_clauses, count(DISTINCT a) AS n_actions FROM x GROUP BY sr_id"
+
+
+@query(EXPOSURE)
 def a13_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements by the documents of the actions that cite them."""
     key = F.concat_ws("/", "source", "finding_type")

@@ -7,6 +7,7 @@ import json
 import zipfile
 from io import BytesIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,20 @@ def json_rows(spark: SparkSession, path: str, schema: str, envelope: str) -> Dat
     return whole.select(F.explode(listed).alias("x")).select("x.*")
 
 
+def load_benchmark(spark: SparkSession, path: str) -> DataFrame | None:
+    """clause_id, sr_id, expected_match_type of a benchmark file; None where it is missing, broken or without a list of clauses."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return None
+    kind = "struct<clauses: array<struct<clause_id: string, expected_matches: array<struct<sr_id: string, expected_match_type: string>>>>>"
+    rows = whole.select(F.from_json("value", kind)["clauses"].alias("c"))
+    if rows.where("c is not null").isEmpty():
+        return None
+    clauses = rows.select(F.explode("c").alias("c"))
+    return clauses.select("c.clause_id", F.explode("c.expected_matches").alias("m")).select("clause_id", "m.sr_id", "m.expected_match_type")
+
+
 def require_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
     """The rows themselves; a missing column is an error at once, before any job."""
     if lost := [f for f in fields if f not in rows.columns]:
