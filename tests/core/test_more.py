@@ -81,3 +81,39 @@ def test_tenants_and_state(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "customer_id int, x string")
     assert [r.x for r in store.Tables({"t": rows}, 2)["t"].collect()] == ["b"]
     assert store.strip_internal(rows.withColumn("_y", F.lit(1))).columns == ["customer_id", "x"]
+
+
+def test_benchmark_files(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"clauses": [{"clause_id": "c", "expected_matches": [{"sr_id": "s", "expected_match_type": "DIRECT_MATCH"}]}]}')
+    (tmp_path / "bad.json").write_text("[1, 2")
+    (tmp_path / "other.json").write_text('{"x": 1}')
+    assert [tuple(r) for r in files.load_benchmark(spark, str(tmp_path / "good.json")).collect()] == [("c", "s", "DIRECT_MATCH")]
+    assert all(files.load_benchmark(spark, str(tmp_path / n)) is None for n in ("bad.json", "other.json", "none.json"))
+
+
+def test_nearest_by_brute_force(spark):
+    import numpy as np
+
+    from tessera.operators import matching
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=5).round(3).tolist()) for i in range(70)] + [(100, [0.0] * 5), (101, None), (102, [1.0, 2.0]), (103, rng.normal(size=5).tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = {}
+    for r in matching.nearest(df.where("id % 10 = 0").selectExpr("id query_id", "v"), df.selectExpr("id item_id", "v"), k=4, block=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.similarity))
+    vectors = {i: np.array(v) for i, v in rows if v and len(v) == 5 and any(v)}
+    for q in [i for i in vectors if i % 10 == 0]:
+        score = sorted((-round(float(vectors[q] @ x / np.linalg.norm(x) / np.linalg.norm(vectors[q])), 4), i) for i, x in vectors.items())[:4]
+        assert [(i, -s) for s, i in score] == [(i, s) for _, i, s in sorted(got[q])]
+    assert 100 not in got
+
+
+def test_items_contained_in_documents(spark):
+    from tessera.operators import matching
+
+    docs = [(1, "Here stands a whole long item, yes"), (2, "a whole\nlong item"), (3, "AWHOLE LONG ITEM"), (4, None), (5, "xy zw")]
+    items = [(1, "a whole long item"), (2, "whole long"), (3, ""), (4, None), (5, "Y z"), (6, "xy")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, j) for k, t in docs for j, s in items if t and s and s.lower() in t.lower()}
+    assert {tuple(r) for r in matching.contained(d, i).collect()} == want
