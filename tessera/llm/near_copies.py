@@ -189,7 +189,7 @@ def _meetings(similarity: float, leaders: bool):
     have a partner or stand in a crowded value are named (a is b).
     """
     p = differing(similarity)
-    most = 128 * p + 4 * math.sqrt(128 * p * (1 - p))
+    most = 128 * p + 3.5 * math.sqrt(128 * p * (1 - p))
 
     def run(batches):
         held = None
@@ -253,7 +253,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
 
     def near():
         def keep(x, y):
-            return [(int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= len(a) * 8 * p + 5 * math.sqrt(len(a) * 8 * p * (1 - p)) for a, b in zip(x, y)]
+            return [(int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= len(a) * 8 * p + 3.5 * math.sqrt(len(a) * 8 * p * (1 - p)) for a, b in zip(x, y)]
 
         return keep
 
