@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.packs import MATCH_BONUS_CAP, MATCH_WEIGHT, SEVERITY_BASE, SEVERITY_RANK, TOPIC_BONUS
+from tessera.operators.matching import match_confidence, match_type, pattern_hits
+from tessera.packs import MATCH_BONUS_CAP, MATCH_WEIGHT, SEVERITY_BASE, SEVERITY_RANK, TOPIC_BONUS, Requirement
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -75,7 +79,22 @@ def clause_scores(clauses: DataFrame, matches: DataFrame, *, key: str = "clause_
     """
     real = matches.where(F.col("match_type") != "NO_MATCH")
     per = real.groupBy(key).agg(F.least(F.sum(lookup(MATCH_WEIGHT, F.col("match_type"), 0.0)), F.lit(MATCH_BONUS_CAP)).alias("_bonus"), F.max("match_confidence").alias("_best"))
-    rows = clauses.join(per, key, "left")
+    return _scored(clauses.join(per, key, "left"), compat_null_assessment)
+
+
+def clause_scores_of(clauses: DataFrame, catalogue: tuple[Requirement, ...], *, text: str = "text", flags: str = "(?iu)", compat_null_assessment: bool = False) -> DataFrame:
+    """The same of clauses(assessment, severity, topic, ``text``) by the catalogue's patterns: one projection, neither a row for each match nor a join."""
+    n = len(catalogue)
+    hits = [F.col(f"_hits{i}") for i in range(n)]
+    rows = clauses.select("*", *[pattern_hits(F.col(text), r, flags).alias(f"_hits{i}") for i, r in enumerate(catalogue)])
+    bonus = reduce(add, [lookup(MATCH_WEIGHT, match_type(h), 0.0) for h in hits], F.lit(0.0))
+    best = F.greatest(F.lit(0.0), F.lit(0.0), *[match_confidence(h, F.lit(len(r.patterns))) for h, r in zip(hits, catalogue)])
+    some = reduce(add, hits, F.lit(0)) > 0
+    rows = rows.withColumn("_bonus", F.least(bonus, F.lit(MATCH_BONUS_CAP))).withColumn("_best", F.when(some, best))
+    return _scored(rows.drop(*[f"_hits{i}" for i in range(n)]), compat_null_assessment)
+
+
+def _scored(rows: DataFrame, compat_null_assessment: bool) -> DataFrame:
     base, topic = lookup(SEVERITY_BASE, F.col("severity"), 2.0), lookup(TOPIC_BONUS, F.coalesce("topic", F.lit("OTHER")), 0.0)
     kind = F.col("assessment") if compat_null_assessment else F.coalesce("assessment", F.lit("VALID"))
     raw = F.when(kind.eqNullSafe("AMBIGUOUS_REQUIREMENT"), F.greatest(base + topic, F.coalesce("_best", F.lit(0.0)) * 10)).otherwise(base + topic + F.coalesce("_bonus", F.lit(0.0)))

@@ -49,6 +49,11 @@ def evidence(text: Column, patterns: tuple[str, ...], *, before: int = 50, after
     return F.when(F.length(joined) > limit, F.concat(F.substring(joined, 1, limit - 3), F.lit("…"))).otherwise(joined)
 
 
+def pattern_hits(text: Column, r: Requirement, flags: str = "(?iu)") -> Column:
+    """How many of the requirement's patterns are in the text; none in a null."""
+    return reduce(add, [F.coalesce(text.rlike(flags + p), F.lit(False)).cast("int") for p in r.patterns], F.lit(0))
+
+
 def match_patterns(clauses: DataFrame, catalogue: tuple[Requirement, ...] = CATALOGUE, *, text: str = "text", keys: list[str] = ["clause_id"], with_evidence: bool = False, flags: str = "(?iu)") -> DataFrame:  # noqa: B006
     """A row for every clause and requirement: hits, match_type, match_confidence.
 
@@ -56,7 +61,7 @@ def match_patterns(clauses: DataFrame, catalogue: tuple[Requirement, ...] = CATA
     """
 
     def entry(r: Requirement) -> Column:
-        hits = reduce(add, [F.coalesce(F.col(text).rlike(flags + p), F.lit(False)).cast("int") for p in r.patterns], F.lit(0))
+        hits = pattern_hits(F.col(text), r, flags)
         fields = [F.lit(r.sr_id).alias("sr_id"), F.lit(r.framework).alias("framework"), F.lit(r.title).alias("title"), hits.alias("hits"), F.lit(len(r.patterns)).alias("n_patterns")]
         if with_evidence:
             fields.append(evidence(F.col(text), r.patterns, flags=flags).alias("evidence"))
@@ -97,12 +102,12 @@ def idf(tokens: DataFrame, key: str, n_docs: int | Column) -> DataFrame:
 
 
 def weights(tokens: DataFrame, key: str, idf_rows: DataFrame) -> DataFrame:
-    """key, tok, w: term share times idf, each row of a unit length. Tokens outside the idf table do not count."""
-    sizes = tokens.groupBy(key).agg(F.count("*").alias("len"))
-    tf = tokens.groupBy(key, "tok").agg(F.count("*").alias("c")).join(idf_rows.select("tok", "idf"), "tok").join(sizes, key)
-    raw = tf.select(key, "tok", (F.col("c") / F.col("len") * F.col("idf")).alias("x"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, key).select(key, "tok", (F.col("x") / F.col("norm")).alias("w"))
+    """key, tok, w: term share times idf, each row of a unit length. Tokens outside the idf table do not count.
+
+    The share's divisor is one number for each key, which the unit length takes out again: counts are enough, and tokens are read once.
+    """
+    raw = tokens.groupBy(key, "tok").agg(F.count("*").alias("c")).join(idf_rows.select("tok", "idf"), "tok").select(key, "tok", (F.col("c") * F.col("idf")).alias("x"))
+    return raw.select(key, "tok", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))).alias("w"))
 
 
 def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15) -> DataFrame:

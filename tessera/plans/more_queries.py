@@ -12,7 +12,7 @@ from tessera.operators import reports as R
 from tessera.operators import segments as S
 from tessera.operators import store
 from tessera.plans import text_queries as Q
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 from tessera.sources import files
 
 _N = "CASE WHEN trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g'), ' '), ' ')) END"
@@ -98,7 +98,7 @@ def s16_mermaid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—' || chr(160), '''''\"\"-- '), ' {2,}', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS clean FROM documents")
 def f01_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.normalise(F.col("text")).alias("clean"))
+    return texts(spark, sf_dir).select("doc_id", S.normalise(F.col("text")).alias("clean"))
 
 
 @query(f"WITH {Q.LINES}, m AS (SELECT doc_id, pos, CAST(floor(coalesce(sum(len(regexp_split_to_array(trim(line, ' '), '\\s+'))) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500.0) + 1 AS BIGINT) AS page FROM lines) SELECT doc_id, page, count(*) AS n_lines, min(pos) AS first_pos FROM m GROUP BY ALL")

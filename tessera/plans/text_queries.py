@@ -13,7 +13,7 @@ from tessera.operators import segments as S
 from tessera.operators import store
 from tessera.operators import tracing as T
 from tessera.plans import demo
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 
 LINES = "lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS pos FROM documents)"
 
@@ -27,7 +27,7 @@ def _hit(column: str, pattern: str, flags: str = "is") -> str:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.lines(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang")
+    return S.lines(texts(spark, sf_dir), "doc_id", "text", "source", "lang")
 
 
 # ---- ingestion -------------------------------------------------------------
@@ -69,7 +69,7 @@ _TABS = f"len(list_filter({_ROWS}, lambda x: regexp_matches(x, '\\t|  {{3,}}')))
 
 @query(f"SELECT doc_id, CASE WHEN len({_ROWS}) = 0 THEN 'paragraph' WHEN {_PIPES} >= 2 AND {_PIPES} >= 0.35 * len({_ROWS}) THEN 'table' WHEN len({_ROWS}) >= 3 AND {_TABS} >= 0.6 * len({_ROWS}) THEN 'table' WHEN {_BULLETS} >= 2 AND {_BULLETS} >= 0.3 * len({_ROWS}) THEN 'bullet_list' WHEN len({_ROWS}) >= 2 AND regexp_matches({_ROWS}[1], '^[^:\\n\\r]{{5,100}}:\\s*$') AND len(list_filter({_ROWS}[2:], lambda x: regexp_matches(x, '^\\s*(?:[•·▪▸►‣◦\\-–—*]|\\d+[.)]\\s)\\s+\\S'))) >= 0.5 * (len({_ROWS}) - 1) THEN 'bullet_list' ELSE 'paragraph' END AS layout FROM documents")
 def p05_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.layout(F.col("text")).alias("layout"))
+    return texts(spark, sf_dir).select("doc_id", S.layout(F.col("text")).alias("layout"))
 
 
 def _strength_sql() -> str:
@@ -81,14 +81,14 @@ def _strength_sql() -> str:
 @query(_strength_sql())
 def p08_language_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graded test with words of the supplied prose; the English and German list is the operator's default."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", S.language_strength(F.col("text"), demo.STRENGTHS).alias("strength"))
+    rows = texts(spark, sf_dir).select("doc_id", S.language_strength(F.col("text"), demo.STRENGTHS).alias("strength"))
     return rows.select("doc_id", "strength", T.language_label(F.col("strength")).alias("label"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '…' ELSE text END AS preview, CAST(length(regexp_replace(lower(replace(replace(text, '-', ' '), '_', ' ')), '\\s+', ' ', 'g')) AS INT) AS n_normal, replace(lower(replace(replace(text, '-', ' '), '_', ' ')), chr(10), ' ')[1:60] AS head FROM documents")
 def p27_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n = F.col("text"), C.normalised(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length(t) > 200, F.concat(F.substring(t, 1, 200), F.lit("…"))).otherwise(t).alias("preview"), F.length(F.regexp_replace(n, r"\s+", " ")).alias("n_normal"), F.substring(F.replace(n, F.lit("\n"), F.lit(" ")), 1, 60).alias("head"))
+    return texts(spark, sf_dir).select("doc_id", F.when(F.length(t) > 200, F.concat(F.substring(t, 1, 200), F.lit("…"))).otherwise(t).alias("preview"), F.length(F.regexp_replace(n, r"\s+", " ")).alias("n_normal"), F.substring(F.replace(n, F.lit("\n"), F.lit(" ")), 1, 60).alias("head"))
 
 
 @query("WITH x AS (SELECT *, CASE WHEN role = 'user' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS b FROM conversations), y AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM x) SELECT conv_id, CAST(seg AS BIGINT) AS seg, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, printf('CL-%03d', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY seg) AS INT)) AS id FROM y GROUP BY conv_id, seg")
@@ -184,7 +184,7 @@ def _classify_sql() -> str:
 @query(_classify_sql())
 def a01_keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A01, P11, P12."""
-    out = C.classify(table(spark, sf_dir, "documents"), types=demo.TYPES, levels=demo.LEVELS)
+    out = C.classify(texts(spark, sf_dir), types=demo.TYPES, levels=demo.LEVELS)
     return out.select("doc_id", "contract_type", "type_hits", "total_hits", F.col("confidence").cast("double").alias("confidence"), "data_sensitivity", C.vendor_tier(F.col("contract_type"), F.col("data_sensitivity")).alias("tier"))
 
 
@@ -222,7 +222,7 @@ def j10_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, 'attion', 'i') THEN trim(replace(text[greatest(strpos(lower(text), 'attion') - 50, 1):strpos(lower(text), 'attion') + 105], chr(10), ' '), ' ') ELSE '' END AS evidence FROM documents")
 def p15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", M.evidence(F.col("text"), ("attion",)).alias("evidence"))
 
 
@@ -282,7 +282,7 @@ SIMILAR = f"{IDF}, {_weights_sql('dw', 'd', 'doc_id')}, {_weights_sql('bw', 'b',
 
 
 def _token_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     d, b = M.token_rows(docs, "text", "doc_id", stop_words=()), M.token_rows(items, "text", "item_id", stop_words=())
     return d, b, M.idf(b, "item_id", items.count())
 
@@ -307,7 +307,7 @@ _EXACT = "x AS (SELECT d.doc_id, i.item_id FROM documents d JOIN benchmark i ON
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return M.contained(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"WITH {SIMILAR}, {_EXACT}, u AS (SELECT coalesce(x.doc_id, t.doc_id) AS doc_id, coalesce(x.item_id, t.item_id) AS item_id, x.doc_id IS NOT NULL AS det, t.score FROM x FULL JOIN top t ON x.doc_id = t.doc_id AND x.item_id = t.item_id), r AS (SELECT *, count(*) FILTER (det) OVER (PARTITION BY doc_id) AS nd, row_number() OVER (PARTITION BY doc_id, det ORDER BY score DESC NULLS LAST, item_id DESC) AS rk FROM u) SELECT doc_id, item_id, det, score FROM r WHERE det OR rk <= greatest(0, 3 - nd)")
@@ -340,9 +340,7 @@ _PRI = "CASE WHEN {0} >= 7 THEN 'HIGH' WHEN {0} >= 4 THEN 'MEDIUM' ELSE 'LOW' EN
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assessed(spark, sf_dir)
     topic = F.when(F.col("assessment") != "VALID", K.topic_of(F.col("assessment"), F.col("line"), F.lit(None).cast("string")))
-    key = F.concat_ws("-", "doc_id", "pos")
-    rows = rows.withColumn("topic", topic).withColumn("clause_id", key)
-    return K.clause_scores(rows, _matches(spark, sf_dir).withColumn("clause_id", key).select("clause_id", "match_type", "match_confidence"))
+    return K.clause_scores_of(rows.withColumn("topic", topic), demo.CATALOGUE, text="line")
 
 
 @query(f"WITH {SCORES} SELECT doc_id, pos, assessment, severity, topic, CAST(risk_score AS DOUBLE) AS risk_score, {_PRI.format('risk_score')} AS priority FROM scores")
@@ -378,6 +376,7 @@ def a13_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements by the documents of the actions that cite them."""
     key = F.concat_ws("/", "source", "finding_type")
     plan = _plan(spark, sf_dir).withColumn("action", key)
-    found = _assessed(spark, sf_dir).where("assessment <> 'VALID'").select("doc_id", "pos", "source", F.col("assessment").alias("finding_type"))
-    ev = found.join(_matches(spark, sf_dir).where("hits > 0").select("doc_id", "pos", "sr_id"), ["doc_id", "pos"]).select(key.alias("action"), "sr_id", F.col("doc_id").alias("clause_id"))
+    found = _assessed(spark, sf_dir).where("assessment <> 'VALID'").withColumnRenamed("assessment", "finding_type")
+    hits = M.match_patterns(found, demo.CATALOGUE, text="line", keys=["doc_id", "source", "finding_type"]).where("hits > 0")
+    ev = hits.select(key.alias("action"), "sr_id", F.col("doc_id").alias("clause_id"))
     return K.exposure(plan, ev, "action").select("sr_id", "n_clauses", "n_actions")

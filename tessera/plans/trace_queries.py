@@ -15,7 +15,7 @@ from tessera.operators import segments as S
 from tessera.operators import store
 from tessera.operators import tracing as T
 from tessera.plans import text_queries as Q
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 
 
 @query("WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount > 0.05 AS d, l_tax > 0.02 AS s, CAST(l_tax AS DOUBLE) * 10 AS score FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, d AS deterministic_candidate, s AS semantic_candidate, CASE WHEN s THEN score END AS semantic_score, CASE WHEN s THEN CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END END AS semantic_score_bucket, CASE WHEN d AND s THEN 'merged' WHEN d THEN 'deterministic' WHEN s THEN 'semantic' ELSE 'excluded' END AS candidate_source FROM m")
@@ -55,7 +55,7 @@ def p21_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, words = F.when(F.col("lang") != "en", "llm").otherwise("rule_based"), F.split("text", " ")
     a = T.obligation_trace(source, F.lit("VALID"), F.lit("LOW"), F.lit(None).cast("double"), words)
     b = T.match_trace(source, F.lit("NO_MATCH"), F.lit("PARTIAL_MATCH"), F.lit(0.5), words)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(a["decision_basis"], ";").alias("obligation_basis"), F.array_join(a["evidence_tokens"], "|").alias("obligation_evidence"), F.array_join(b["evidence_tokens"], "|").alias("match_evidence"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(a["decision_basis"], ";").alias("obligation_basis"), F.array_join(a["evidence_tokens"], "|").alias("obligation_evidence"), F.array_join(b["evidence_tokens"], "|").alias("match_evidence"))
 
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -65,7 +65,7 @@ _CLEAN = f"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)
 
 @query(f"SELECT doc_id, {_STRIP.format(_CLEAN)} AS clean FROM documents")
 def f02_clean_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.clean_clause(F.col("text")).alias("clean"))
+    return texts(spark, sf_dir).select("doc_id", S.clean_clause(F.col("text")).alias("clean"))
 
 
 @query("SELECT conv_id, coalesce(string_agg(coalesce(nullif(text, ''), nullif(role, '')), chr(10) || chr(10) ORDER BY turn, coalesce(nullif(text, ''), nullif(role, ''))), '') AS text FROM conversations GROUP BY conv_id")
