@@ -7,9 +7,9 @@ fingerprint its own: 0 mostly, -1 (not looked at) where its value is common, 1 (
 at 0.8 differ in more bits; width and number of partitions are such that they still share one but for a chance of ``MISS``.
 
 Texts of equal sets are one row from the start. Who meets in a partition is tested on sizes and 128 bits of the fingerprints, then on
-all bits, and every link is verified on the whole sets. A first round gives each text its ``NEAREST`` partners at most and looks at only ``LEADERS`` rows
-of crowded values; the second tests all that share a value and are not in one component yet, so that a large group of copies costs
-no pair twice and no link of a candidate is lost. A value of more than ``CROWD`` rows is dealt over several tasks.
+all bits of a wider fingerprint, of ``WIDE`` words, and every link is verified on the whole sets. A first round gives each text its ``NEAREST`` partners at most and
+looks at only ``LEADERS`` rows of crowded values; the second tests all that share a value and are not in one component yet, on all bits where they meet, and names a pair
+only in the first partition in which it meets: a large group of copies costs no pair twice and no link of a candidate is lost. A value of more than ``CROWD`` rows is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MISS = 1e-3
 CROWDED, LEADERS, CROWD = 2048, 64, 20_000
 #: Nearest partners of a text that the first round verifies, and that a batch of rows names.
 NEAREST, NAMED = 8, 4
+#: 64-bit words of the fingerprints by which pairs are tested; the first of them make up the partitions.
+WIDE = 16
 #: Nodes that are sent to all executors at most; more are joined.
 BROADCAST = 1 << 21
 #: Bits of a partition's value by which candidates are counted, and fingerprints from which correlations are estimated.
@@ -153,11 +155,11 @@ def thresholds(classes: DataFrame, groups: list[list[int]]) -> DataFrame:
     return map_batches(classes, ["node", "least", "n", "sign"], schema, make)
 
 
-def _rows(classes: DataFrame, groups: list[list[int]]) -> DataFrame:
-    """A row for every value at which a class stands (kind 1: and looks, 0: without looking) or only looks (kind 2)."""
+def _rows(classes: DataFrame, groups: list[list[int]], *, whole: bool) -> DataFrame:
+    """A row for every value at which a class stands (kind 1: and looks, 0: without looking) or only looks (kind 2); ``whole``: with its wide fingerprint and thresholds."""
 
     def make():
-        def step(nodes, roots, ns, signs, asks):
+        def step(nodes, roots, ns, signs, asks, wide=()):
             v = _values(signs, groups)
             node, root, n = (np.array(x, np.int64) for x in (nodes, roots, ns))
             t = np.frombuffer(b"".join(asks), np.uint8).reshape(len(nodes), len(groups))
@@ -172,35 +174,59 @@ def _rows(classes: DataFrame, groups: list[list[int]]) -> DataFrame:
                 at.append(np.repeat(far, len(g)))
                 kind.append(np.full(len(far) * len(g), 2, np.int8))
             at = np.concatenate(at)
-            return {"slot": np.concatenate(slot), "kind": np.concatenate(kind), "root": root[at], "node": node[at], "n": n[at], "c0": check[at, 0], "c1": check[at, 1]}
+            out = {"slot": np.concatenate(slot), "kind": np.concatenate(kind), "root": root[at], "node": node[at], "n": n[at], "c0": check[at, 0], "c1": check[at, 1]}
+            return out | {"asks": [asks[i] for i in at], "wide": [wide[i] for i in at]} if whole else out
 
         return step
 
-    return map_batches(classes, ["node", "root", "n", "sign", "asks"], "slot long, kind byte, root long, node long, n int, c0 long, c1 long", make)
+    return map_batches(classes, ["node", "root", "n", "sign", "asks", *["wide"] * whole], "slot long, kind byte, root long, node long, n int, c0 long, c1 long" + ", asks binary, wide binary" * whole, make)
 
 
 _ORDER = ["slot", "cell", "root", "node", "kind", "block", "n", "c0", "c1"]
 
 
-def _meetings(similarity: float, leaders: bool):
+def _most(bits: int, similarity: float) -> float:
+    """In how many of so many bits a pair of that similarity may differ: 3.5 standard deviations over what it gives."""
+    p = differing(similarity)
+    return bits * p + 3.5 * math.sqrt(bits * p * (1 - p))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, asks: np.ndarray, wide: np.ndarray, part: np.ndarray, groups: list[list[int]], similarity: float) -> np.ndarray:
+    """Which of the pairs of rows ``x`` and ``y``, met in partition ``part``, are near on all bits and meet in no partition before."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 16):
+        a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        near = np.flatnonzero(np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= _most(64 * wide.shape[1], similarity))
+        a, b, here = a[near], b[near], part[a[near]]
+        rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        values, looks = _values([r.tobytes() for r in wide[rows]], groups), asks[rows]
+        i, j = place[: len(a)], place[len(a) :]
+        apart, most = np.bitwise_count((values[i] ^ values[j]).view(np.uint64)), np.maximum(looks[i], looks[j])
+        met = ((apart == 0) & (most > 0)) | ((apart == 1) & (most > 1))
+        out[at + near] = np.argmax(met, 1) == here if len(near) else False
+    return out
+
+
+def _meetings(similarity: float, leaders: bool, groups: list[list[int]]):
     """Over rows in that order: pairs of one value that may be similar and are of different roots, ``a`` under ``b``, and the bits in which they differ.
 
     With ``leaders`` each row gives its nearest partners only, rows far down a crowded value meet its first rows only, and all rows that
     have a partner or stand in a crowded value are named (a is b).
     """
-    p = differing(similarity)
-    most = 128 * p + 3.5 * math.sqrt(128 * p * (1 - p))
+    most = _most(128, similarity)
 
     def run(batches):
         held = None
         for batch in batches:
             got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not leaders and len(got[0]):
+                got[9:] = [np.frombuffer(b"".join(got[9]), np.uint8).reshape(len(got[0]), -1), np.frombuffer(b"".join(got[10]), np.uint64).reshape(len(got[0]), -1)]
             old = 0
             if held is not None and len(got[0]) and held[0][0] == got[0][0] and held[1][0] == got[1][0]:
                 old, got = len(held[0]), [np.concatenate(x) for x in zip(held, got)]
-            slot, cell, root, node, kind, block, n, c0, c1 = got
-            if not len(slot):
+            if not len(got[0]):
                 continue
+            slot, cell, root, node, kind, block, n, c0, c1, *whole = got
             here = np.arange(len(slot))
             fresh = np.concatenate([[True], (slot[1:] != slot[:-1]) | (cell[1:] != cell[:-1])])
             start = np.maximum.accumulate(np.where(fresh, here, 0))
@@ -220,6 +246,9 @@ def _meetings(similarity: float, leaders: bool):
                 x, y, apart = x[near], y[near], apart[near].astype(np.int64)
                 ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & ((kind[x] > 0) | (kind[y] > 0)) & ((kind[x] < 2) | (kind[y] < 2)) & (node[x] != node[y])
                 ok &= (cell[x] % (1 << 20) == cell[x] >> 20) | (block[x] != block[y])
+                if not leaders:
+                    x, y, apart, ok = x[ok], y[ok], apart[ok], np.ones(int(ok.sum()), bool)
+                    ok = _alike(x, y, *whole, slot >> 32, groups, similarity)
                 pairs.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok], apart[ok]]))
             a, b, d = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((3, 0), np.int64)
             if leaders:
@@ -238,9 +267,9 @@ def _meetings(similarity: float, leaders: bool):
 
 def _met(classes: DataFrame, groups: list[list[int]], similarity: float, *, leaders: bool) -> DataFrame:
     """What ``_meetings`` says of ``classes`` (node, root, n, sign, asks)."""
-    rows = dealt(_rows(classes, groups), CROWD, pairs=not leaders)
-    ordered = rows.select(*_ORDER).repartition("slot", "cell").sortWithinPartitions(*_ORDER[:4])
-    return ordered.mapInArrow(_meetings(similarity, leaders), "a long, b long, d long")
+    rows = dealt(_rows(classes, groups, whole=not leaders), CROWD, pairs=not leaders)
+    ordered = rows.select(*_ORDER, *[] if leaders else ["asks", "wide"]).repartition("slot", "cell").sortWithinPartitions(*_ORDER[:4])
+    return ordered.mapInArrow(_meetings(similarity, leaders, groups), "a long, b long, d long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -249,11 +278,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     def ends(found: DataFrame, held: DataFrame) -> DataFrame:
         return found.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
 
-    p = differing(similarity)
-
     def near():
         def keep(x, y):
-            return [(int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= len(a) * 8 * p + 3.5 * math.sqrt(len(a) * 8 * p * (1 - p)) for a, b in zip(x, y)]
+            return [(int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= _most(8 * len(a), similarity) for a, b in zip(x, y)]
 
         return keep
 
@@ -277,7 +304,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
 
         return keep
 
-    left = stored(filter_rows(ends(pairs, classes.select("node", "sign")), ["x", "y"], near).select("a", "b"), "candidates")
+    left = stored(filter_rows(ends(pairs, classes.select("node", "wide")), ["x", "y"], near).select("a", "b"), "candidates")
     if left.isEmpty():
         return left
     wanted = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
@@ -299,20 +326,21 @@ def _groups(classes: DataFrame, parts: int) -> list[list[int]]:
 def _linked(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node) of every row, ``key`` a hash of its text, and (node, root, least) of every class, ``least`` the least (doc_id, key) in it."""
     words, parts = shape_of(docs.count(), similarity)
+    wide = max(words, WIDE)
 
     def make():
         hashed = Words()
 
         def step(keys, texts, hashes):
             held = [windows(t, hashed, shingle) for t in texts]
-            return {"doc_id": keys, "key": hashes, "node": [_node(h) for h in held], "n": [len(h) for h in held], "sign": signatures(held, words) if held else []}
+            return {"doc_id": keys, "key": hashes, "node": [_node(h) for h in held], "n": [len(h) for h in held], "wide": signatures(held, wide) if held else []}
 
         return step
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows = stored(map_batches(keyed, ["doc_id", "text", "key"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, n int, sign binary", make), "windows")
+    rows = stored(map_batches(keyed, ["doc_id", "text", "key"], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, n int, wide binary", make), "windows")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
-    classes = stored(rows.groupBy("node").agg(F.min(named).alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
+    classes = stored(rows.groupBy("node").agg(F.min(named).alias("least"), F.first("n").alias("n"), F.first("wide").alias("wide")).withColumn("sign", F.expr(f"substring(wide, 1, {8 * words})")), "classes")
     groups = _groups(classes, parts)
     asked = stored(thresholds(classes, groups), "asked")
     # a text's partners here are at most NAMED for each of its values and batches of rows; any order among equally near ones will do, so not the same for all
@@ -323,6 +351,7 @@ def _linked(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame
     links = _verified(tried, classes, docs, similarity, shingle)
     rooted = lambda some, found: some.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = stored(rooted(asked.join(first.select(F.col("b").alias("node")), "node", "left_semi"), links), "open")
+    left = left.join(classes.select("node", "wide"), "node")
     rest = _met(left, groups, similarity, leaders=False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, classes, docs, similarity, shingle))
     return rows.select("doc_id", "key", "node"), stored(rooted(classes.select("node", "least"), links), "rooted")
