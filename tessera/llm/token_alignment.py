@@ -12,10 +12,9 @@ pair, so a frequent pair is no join key and a rare one meets few rows.
 
 from __future__ import annotations
 
-import itertools
+import operator
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +29,15 @@ from tessera.llm.common import stored
 from tessera.llm.pieces import _BYTES, _CUT, CACHE_CHARS
 
 #: Pieces that a worker keeps; at this number it begins anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 400_000
+#: Pieces that are encoded as one text.
+PIECES_AT_ONCE = 2_000
 #: Texts that are cut and encoded at once.
 TEXTS_AT_ONCE = 256
+#: Rows whose pairs are looked up at once.
+ROWS_AT_ONCE = 1_000
+_UNEVEN = re.compile(r"\A\s|\s\Z| \s|\s |\A\Z")
+_FIRST, _SECOND, _THIRD = map(operator.itemgetter, range(3))
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -65,7 +70,7 @@ def components(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Aligner:
-    """Pieces of texts to (n_a, n_b, groups as text, number of groups, linked pairs), by the two libraries and ``components``."""
+    """Texts to tokens' counts, groups and links, by the two libraries and ``components``; what a piece gave is kept."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -84,43 +89,41 @@ class Aligner:
         self.cuts = not any(re.search(r"\S ", t.decode(errors="replace")) for t in (*self.a_bytes, *self.b_bytes))
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         self.texts = np.array([[f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))] for sign in (",", "|", ";", "")], object)
-        self.kept: dict[str, tuple | None] = {}
+        #: piece -> (n_a << 32 | n_b, groups, links as bytes), or None where the tokens' bytes are not the piece's
+        self.kept: dict[str, tuple[int, str, bytes] | None] = {}
 
     def cut(self, text: str) -> list[str]:
         if not self.cuts:
             return [text]
-        pieces = text.split(" ")
-        for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return _CUT.split(text)
-        return pieces
-
-    def values(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
-        """(n_a, n_b, groups, n_groups, linked pairs) of every piece; None where the tokens' bytes are not those of the piece with a space before it."""
-        whole = [b" " + p.encode() for p in pieces]
-        right = [i for i, w in enumerate(whole) if b"".join([self.a_bytes[x] for x in a[i]]) == w == b"".join([self.b_bytes[x] for x in b[i]])]
-        out: list[tuple | None] = [None] * len(pieces)
-        if not right:
-            return out
-        n_a, n_b = (np.array([len(x[i]) for i in right]) for x in (a, b))
-        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x[i] for i in right), np.int64) for x in (a, b))
-        a_ends, b_ends = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
+        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of either side where both give the bytes of a space and the text."""
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        whole = b" " + text.encode()
+        return (a, b) if b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]) else None
+
+    def values(self, pieces: list[str], a: list[int], b: list[int]) -> list[tuple[int, str, bytes]]:
+        """What is kept of every piece, from the ids of the pieces with a space before each, one behind the other."""
+        ids_a, ids_b = np.array(a), np.array(b)
+        a_ends, b_ends = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        upto_a, upto_b = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1  # tokens up to each piece's end
         of_a, of_b = components(a_ends, b_ends)
         n = of_a[-1] + 1
         last_a, last_b = np.searchsorted(of_a, np.arange(n), "right") - 1, np.searchsorted(of_b, np.arange(n), "right") - 1
         # of a component's members the last ones end together, and no others do
-        codes = (flat_a[last_a] << 32 | flat_b[last_b]).tolist()
+        links = (ids_a[last_a] << 32 | ids_b[last_b]).astype("<i8").tobytes()
         # ids in the order of groups, those of the first side before those of the second, each with the sign that follows it
-        side = np.concatenate((2 * of_a, 2 * of_b + 1))
-        order = np.argsort(side, kind="stable")
-        sign = np.zeros(len(side), np.int64)
-        sign[last_a], sign[len(flat_a) + last_b] = 1, 2
-        sign[len(flat_a) + np.cumsum(n_b) - 1] = 3
-        text = self.texts[sign[order], np.concatenate((flat_a, flat_b))[order]].tolist()
-        ends_text, ends_group = np.cumsum(n_a + n_b).tolist(), (of_a[np.cumsum(n_a) - 1] + 1).tolist()
-        begin = first = 0
-        for i, x, y, end, last in zip(right, n_a.tolist(), n_b.tolist(), ends_text, ends_group):
-            out[i] = x, y, "".join(text[begin:end]), last - first, tuple(codes[first:last])
+        order = np.argsort(np.concatenate((2 * of_a, 2 * of_b + 1)), kind="stable")
+        sign = np.zeros(len(order), np.int64)
+        sign[last_a], sign[len(ids_a) + last_b] = 1, 2
+        sign[len(ids_a) + upto_b - 1] = 3
+        text = self.texts[sign[order], np.concatenate((ids_a, ids_b))[order]].tolist()
+        counts = np.diff(upto_a, prepend=0) << 32 | np.diff(upto_b, prepend=0)
+        out, begin, first = [], 0, 0
+        for c, end, last in zip(counts.tolist(), (upto_a + upto_b).tolist(), (8 * (of_a[upto_a - 1] + 1)).tolist()):
+            out.append((c, "".join(text[begin:end]), links[first:last]))
             begin, first = end, last
         return out
 
@@ -128,35 +131,35 @@ class Aligner:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         new = [p for p in pieces if p not in self.kept]
-        if new:
-            a = self.a.encode_batch([" " + p for p in new], add_special_tokens=False)
-            self.kept.update(zip(new, self.values(new, [x.ids for x in a], self.b.encode(new, num_threads=1))))
-
-    def forget_long(self, pieces: set[str]) -> None:
-        for p in pieces:
-            if len(p) > CACHE_CHARS:
-                self.kept.pop(p, None)
+        # pieces that could be cut out of one text are encoded as one, the others each by itself
+        even = [p for p in new if self.cuts and not _UNEVEN.search(p) and "▁" not in p]
+        for i in range(0, len(even), PIECES_AT_ONCE):
+            part = even[i : i + PIECES_AT_ONCE]
+            got = self.encode(" ".join(part))
+            if got:
+                self.kept.update(zip(part, self.values(part, *got)))
+        for p in new:
+            if p not in self.kept:
+                got = self.encode(p)
+                self.kept[p] = self.values([p], *got)[0] if got else None
 
     def aligned(self, texts: list[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, groups, pairs, times) of every text."""
         cut = [self.cut(t) if t else [] for t in texts]
         pieces = set().union(*cut)
         self.learn(pieces)
-        kept = self.kept
         for text, parts in zip(texts, cut):
-            values = [kept[p] for p in parts]
-            times = Counter(parts)
+            values = list(map(self.kept.__getitem__, parts))
             if None in values:  # perhaps the libraries differ on the whole; they decide
-                got = self.values([text], [self.a.encode(" " + text, add_special_tokens=False).ids], [self.b.encode(text)])[0]
-                values, times = ([got], Counter([text])) if got else ([], Counter())
-                each = [(got, 1)] if got else []
-            else:
-                each = [(kept[p], c) for p, c in times.items()]
-            n_a, n_b, n_groups = (sum(v[f] * c for v, c in each) for f in (0, 1, 3))
-            pairs = np.fromiter(itertools.chain.from_iterable(v[4] for v, _ in each), np.int64)
-            counts = np.repeat(np.fromiter((c for _, c in each), np.int64, len(each)), np.fromiter((len(v[4]) for v, _ in each), np.int64, len(each)))
-            yield n_a, n_b, n_groups, ";".join([v[2] for v in values]), pairs, counts
-        self.forget_long(pieces)
+                got = self.encode(text)
+                values = self.values([text], *got) if got else []
+            counts = sum(map(_FIRST, values))
+            links = np.frombuffer(b"".join(map(_THIRD, values)), "<i8")
+            pairs, times = np.unique(links, return_counts=True)
+            yield counts >> 32, counts & 0xFFFFFFFF, len(links), ";".join(map(_SECOND, values)), pairs, times
+        for p in pieces:
+            if len(p) > CACHE_CHARS:
+                self.kept.pop(p, None)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -237,7 +240,7 @@ def with_link_counts(aligned: DataFrame, key: str = "doc_id", *, table_entries:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             p, t = (batch.column(batch.schema.names.index(c)) for c in ("pairs", "times"))
             of = np.repeat(np.arange(batch.num_rows), p.value_lengths().to_numpy(zero_copy_only=False))
             code, times = (x.flatten().to_numpy(zero_copy_only=False) for x in (p, t))
