@@ -1,8 +1,7 @@
-"""Documents to clauses: normalising, block kinds, layout, segmentation, running offsets, chunks under a token budget."""
+"""Documents to clauses: normalising, block kinds, layout, segmentation, running offsets."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,35 +132,3 @@ def reflow(rows: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     """key, seg, text: lines joined until one ends a sentence."""
     ends = F.lag(F.col(text).rlike(r"[.!?:;]\s*$")).over(W.partitionBy(key).orderBy(pos))
     return segments(rows.withColumn("_e", ends), key, pos, F.col("_e")).groupBy(key, "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), " ").alias("text"))
-
-
-def chunks(rows: DataFrame, key: str, pos: str, text: str, *, target: int = 400, most: int = 512, overlap: int = 50) -> DataFrame:
-    """key, chunk, first_pos, last_pos, n_tokens, text: rows of each key packed in order up to ``target`` whitespace tokens; the last
-    ``overlap`` tokens of a chunk begin the next one; a row longer than ``most`` is cut into pieces.
-
-    A chunk depends on the one before it, which no window frame says: each document is one pandas group.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out, held, fresh, span = [], [], False, None
-        name = part[key].iloc[0]
-
-        def close() -> None:
-            out.append((name, len(out), int(span[0]), int(span[1]), len(held), " ".join(held)))
-
-        for p, t in part.sort_values(pos)[[pos, text]].itertuples(index=False):
-            words = (t or "").split()
-            for i in range(0, len(words), most):
-                piece = words[i : i + most]
-                if fresh and len(held) + len(piece) > target:
-                    close()
-                    held, fresh, span = held[-overlap:] if overlap else [], False, None
-                    held = held if len(held) + len(piece) <= most else []
-                held, fresh = held + piece, True
-                span = (span[0] if span else p, p)
-        if fresh:
-            close()
-        return pd.DataFrame(out, columns=[key, "chunk", "first_pos", "last_pos", "n_tokens", "text"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, pos, text).groupBy(key).applyInPandas(run, f"{key} {kind}, chunk int, first_pos int, last_pos int, n_tokens int, text string")

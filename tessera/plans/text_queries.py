@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import chunking as CH
 from tessera.operators import classify as C
 from tessera.operators import compliance as K
 from tessera.operators import matching as M
@@ -113,9 +114,44 @@ def w13_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reflow(_lines(spark, sf_dir), "doc_id", "pos", "line")
 
 
-@query()
+def _chunks_sql(target: int = 400, most: int = 512, overlap: int = 50) -> str:
+    words = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+    said = f"string_split(regexp_replace(text, {_lit(CH.SENTENCE)}, '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    back = f"CASE WHEN p[e + 1] <= {overlap} THEN 0 ELSE least(e, list_filter(range(0, n), lambda k: p[k + 1] >= p[e + 1] - {overlap})[1] + 1) END"
+    base = lambda at: f"CASE WHEN {at} = 0 THEN 0 ELSE p[{at}] END"
+    return f"""WITH RECURSIVE {LINES}, base AS (SELECT doc_id, pos, line AS text, len({words("line")}) AS t FROM lines),
+said AS (SELECT doc_id, pos, unnest({said}) AS text, generate_subscripts({said}, 1) AS s FROM base WHERE t > {most}),
+counted AS (SELECT *, {words("text")} AS w FROM said),
+cut AS (SELECT doc_id, pos, s, unnest(range(0, (len(w) - 1) // {most} + 1)) AS part, w FROM counted WHERE len(w) > {most}),
+units AS (SELECT doc_id, pos, 0 AS s, 0 AS part, text, t FROM base WHERE t BETWEEN 1 AND {most} UNION ALL SELECT doc_id, pos, s, 0, text, len(w) FROM counted WHERE len(w) BETWEEN 1 AND {most} UNION ALL SELECT doc_id, pos, s, part, array_to_string(w[part * {most} + 1 : (part + 1) * {most}], ' '), least({most}, len(w) - part * {most}) FROM cut),
+sums AS (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY pos, s, part) AS p FROM units),
+docs AS (SELECT doc_id, list(text ORDER BY pos, s, part) AS texts, list(pos ORDER BY pos, s, part) AS places, list(CAST(p AS BIGINT) ORDER BY pos, s, part) AS p, count(*) AS n FROM sums GROUP BY doc_id),
+walk AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS begin, ends(p, n, 0, -1) AS e FROM docs UNION ALL SELECT doc_id, chunk + 1, s, ends(p, n, s, e) FROM (SELECT *, CASE WHEN p[e + 2] - ({base("b")}) <= {most} THEN b ELSE e + 1 END AS s FROM (SELECT w.*, p, n, {back} AS b FROM walk w JOIN docs USING (doc_id) WHERE e < n - 1)))
+SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(places[begin + 1] AS INT) AS first_pos, CAST(places[e + 1] AS INT) AS last_pos, CAST(p[e + 1] - ({base("begin")}) AS BIGINT) AS n_tokens, array_to_string(texts[begin + 1 : e + 1], chr(10)) AS text FROM walk JOIN docs USING (doc_id)"""
+
+
+def _chunk_end_sql(sql: str, target: int = 400, most: int = 512) -> str:
+    """``ends(p, n, s, e)`` written out: the end of the chunk that begins at s behind one that ends at e."""
+    for s, e in (("0", "-1"), ("s", "e")):
+        base = f"CASE WHEN {s} = 0 THEN 0 ELSE p[{s}] END" if s != "0" else "0"
+        over = f"list_filter(range(0, n), lambda k: p[k + 1] > {base} + {target})[1]"
+        end = f"CASE WHEN {over} IS NULL THEN n - 1 WHEN p[{over} + 1] - {base} <= {most} OR {over} <= {e} + 1 THEN greatest({over}, {e} + 1) ELSE {over} - 1 END"
+        sql = sql.replace(f"ends(p, n, {s}, {e})", end)
+    return sql
+
+
+@query(_chunk_end_sql(_chunks_sql()))
 def w11_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.chunks(_lines(spark, sf_dir), "doc_id", "pos", "line")
+    """Lines in chunks of 400 to 512 words with 50 of overlap; longer lines by sentences."""
+    return CH.chunks(_lines(spark, sf_dir), "doc_id", "pos", "line")
+
+
+@query()
+def w11_subword_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the tokens of a public byte-level vocabulary; checked against a loop in the tests."""
+    import public_tokenizers
+
+    return CH.chunks(_lines(spark, sf_dir), "doc_id", "pos", "line", tokens=CH.Subwords(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 # ---- obligations -----------------------------------------------------------

@@ -87,13 +87,6 @@ def test_paragraphs_and_kinds(spark):
     assert got == [(1, "heading"), (1, "body"), (2, "skip"), (2, "heading_colon"), (2, "skip")]
 
 
-def test_chunks_overlap(spark):
-    rows = spark.createDataFrame([(1, i, " ".join(f"w{i}_{j}" for j in range(30))) for i in range(5)] + [(2, 0, None)], "d int, pos int, t string")
-    got = segments.chunks(rows, "d", "pos", "t", target=70, most=100, overlap=10).orderBy("chunk").collect()
-    assert [(r.first_pos, r.last_pos, r.n_tokens) for r in got] == [(0, 1, 60), (2, 3, 70), (4, 4, 40)]
-    assert got[1].text.split()[:10] == got[0].text.split()[-10:]
-
-
 def test_shortlist_cap(spark):
     det = spark.createDataFrame([("c", "a"), ("c", "b")], "c string, s string")
     sim = spark.createDataFrame([("c", "b", 0.9), ("c", "x", 0.5), ("c", "y", 0.7)], "c string, s string, score double")
