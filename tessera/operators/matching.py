@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import literals
 from tessera.packs import CATALOGUE, TIER_RANK, Requirement
 
 
@@ -72,10 +73,11 @@ def match_patterns(clauses: DataFrame, catalogue: tuple[Requirement, ...] = CATA
 
 
 def match_patterns_join(clauses: DataFrame, patterns: DataFrame, *, text: str = "text", keys: list[str] = ["clause_id"]) -> DataFrame:  # noqa: B006
-    """The same as a theta join with a pattern table (sr_id, framework, pattern), for catalogues that change at run time."""
+    """The same as a join with a pattern table (sr_id, framework, pattern) of any size, for catalogues that change at run time: clauses meet the
+    patterns whose needed literals they hold (``literals``), and only patterns without such literals meet all clauses."""
     per = patterns.groupBy("sr_id").agg(F.count("*").alias("n_patterns"))
-    hits = clauses.join(F.broadcast(patterns), F.expr(f"{text} rlike pattern")).groupBy(*keys, "sr_id", "framework").agg(F.count("*").alias("hits"))
-    return hits.join(F.broadcast(per), "sr_id").withColumn("match_type", match_type(F.col("hits"))).withColumn("match_confidence", match_confidence(F.col("hits"), F.col("n_patterns")))
+    hits = literals.pattern_hits_join(clauses, patterns, keys, text, ["sr_id", "framework"])
+    return hits.join(per, "sr_id").withColumn("match_type", match_type(F.col("hits"))).withColumn("match_confidence", match_confidence(F.col("hits"), F.col("n_patterns")))
 
 
 # Words that carry no topic.
@@ -110,9 +112,34 @@ def weights(tokens: DataFrame, key: str, idf_rows: DataFrame) -> DataFrame:
     return raw.select(key, "tok", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))).alias("w"))
 
 
-def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15) -> DataFrame:
-    """Inverted-index join of two weight tables: score, then the ``k`` best of each query over ``least``."""
-    dot = queries.join(index.withColumnRenamed("w", "w2"), "tok").groupBy(query_key, index_key).agg(F.round(F.sum(F.col("w") * F.col("w2")), 4).alias("score"))
+def lifting(queries: DataFrame, index: DataFrame, query_key: str, *, least: float) -> DataFrame:
+    """Rows of ``queries`` (key, tok, w) whose tokens can, with all less promising ones of the row, reach ``least``.
+
+    A token adds at most w times the largest weight that the index gives it. Ordered by this bound, the tokens of a row that together stay
+    below ``least`` can lift no pair over it, so every pair that reaches it shares one of the others.
+    """
+    most = index.groupBy("tok").agg(F.max("w").alias("_most"))
+    bound = queries.join(most, "tok").withColumn("_bound", F.col("w") * F.col("_most"))
+    below = F.sum("_bound").over(W.partitionBy(query_key).orderBy("_bound", "tok").rowsBetween(W.unboundedPreceding, 0))
+    slack = 0.00005 + 1e-9  # scores are rounded to four digits before they are compared
+    return bound.withColumn("_below", below).where(F.col("_below") >= least - slack).select(query_key, "tok", "w")
+
+
+def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15, crowd: int = 100_000) -> DataFrame:
+    """Score, then the ``k`` best of each query over ``least``, of two weight tables (key, tok, w).
+
+    Pairs are found by the tokens that can lift one over ``least``; their whole score comes from both rows' weights, side by side in
+    one row. The query rows of a token with more than ``crowd`` of them are dealt over several tasks, its index rows go to each of these.
+    """
+    ahead = lifting(queries, index, query_key, least=least)
+    hot = ahead.groupBy("tok").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("tok", F.ceil(F.col("_n") / crowd).cast("int").alias("_deals"))
+    dealt = ahead.join(hot, "tok", "left").withColumn("_deal", F.pmod(F.xxhash64(query_key), F.coalesce("_deals", F.lit(1))))
+    many = index.join(hot, "tok", "left").select(index_key, "tok", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)).cast("long") - 1)).alias("_deal"))
+    pairs = dealt.select(query_key, "tok", "_deal").join(many, ["tok", "_deal"]).select(query_key, index_key).distinct()
+    vector = lambda rows, key, name: rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("tok", "w"))).alias(name))  # one text's tokens
+    both = pairs.join(vector(queries, query_key, "_q"), query_key).join(vector(index, index_key, "_i"), index_key)
+    terms = F.transform(F.map_keys("_i"), lambda t: F.coalesce(F.col("_q")[t], F.lit(0.0)) * F.col("_i")[t])
+    dot = both.withColumn("score", F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 4)).select(query_key, index_key, "score")
     order = W.partitionBy(query_key).orderBy(F.desc("score"), F.desc(index_key))
     return dot.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

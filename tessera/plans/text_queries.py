@@ -250,7 +250,7 @@ def j10_pattern_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MATCHES} SELECT doc_id, sr_id, CAST(sum(hits) AS BIGINT) AS hits FROM matches WHERE hits > 0 GROUP BY ALL")
 def j10_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same matches by the theta join with a pattern table."""
+    """The same matches by a join with a pattern table, through the literals that patterns need."""
     patterns = spark.createDataFrame([(r.sr_id, r.framework, "(?iu)" + p) for r in demo.CATALOGUE for p in r.patterns], "sr_id string, framework string, pattern string")
     out = M.match_patterns_join(_lines(spark, sf_dir), patterns, text="line", keys=["doc_id", "pos"])
     return out.groupBy("doc_id", "sr_id").agg(F.sum("hits").cast("long").alias("hits"))
