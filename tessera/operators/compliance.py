@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.shared import ordered_distinct
+
 from tessera.operators.matching import match_confidence, match_type, pattern_hits
 from tessera.packs import MATCH_BONUS_CAP, MATCH_WEIGHT, SEVERITY_BASE, SEVERITY_RANK, TOPIC_BONUS, Requirement
 
@@ -134,27 +136,91 @@ def requirement_topic(title: Column, framework: Column) -> Column:
     return F.when(has("incident", "reporting timeline", "notification"), "INCIDENT_MANAGEMENT").when(has("transfer", "subprocessor", "data subject", "dpa", "processing agreement"), "DATA_PROTECTION").when(has("audit"), "AUDIT_RIGHTS").when(has("supply chain"), "SECURITY_CONTROLS").when(framework == "DORA", "REGULATORY_COMPLIANCE").when(framework == "GDPR", "DATA_PROTECTION")
 
 
-def action_plan(findings: DataFrame, *keys: str, item: str = "clause_id", group: str = "finding_type") -> DataFrame:
-    """An action for each finding type: best priority, clauses and topics in order without repeats, highest and summed score; numbered
-    by priority, highest score, type."""
-    order = F.array_sort(F.collect_list(F.struct("position", item, "topic")))
-    out = findings.groupBy(*keys, group).agg(
-        F.min(lookup({"HIGH": 0, "MEDIUM": 1, "LOW": 2}, F.col("priority"), 3)).alias("_p"),
-        F.round(F.max("risk_score"), 2).alias("max_score"),
-        F.round(F.sum("risk_score"), 2).alias("total_score"),
+def action_members(findings: DataFrame, *keys: str, item: str = "clause_id", group: str = "finding_type") -> DataFrame:
+    """A row for each clause of an action: keys, ``group``, ``item``, its first position, findings, best priority, highest and summed score.
+
+    findings: keys, ``group``, ``item``, position, priority, risk_score.
+    """
+    return findings.groupBy(*keys, group, item).agg(
+        F.min("position").alias("position"),
         F.count("*").alias("n_findings"),
-        order.alias("_rows"),
+        F.min(lookup({"HIGH": 0, "MEDIUM": 1, "LOW": 2}, F.col("priority"), 3)).alias("_p"),
+        F.max("risk_score").alias("max_score"),
+        F.sum("risk_score").alias("total_score"),
     )
-    out = out.withColumn("clauses", F.array_distinct(F.col(f"_rows.{item}"))).withColumn("topics", F.array_distinct(F.array_compact(F.col("_rows.topic"))))
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("_p", F.desc("max_score"), group)) if keys else F.row_number().over(W.orderBy("_p", F.desc("max_score"), group))
-    return out.withColumn("priority", F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW", "NONE"))), F.col("_p") + 1)).withColumn("action_no", number).drop("_p", "_rows")
 
 
-def exposure(actions: DataFrame, evidence: DataFrame, action_key: str, *, strict: bool = False) -> DataFrame:
-    """Requirements by the clauses of the actions that cite them (strict: by the clauses that matched them)."""
+def action_plan(findings: DataFrame, *keys: str, item: str = "clause_id", group: str = "finding_type") -> DataFrame:
+    """An action for each finding type: best priority, highest and summed score, number and first of its clauses, topics in the order of their
+    first findings; numbered by priority, highest score, type. Its clauses are the rows of ``action_members``, which no row lists."""
+    members = action_members(findings, *keys, item=item, group=group)
+    out = members.groupBy(*keys, group).agg(
+        F.min("_p").alias("_p"),
+        F.round(F.max("max_score"), 2).alias("max_score"),
+        F.round(F.sum("total_score"), 2).alias("total_score"),
+        F.sum("n_findings").alias("n_findings"),
+        F.count("*").alias("n_clauses"),
+        F.min_by(item, F.struct("position", item)).alias("first_clause"),
+    )
+    topics = ordered_distinct(findings, [*keys, group], F.col("topic"), F.col("position"), "topics")  # of a fixed set
+    number = F.row_number().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("_p", F.desc("max_score"), group))  # a row for each type
+    named = out.withColumn("priority", F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW", "NONE"))), F.col("_p") + 1)).withColumn("action_no", number).drop("_p")
+    return named.join(topics, [*keys, group], "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
+def action_evidence(findings: DataFrame, matches: DataFrame, *keys: str, item: str = "clause_id", group: str = "finding_type") -> DataFrame:
+    """keys, ``group``, sr_id, framework, match_type, confidence, source_clause, place: the requirements that an action's clauses match, each by its first
+    match in the order of clauses, numbered in that order. matches: keys, ``item``, sr_id, framework, match_type, match_confidence."""
+    members = action_members(findings, *keys, item=item, group=group).select(*keys, group, item, "position")
+    cited = members.join(matches.where("match_type <> 'NO_MATCH'").select(*keys, item, "sr_id", "framework", "match_type", "match_confidence"), [*keys, item])
+    seen = F.struct("framework", "match_type", F.round(F.col("match_confidence") * 100).cast("int").alias("confidence"), F.col(item).alias("source_clause"))
+    at = F.struct("position", "sr_id", -F.col("match_confidence"), "match_type")
+    first = cited.groupBy(*keys, group, "sr_id").agg(F.min_by(seen, at).alias("_m"), F.min(at).alias("_at"))
+    place = F.row_number().over(W.partitionBy(*keys, group).orderBy("_at"))  # a row for each requirement
+    return first.select(*keys, group, "sr_id", "_m.*", place.alias("place"))
+
+
+def action_texts(findings: DataFrame, proposals: DataFrame, *keys: str, item: str = "clause_id", group: str = "finding_type") -> DataFrame:
+    """keys, ``group``, remediation_summary, negotiation_guidance, suggested_contract_change: the texts of an action's proposals, the most severe
+    first, each once, joined by bars; the change is that of the first proposal. proposals: keys, ``item``, severity, problem_summary,
+    negotiation_guidance, suggested_clause. A text that stands as a problem is not repeated as guidance."""
+    members = action_members(findings, *keys, item=item, group=group).select(*keys, group, item, "position")
+    place = F.struct(lookup({"HIGH": 0, "MEDIUM": 1, "LOW": 2}, F.col("severity"), 99).alias("rank"), "position", item)
+    texts = ("problem_summary", "negotiation_guidance", "suggested_clause")
+    rows = members.join(proposals.select(*keys, item, "severity", *texts), [*keys, item]).withColumn("_at", place)
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.trim("problem_summary").alias("text")), F.struct(F.lit(1).alias("kind"), F.trim("negotiation_guidance").alias("text")))
+    texts = rows.select(*keys, group, "_at", F.inline(both)).where("text <> ''").groupBy(*keys, group, "text").agg(F.min(F.struct("_at", "kind")).alias("_f"))
+    part = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_f.kind") == kind, F.struct("_f._at", "text")))), lambda x: x["text"]), " | ")
+    joined = texts.groupBy(*keys, group).agg(part(0).alias("remediation_summary"), part(1).alias("negotiation_guidance"))
+    first = rows.groupBy(*keys, group).agg(F.min_by(F.coalesce("suggested_clause", F.lit("")), "_at").alias("suggested_contract_change"))
+    summary = F.coalesce(F.nullif("remediation_summary", F.lit("")), F.lit("See finding type."))
+    return first.join(joined, [*keys, group], "left").withColumn("remediation_summary", summary).withColumn("negotiation_guidance", F.coalesce("negotiation_guidance", F.lit("")))
+
+
+def exposure(members: DataFrame, evidence: DataFrame, action_key: str, *, strict: bool = False) -> DataFrame:
+    """sr_id, n_clauses, n_actions: requirements by the clauses of the actions that cite them (strict: by the clauses that matched them).
+
+    members: ``action_key``, clause_id; evidence: ``action_key``, sr_id, clause_id.
+    """
     own = evidence.select(action_key, "sr_id", "clause_id").distinct()
-    rows = own if strict else own.select(action_key, "sr_id").distinct().join(actions.select(action_key, F.explode("clauses").alias("clause_id")), action_key)
-    return rows.groupBy("sr_id").agg(F.array_sort(F.collect_set("clause_id")).alias("clauses"), F.countDistinct("clause_id").alias("n_clauses"), F.countDistinct(action_key).alias("n_actions"))
+    rows = own if strict else own.select(action_key, "sr_id").distinct().join(members.select(action_key, "clause_id").distinct(), action_key)
+    return rows.groupBy("sr_id").agg(F.countDistinct("clause_id").alias("n_clauses"), F.countDistinct(action_key).alias("n_actions"))
+
+
+def exposure_index(matches: DataFrame, members: DataFrame, evidence: DataFrame, items: DataFrame, *keys: str, item: str = "clause_id", group: str = "finding_type") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables about each requirement of keys: (framework, match_type, confidence of the first match), its clauses in order, its negotiation items in order.
+
+    matches: keys, ``item``, position, sr_id, framework, match_type, match_confidence; members: ``action_members``; evidence: ``action_evidence``; items: keys,
+    ``group``, item_id. Clauses that match come first, in the order of their positions, then those of the items that cite the requirement.
+    """
+    hits = matches.where("match_type <> 'NO_MATCH'")
+    seen = F.struct("framework", "match_type", F.round(F.col("match_confidence") * 100).cast("int").alias("confidence"))
+    head = hits.groupBy(*keys, "sr_id").agg(F.min_by(seen, F.struct("position", item)).alias("_m")).select(*keys, "sr_id", "_m.*")
+    cited = evidence.select(*keys, group, "sr_id").join(items.select(*keys, group, "item_id"), [*keys, group])
+    own = hits.select(*keys, "sr_id", item, F.struct(F.lit(0).alias("from"), F.lit("").alias("by"), "position").alias("at"))
+    theirs = cited.join(members.select(*keys, group, item, "position"), [*keys, group]).select(*keys, "sr_id", item, F.struct(F.lit(1).alias("from"), F.col("item_id").alias("by"), "position").alias("at"))
+    first = own.unionByName(theirs).groupBy(*keys, "sr_id", item).agg(F.min("at").alias("at"))
+    return head, first, cited.select(*keys, "sr_id", "item_id").distinct()
 
 
 def ranked_exposure(rows: DataFrame) -> DataFrame:

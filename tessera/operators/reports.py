@@ -53,33 +53,45 @@ def proposal_findings(proposals: DataFrame, reasons: DataFrame, matches: DataFra
 
 
 def brief(findings: DataFrame, *keys: str) -> DataFrame:
-    """A section for each topic: issues, highest severity, affected clauses and types in order, place in the report."""
-    out = findings.groupBy(*keys, "topic").agg(
-        F.count("*").alias("issue_count"),
+    """A section for each topic: issues, highest severity, number of affected clauses, types in order, place in the report. The clauses
+    themselves are ``affected``."""
+    each = findings.groupBy(*keys, "topic", "clause_id", "finding_type").agg(
+        F.count("*").alias("_n"),
         F.max(rank(F.col("severity"))).alias("_r"),
-        F.array_sort(F.collect_set("clause_id")).alias("affected"),
-        F.array_sort(F.collect_set("finding_type")).alias("finding_types"),
-        F.count_if(F.col("severity") == "HIGH").alias("n_high"),
-        F.count_if(F.col("severity") == "MEDIUM").alias("n_medium"),
+        F.count_if(F.col("severity") == "HIGH").alias("_high"),
+        F.count_if(F.col("severity") == "MEDIUM").alias("_medium"),
+    )
+    out = each.groupBy(*keys, "topic").agg(
+        F.sum("_n").alias("issue_count"),
+        F.max("_r").alias("_r"),
+        F.countDistinct("clause_id").alias("n_affected"),
+        F.array_sort(F.collect_set("finding_type")).alias("finding_types"),  # of a fixed set
+        F.sum("_high").alias("n_high"),
+        F.sum("_medium").alias("n_medium"),
     )
     out = out.withColumn("highest_severity", F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), F.greatest(F.col("_r"), F.lit(0)) + 1))
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_r"), lookup(TOPIC_ORDER, F.col("topic"), 9), "topic"))
     return out.withColumn("section", place).drop("_r")
 
 
+def affected(findings: DataFrame, *keys: str) -> DataFrame:
+    """keys, topic, clause_id: the clauses of each section, a row each."""
+    return findings.select(*keys, "topic", "clause_id").distinct()
+
+
 def primary_proposal(proposals: DataFrame, key: str) -> DataFrame:
     """key, proposal: of the most severe proposals the first."""
     return proposals.groupBy(key).agg(F.min_by("proposal", F.struct(-rank(F.col("severity")), F.col("position"))).alias("proposal"))
 
 
-def package(actions: DataFrame, matches: DataFrame, *keys: str) -> DataFrame:
-    """A negotiation item for every action: its requirements (first four), frameworks and numbered id. actions: keys, action_no, priority,
-    clauses; matches: keys, clause_id, sr_id, framework, match_type."""
-    cited = actions.select(*keys, "action_no", F.explode("clauses").alias("clause_id")).join(matches.where("match_type <> 'NO_MATCH'"), [*keys, "clause_id"])
-    refs = cited.groupBy(*keys, "action_no").agg(F.array_sort(F.collect_set("sr_id")).alias("_srs"), F.array_sort(F.collect_set("framework")).alias("frameworks"))
-    out = actions.join(refs, [*keys, "action_no"], "left")
+def package(actions: DataFrame, members: DataFrame, matches: DataFrame, *keys: str, group: str = "finding_type", item: str = "clause_id") -> DataFrame:
+    """A negotiation item for every action: its requirements (first four), frameworks and numbered id. actions: keys, ``group``, action_no, priority,
+    n_clauses; members: keys, ``group``, ``item``; matches: keys, ``item``, sr_id, framework, match_type."""
+    cited = members.select(*keys, group, item).join(matches.where("match_type <> 'NO_MATCH'"), [*keys, item]).select(*keys, group, "sr_id", "framework").distinct()
+    refs = cited.groupBy(*keys, group).agg(F.array_sort(F.collect_set("sr_id")).alias("_srs"), F.array_sort(F.collect_set("framework")).alias("frameworks"))  # of the catalogue
+    out = actions.join(refs, [*keys, group], "left")
     empty = F.array().cast("array<string>")
-    return out.select(*keys, F.format_string("NEG-%03d", "action_no").alias("item_id"), "priority", F.slice(F.coalesce("_srs", empty), 1, 4).alias("evidence"), F.coalesce("frameworks", empty).alias("frameworks"), F.size("clauses").alias("n_clauses"))
+    return out.select(*keys, F.col(group), F.format_string("NEG-%03d", "action_no").alias("item_id"), "priority", F.slice(F.coalesce("_srs", empty), 1, 4).alias("evidence"), F.coalesce("frameworks", empty).alias("frameworks"), "n_clauses")
 
 
 def argument(kind: Column, priority: Column) -> Column:

@@ -47,3 +47,12 @@ def ranked(rows: DataFrame, *order: Column, name: str = "place", with_total: boo
     out = laid.withColumn("_range", area).join(F.broadcast(starts), "_range")
     out = out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_range", "_before")
     return out if with_total else out.drop("total")
+
+
+def ordered_distinct(rows: DataFrame, keys: list[str], value: Column, position: Column, name: str) -> DataFrame:
+    """``keys``, ``name``: the distinct values of each key in the order of their first positions; nulls are left out.
+
+    Values are made distinct before they are listed, with map-side combine, so a list holds each value once however many rows there are.
+    """
+    first = rows.select(*keys, value.alias("_v"), position.alias("_p")).where("_v is not null").groupBy(*keys, "_v").agg(F.min("_p").alias("_p"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"]).alias(name))

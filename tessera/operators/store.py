@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.shared import ranked
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -27,12 +29,19 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def page(rows: DataFrame, *order: Column, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of at most 500 rows."""
-    return rows.orderBy(*order).offset(offset).limit(min(limit, 500))
+    """One page of at most 500 rows, with place (from 1) and total, the number of rows of all pages: one pass over the rows, which are
+    numbered by ranges, so a page far back costs what the first one does. An empty page has no row to carry the total."""
+    return ranked(rows, *order, with_total=True).where(F.col("place").between(offset + 1, offset + min(limit, 500)))
 
 
 def contains_ci(column: Column, term: str) -> Column:
-    return F.contains(F.lower(column), F.lit(term.lower()))
+    """Whether the text holds ``term`` in any case; % stands for any run of characters and _ for any one, as in SQL's LIKE; nothing escapes them."""
+    return F.lower(column).like("%" + term.lower().replace("\\", "\\\\") + "%")
+
+
+def present(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that ``others`` has the keys of; none is repeated."""
+    return rows.join(others.select(*keys), keys, "left_semi")
 
 
 def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,9 +55,10 @@ def upsert_skip(existing: DataFrame, incoming: DataFrame, keys: list[str], *orde
 
 
 def number(rows: DataFrame, prefix: str, *order: Column, width: int = 3, partition: list[str] | None = None) -> DataFrame:
-    """Adds ``id``: prefix and position in ``order`` within each partition, to be used after filtering."""
-    w = W.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
-    return rows.withColumn("id", F.format_string(f"{prefix}%0{width}d", F.row_number().over(w)))
+    """Adds ``id``: prefix and position in ``order`` within each partition, or in the whole table by ranges; to be used after filtering."""
+    if not partition:
+        return ranked(rows, *order, name="_place").withColumn("id", F.format_string(f"{prefix}%0{width}d", "_place")).drop("_place")
+    return rows.withColumn("id", F.format_string(f"{prefix}%0{width}d", F.row_number().over(W.partitionBy(*partition).orderBy(*order))))
 
 
 def compare(before: DataFrame, after: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import models
+from tessera.operators import compliance as K
 from tessera.operators import elements as E
 from tessera.operators import reports as R
 from tessera.operators import segments as S
@@ -35,7 +36,7 @@ def a09_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A09, O02, O03."""
     rows = Q._scores(spark, sf_dir).where("topic is not null").withColumn("clause_id", F.col("doc_id")).withColumnRenamed("assessment", "finding_type")
     out = R.brief(rows, "source")
-    return out.select("source", "topic", "issue_count", "highest_severity", F.size("affected").cast("long").alias("n_affected"), F.array_join("finding_types", ",").alias("finding_types"), "n_high", "n_medium", "section")
+    return out.select("source", "topic", "issue_count", "highest_severity", "n_affected", F.array_join("finding_types", ",").alias("finding_types"), "n_high", "n_medium", "section")
 
 
 @query(f"WITH {Q.SCORES} SELECT source, count(*) AS total, count(*) FILTER (risk_score >= 7) AS high, count(*) FILTER (risk_score >= 4 AND risk_score < 7) AS medium, count(*) FILTER (risk_score < 4) AS low, count(*) FILTER (assessment = 'VALID') AS valid, count(*) FILTER (risk_score < 4) - count(*) FILTER (assessment = 'VALID') AS low_risk FROM scores GROUP BY source")
@@ -48,8 +49,9 @@ def a11_risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j06_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J06, A29, W05."""
     matches = Q._matches(spark, sf_dir).withColumn("clause_id", F.col("doc_id")).select("source", "clause_id", "sr_id", "framework", "match_type").distinct()
-    out = R.package(Q._plan(spark, sf_dir), matches, "source")
-    return out.select("source", "item_id", "priority", F.array_join("evidence", ",").alias("evidence"), F.array_join("frameworks", ",").alias("frameworks"), "n_clauses")
+    members = K.action_members(Q._rated(spark, sf_dir), "source", item="doc_id").withColumnRenamed("doc_id", "clause_id")
+    out = R.package(Q._plan(spark, sf_dir), members, matches, "source")
+    return out.select("source", "item_id", "priority", F.array_join("evidence", ",").alias("evidence"), F.array_join("frameworks", ",").alias("frameworks"), F.col("n_clauses").cast("int").alias("n_clauses"))
 
 
 @query("WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders), l AS (SELECT l_orderkey, arg_max(l_returnflag, struct_pack(a := l_linenumber, b := l_partkey, c := l_returnflag)) AS flag FROM lineitem GROUP BY l_orderkey), m AS (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, struct_pack(a := -l_discount, b := l_partkey)) AS best FROM lineitem WHERE l_discount > 0.05 GROUP BY l_orderkey) SELECT o_orderkey, o_orderstatus, l.flag, CAST(coalesce(n, 0) AS INT) AS n_matches, lpad(CAST(best AS VARCHAR), 12, '0') AS best_sr FROM o LEFT JOIN l ON o_orderkey = l.l_orderkey LEFT JOIN m ON o_orderkey = m.l_orderkey")

@@ -13,6 +13,7 @@ from tessera.operators import compliance as K
 from tessera.operators import library as L
 from tessera.operators import matching as M
 from tessera.operators import store
+from tessera.operators.shared import ranked
 from tessera.plans.registry import query, table
 
 _SEV = "CASE WHEN o_orderpriority[1:1] IN ('1', '2') THEN 'HIGH' WHEN o_orderpriority[1:1] = '3' THEN 'MEDIUM' ELSE 'LOW' END"
@@ -66,20 +67,22 @@ def j17_upsert_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("finding_key", "c_custkey", F.substring(F.sha2("finding_key", 256), 1, 16).alias("key_hash"))
 
 
-@query(f"WITH f AS (SELECT *, {_SEV} AS severity, {_STATUS} AS status FROM orders) SELECT o_orderkey, severity, status, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM f WHERE severity = 'HIGH' AND contains(lower(status), 'open') AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 25")
+@query(f"WITH f AS (SELECT *, {_SEV} AS severity, {_STATUS} AS status FROM orders) SELECT o_orderkey, severity, status, CAST(o_totalprice AS DOUBLE) AS o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER () AS total FROM f WHERE severity = 'HIGH' AND lower(status) LIKE '%o_e%n%' AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 25")
 def o08_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered page. The limit is the feature."""
-    rows = _findings(spark, sf_dir).where((F.col("severity") == "HIGH") & store.contains_ci(F.col("status"), "OPEN") & (F.col("o_totalprice") >= 1000))
-    return store.page(rows, F.desc("o_totalprice"), F.col("o_orderkey"), offset=25).select("o_orderkey", "severity", "status", "o_totalprice")
+    rows = _findings(spark, sf_dir).where((F.col("severity") == "HIGH") & store.contains_ci(F.col("status"), "O_E%N") & (F.col("o_totalprice") >= 1000))
+    return store.page(rows, F.desc("o_totalprice"), F.col("o_orderkey"), offset=25).select("o_orderkey", "severity", "status", "o_totalprice", "place", "total")
 
 
-@query("SELECT d.doc_id, d.source, CASE WHEN l.quality = 0 THEN 'HIGH' WHEN l.toxic = 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(row_number() OVER (ORDER BY CASE WHEN l.quality = 0 THEN 0 WHEN l.toxic = 1 THEN 1 ELSE 2 END, d.n_chars DESC, d.doc_id) AS INT) AS place FROM documents d JOIN labels l USING (doc_id) WHERE d.lang = 'en' AND contains(lower(d.text), 'thtion')")
+@query("WITH l AS (SELECT doc_id, min(CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END) AS r FROM labels GROUP BY doc_id) SELECT d.doc_id, d.source, ['HIGH', 'MEDIUM', 'LOW'][r + 1] AS severity, row_number() OVER (ORDER BY r, d.n_chars DESC, d.doc_id) AS place, count(*) OVER () AS total FROM documents d JOIN l USING (doc_id) WHERE d.lang = 'en' AND contains(lower(d.text), 'thtion') AND EXISTS (SELECT 1 FROM labels x WHERE x.doc_id = d.doc_id AND (x.quality = 0 OR x.toxic = 1 OR x.quality = 1))")
 def p28_list_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P28, J08, J22, O06."""
-    rows = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & store.contains_ci(F.col("text"), "thtion")).join(table(spark, sf_dir, "labels"), "doc_id")
-    sev = F.when(F.col("quality") == 0, "HIGH").when(F.col("toxic") == 1, "MEDIUM").otherwise("LOW")
-    rank = F.when(sev == "HIGH", 0).when(sev == "MEDIUM", 1).otherwise(2)
-    return rows.select("doc_id", "source", sev.alias("severity"), rank.alias("r"), "n_chars").select("doc_id", "source", "severity", F.row_number().over(W.orderBy("r", F.desc("n_chars"), "doc_id")).alias("place"))
+    """Rows that have a label of some kind, each once, in a global order with the total."""
+    labels = table(spark, sf_dir, "labels")
+    rows = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & store.contains_ci(F.col("text"), "thtion")).select("doc_id", "source", "n_chars")
+    worst = labels.groupBy("doc_id").agg(F.min(F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)).alias("r"))
+    rows = store.present(rows, labels.where("quality = 0 or toxic = 1 or quality = 1"), ["doc_id"]).join(worst, "doc_id")
+    out = ranked(rows, F.col("r"), F.desc("n_chars"), F.col("doc_id"), with_total=True)
+    return out.select("doc_id", "source", F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), F.col("r") + 1).alias("severity"), "place", "total")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0")

@@ -13,6 +13,8 @@ from tessera.operators import obligations as O  # noqa: E741
 from tessera.operators import segments as S
 from tessera.operators import store
 from tessera.operators import tracing as T
+from tessera.operators.shared import ordered_distinct
+from tessera.operators.vectors import InvertedFile
 from tessera.plans import demo
 from tessera.plans.registry import query, table, texts
 
@@ -358,6 +360,14 @@ def j20_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate(_similar(spark, sf_dir).withColumn("match_type", F.lit("x")), _exact(spark, sf_dir).withColumn("match_type", F.lit("x")), ["doc_id", "item_id"])
 
 
+@query()
+def j12_inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every twentieth vector among all by the index; its recall is tested against brute force."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = InvertedFile.build(rows, key="vec_id", vector="embedding")
+    return index.search(rows.where("vec_id % 20 = 0"), key="vec_id", vector="embedding")
+
+
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), l AS (SELECT vec_id AS item_id, embedding AS b FROM embeddings), s AS (SELECT query_id, item_id, round(list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])), 4) AS similarity FROM q, l) SELECT query_id, item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, item_id) AS INT) AS rank FROM s QUALIFY rank <= 10")
 def j12_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all vectors, top 10 by cosine."""
@@ -393,15 +403,18 @@ def a10_topic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAN = f"{SCORES}, plan AS (SELECT source, assessment AS finding_type, min(CASE WHEN risk_score >= 7 THEN 0 WHEN risk_score >= 4 THEN 1 ELSE 2 END) AS p, round(max(risk_score), 2) AS max_score, round(sum(risk_score), 2) AS total_score, count(*) AS n_findings, list_sort(list_distinct(list(doc_id))) AS docs, list_sort(list_distinct(list(topic))) AS topics FROM scores WHERE assessment <> 'VALID' GROUP BY ALL)"
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).where("assessment <> 'VALID'").withColumnRenamed("assessment", "finding_type").withColumn("position", F.struct("doc_id", "pos"))
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scores(spark, sf_dir).where("assessment <> 'VALID'").withColumnRenamed("assessment", "finding_type").withColumn("position", F.struct("doc_id", "pos"))
-    return K.action_plan(rows, "source", item="doc_id")
+    return K.action_plan(_rated(spark, sf_dir), "source", item="doc_id")
 
 
 @query(f"WITH {PLAN} SELECT source, finding_type, ['HIGH', 'MEDIUM', 'LOW'][p + 1] AS priority, CAST(max_score AS DOUBLE) AS max_score, CAST(total_score AS DOUBLE) AS total_score, n_findings, CAST(len(docs) AS INT) AS n_docs, array_to_string(topics, ',') AS topics, printf('%d', docs[1]) AS first_doc, CAST(row_number() OVER (PARTITION BY source ORDER BY p, max_score DESC, finding_type) AS INT) AS action_no FROM plan")
 def a12_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12, O04, J05."""
-    return _plan(spark, sf_dir).select("source", "finding_type", "priority", "max_score", "total_score", "n_findings", F.size("clauses").alias("n_docs"), F.array_join(F.array_sort("topics"), ",").alias("topics"), F.element_at("clauses", 1).cast("string").alias("first_doc"), "action_no")
+    return _plan(spark, sf_dir).select("source", "finding_type", "priority", "max_score", "total_score", "n_findings", F.col("n_clauses").cast("int").alias("n_docs"), F.array_join(F.array_sort("topics"), ",").alias("topics"), F.col("first_clause").cast("string").alias("first_doc"), "action_no")
 
 
 EXPOSURE = f"WITH {PLAN}, ev AS (SELECT DISTINCT s.source, s.assessment AS finding_type, m.sr_id FROM scores s JOIN matches m USING (doc_id, pos) WHERE s.assessment <> 'VALID' AND m.hits > 0), x AS (SELECT e.sr_id, e.source || '/' || e.finding_type AS a, unnest(p.docs) AS doc_id FROM ev e JOIN plan p USING (source, finding_type)) SELECT sr_id, count(DISTINCT doc_id) AS n_clauses, count(DISTINCT a) AS n_actions FROM x GROUP BY sr_id"
@@ -410,9 +423,61 @@ EXPOSURE = f"WITH {PLAN}, ev AS (SELECT DISTINCT s.source, s.assessment AS findi
 @query(EXPOSURE)
 def a13_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements by the documents of the actions that cite them."""
-    key = F.concat_ws("/", "source", "finding_type")
-    plan = _plan(spark, sf_dir).withColumn("action", key)
+    key = F.concat_ws("/", "source", "finding_type").alias("action")
+    members = K.action_members(_rated(spark, sf_dir), "source", item="doc_id").select(key, F.col("doc_id").alias("clause_id"))
     found = _assessed(spark, sf_dir).where("assessment <> 'VALID'").withColumnRenamed("assessment", "finding_type")
     hits = M.match_patterns(found, demo.CATALOGUE, text="line", keys=["doc_id", "source", "finding_type"]).where("hits > 0")
-    ev = hits.select(key.alias("action"), "sr_id", F.col("doc_id").alias("clause_id"))
-    return K.exposure(plan, ev, "action").select("sr_id", "n_clauses", "n_actions")
+    return K.exposure(members, hits.select(key, "sr_id", F.col("doc_id").alias("clause_id")), "action").select("sr_id", "n_clauses", "n_actions")
+
+
+def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of lines: a clause is a line, ``clause_id`` is doc_id:pos."""
+    rows = _rated(spark, sf_dir)
+    return rows.withColumn("clause_id", F.concat_ws(":", "doc_id", "pos"))
+
+
+def _line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _matches(spark, sf_dir).where("hits > 0").withColumn("position", F.struct("doc_id", "pos"))
+    return rows.select("source", F.concat_ws(":", "doc_id", "pos").alias("clause_id"), "position", "sr_id", "framework", "match_type", F.col("match_confidence").cast("double").alias("match_confidence"))
+
+
+_CITED = "cited AS (SELECT s.source, s.assessment AS finding_type, m.sr_id, m.framework, m.match_type, CAST(round(m.match_confidence * 100) AS INT) AS confidence, s.doc_id || ':' || s.pos AS source_clause, s.doc_id, s.pos FROM scores s JOIN matches m USING (doc_id, pos) WHERE s.assessment <> 'VALID' AND m.hits > 0), evidence AS (SELECT * FROM cited QUALIFY row_number() OVER (PARTITION BY source, finding_type, sr_id ORDER BY doc_id, pos) = 1)"
+
+
+@query(f"WITH {SCORES}, {_CITED} SELECT source, finding_type, sr_id, framework, match_type, confidence, source_clause, CAST(row_number() OVER (PARTITION BY source, finding_type ORDER BY doc_id, pos, sr_id) AS INT) AS place FROM evidence")
+def a12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each requirement of an action by its first match."""
+    return K.action_evidence(_line_findings(spark, sf_dir), _line_matches(spark, sf_dir), "source")
+
+
+@query(f"WITH {SCORES}, rows AS (SELECT source, assessment AS finding_type, doc_id, pos, severity, pos // 40 + 1 AS page, trim(line) AS problem, 'Page ' || (pos // 40 + 1) AS guidance, 'Change ' || doc_id || ':' || pos AS change, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 99 END AS r FROM scores WHERE assessment <> 'VALID'), parts AS (SELECT *, problem AS text, 0 AS kind FROM rows UNION ALL SELECT *, guidance, 1 FROM rows), once AS (SELECT * FROM parts WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY source, finding_type, text ORDER BY r, doc_id, pos, kind) = 1), texts AS (SELECT source, finding_type, string_agg(text, ' | ' ORDER BY r, doc_id, pos) FILTER (kind = 0) AS p, string_agg(text, ' | ' ORDER BY r, doc_id, pos) FILTER (kind = 1) AS g FROM once GROUP BY ALL), pages AS (SELECT source, finding_type, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages FROM rows GROUP BY ALL), head AS (SELECT source, finding_type, arg_min(change, struct_pack(a := r, b := doc_id, c := pos)) AS change FROM rows GROUP BY ALL) SELECT source, finding_type, pages, coalesce(p, 'See finding type.') AS remediation_summary, coalesce(g, '') AS negotiation_guidance, change AS suggested_contract_change FROM head JOIN pages USING (source, finding_type) LEFT JOIN texts USING (source, finding_type)")
+def a12_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and merged texts of an action; a line stands for the problem of its clause."""
+    rows, page = _line_findings(spark, sf_dir), F.floor(F.col("pos") / 40) + 1
+    proposals = rows.select("source", "clause_id", "severity", F.trim("line").alias("problem_summary"), F.concat(F.lit("Page "), page).alias("negotiation_guidance"), F.concat(F.lit("Change "), "clause_id").alias("suggested_clause"))
+    pages = ordered_distinct(rows, ["source", "finding_type"], page, page, "pages").withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+    return K.action_texts(rows, proposals, "source").join(pages, ["source", "finding_type"])
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, matches = _line_findings(spark, sf_dir), _line_matches(spark, sf_dir)
+    items = K.action_plan(rows, "source").select("source", "finding_type", F.format_string("NEG-%03d", "action_no").alias("item_id"))
+    return K.exposure_index(matches, K.action_members(rows, "source"), K.action_evidence(rows, matches, "source"), items, "source")
+
+
+_ITEMS = f"{_CITED}, plan AS (SELECT source, assessment AS finding_type, min(CASE WHEN risk_score >= 7 THEN 0 WHEN risk_score >= 4 THEN 1 ELSE 2 END) AS p, round(max(risk_score), 2) AS max_score FROM scores WHERE assessment <> 'VALID' GROUP BY ALL), items AS (SELECT *, printf('NEG-%03d', CAST(row_number() OVER (PARTITION BY source ORDER BY p, max_score DESC, finding_type) AS INT)) AS item_id FROM plan)"
+
+
+@query(f"WITH {SCORES}, {_ITEMS}, heads AS (SELECT source, sr_id, framework, match_type, CAST(round(match_confidence * 100) AS INT) AS confidence FROM matches WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY source, sr_id ORDER BY doc_id, pos) = 1), negs AS (SELECT source, sr_id, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS neg_ids FROM evidence JOIN items USING (source, finding_type) GROUP BY ALL) SELECT source, sr_id, framework, match_type, confidence, coalesce(neg_ids, '') AS neg_ids FROM heads LEFT JOIN negs USING (source, sr_id)")
+def a13_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each requirement with its first match and the negotiation items that cite it."""
+    head, _, cited = _index(spark, sf_dir)
+    listed = ordered_distinct(cited, ["source", "sr_id"], F.col("item_id"), F.col("item_id"), "neg_ids")
+    return head.join(listed, ["source", "sr_id"], "left").withColumn("neg_ids", F.coalesce(F.array_join("neg_ids", ","), F.lit("")))
+
+
+@query(f"WITH {SCORES}, {_ITEMS}, own AS (SELECT source, sr_id, doc_id, pos, 0 AS f, '' AS item_id FROM matches WHERE hits > 0 UNION ALL SELECT e.source, e.sr_id, s.doc_id, s.pos, 1, i.item_id FROM evidence e JOIN items i USING (source, finding_type) JOIN scores s ON s.source = e.source AND s.assessment = e.finding_type), once AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY source, sr_id, doc_id, pos ORDER BY f, item_id) = 1) SELECT source, sr_id, doc_id || ':' || pos AS clause_id, f = 0 AS matched, item_id AS first_item FROM once")
+def a13_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clauses of each requirement, those that match before those that negotiation items bring."""
+    _, clauses, _ = _index(spark, sf_dir)
+    return clauses.select("source", "sr_id", "clause_id", (F.col("at.from") == 0).alias("matched"), F.col("at.by").alias("first_item"))
