@@ -15,6 +15,7 @@ from tessera.operators import matching as M
 from tessera.operators import store
 from tessera.operators.shared import ranked
 from tessera.plans.registry import query, table
+from tessera.streaming.review import Review, reviewed
 
 _SEV = "CASE WHEN o_orderpriority[1:1] IN ('1', '2') THEN 'HIGH' WHEN o_orderpriority[1:1] = '3' THEN 'MEDIUM' ELSE 'LOW' END"
 _STATUS = "CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'resolved' ELSE 'accepted_risk' END"
@@ -215,3 +216,12 @@ def a18_strict_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus").agg(F.max("l_discount").alias("match_type"))
     part = lambda c: rows.where(c).groupBy("l_orderkey", "l_partkey").agg(F.max("match_type").alias("match_type"))
     return M.evaluate(part("l_returnflag = 'R'"), part("l_linestatus = 'F'"), ["l_orderkey", "l_partkey"], strict=True)
+
+
+@query("WITH RECURSIVE n AS (SELECT user_id, event_id, ts, event_type AS asked, ['ADMIN', 'ANALYST', 'VIEWER'][event_id % 3 + 1] AS role, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), walk AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 'view' AS old_status, 'view' AS new_status, '' AS outcome, 0::BIGINT AS snapshot FROM (SELECT DISTINCT user_id FROM n) UNION ALL SELECT user_id, k, event_id, s, CASE WHEN said = 'accepted' THEN asked ELSE s END, said, snapshot + CASE WHEN said = 'accepted' THEN 1 ELSE 0 END FROM (SELECT n.*, w.new_status AS s, w.snapshot, CASE WHEN w.new_status = 'error' THEN 'final' WHEN n.asked = w.new_status THEN 'unchanged' WHEN n.role = 'VIEWER' OR (n.asked = 'error' AND n.role <> 'ADMIN') THEN 'role' WHEN n.asked = 'purchase' AND w.new_status <> 'click' THEN 'move' ELSE 'accepted' END AS said FROM walk w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)) SELECT user_id, event_id, old_status, new_status, outcome, snapshot FROM walk WHERE k > 0")
+def d04_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each user accepted or refused by state and role, a snapshot for each accepted one."""
+    rules = Review("view", {"purchase": ("click",)}, {"error": ("ADMIN",)}, ("VIEWER",), ("error",))
+    role = F.element_at(F.array(*map(F.lit, ("ADMIN", "ANALYST", "VIEWER"))), (F.col("event_id") % 3 + 1).cast("int"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("at"), F.col("event_type").alias("asked"), role.alias("role"))
+    return reviewed(events, "user_id", rules).drop("at")
