@@ -374,6 +374,9 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> D
     Rows without doc_id stay. Equal rows of one id count once; another text under the same id is judged by itself. An empty table stays empty.
     """
     _, rooted = _linked(docs, similarity, shingle)
-    best = rooted.groupBy("root").agg(F.min("least").alias("x")).where("x is not null").select(F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias("_text_hash"))
-    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(best, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    mark = "_hash"
+    while mark in docs.columns:  # no column of ``docs`` is written over
+        mark += "_"
+    best = rooted.groupBy("root").agg(F.min("least").alias("x")).where("x is not null").select(F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias(mark))
+    kept = docs.withColumn(mark, F.xxhash64("text")).join(best, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

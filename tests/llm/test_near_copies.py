@@ -5,7 +5,7 @@ from itertools import combinations
 
 import corpus_pipeline as P
 from tessera.llm.common import table
-from tessera.llm.near_copies import near_copies
+from tessera.llm.near_copies import keep_one, near_copies
 
 
 def slow_windows(text):
@@ -59,3 +59,9 @@ def test_rows_without_id_and_no_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_copies(made).collect()) == [(0, 0), (0, 2), (2, 2), (2, 2), (5, 2)]
     assert sorted(r.doc_id or 0 for r in P.drop_near_copies(spark, made, "").collect()) == [0, 0, 2]
     assert P.drop_near_copies(spark, made.where("false"), "").count() == 0
+
+
+def test_keep_one_leaves_columns_with_helper_names_alone(spark):
+    made = [(1, "some words of a text", "x", "y", "r"), (2, "some words of a text", "x", "y", "r"), (3, "quite another one", "x", "y", "r")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, _text_hash string, _hash string, root string")
+    assert sorted(map(tuple, keep_one(docs).collect())) == [made[0], made[2]]
