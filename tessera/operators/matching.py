@@ -23,10 +23,11 @@ def applicable(catalogue: tuple[Requirement, ...], frameworks: list[str], contra
 
 
 def applicable_rows(requirements: DataFrame, contracts: DataFrame) -> DataFrame:
-    """The same as a join for many contracts: requirements(framework, contract_types array or null, min_rank), contracts(frameworks
-    array, contract_type, tier_rank)."""
-    fits = F.array_contains("frameworks", F.col("framework")) & (F.col("contract_types").isNull() | F.array_contains("contract_types", F.col("contract_type"))) & (F.col("tier_rank") >= F.col("min_rank"))
-    return contracts.join(F.broadcast(requirements), fits)  # the catalogue has a fixed size
+    """The same for many contracts: requirements(framework, contract_types array or null, min_rank), contracts(frameworks array,
+    contract_type, tier_rank). An equi-join on the framework; type and tier are tested on what it meets. Null or empty frameworks bring nothing in."""
+    each = contracts.withColumn("framework", F.explode(F.array_distinct("frameworks")))
+    fits = (F.col("contract_types").isNull() | F.array_contains("contract_types", F.col("contract_type"))) & (F.col("tier_rank") >= F.col("min_rank"))
+    return each.join(requirements, "framework").where(fits)
 
 
 def match_type(hits: Column) -> Column:
