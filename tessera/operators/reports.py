@@ -94,12 +94,6 @@ def package(actions: DataFrame, members: DataFrame, matches: DataFrame, *keys: s
     return out.select(*keys, F.col(group), F.format_string("NEG-%03d", "action_no").alias("item_id"), "priority", F.slice(F.coalesce("_srs", empty), 1, 4).alias("evidence"), F.coalesce("frameworks", empty).alias("frameworks"), "n_clauses")
 
 
-def argument(kind: Column, priority: Column) -> Column:
-    """Opening line of a negotiation item by finding type and priority."""
-    lead = F.when(priority == "HIGH", "must be changed before signature").when(priority == "MEDIUM", "should be changed").otherwise("may be clarified")
-    return F.concat(F.lower(F.replace(kind, F.lit("_"), F.lit(" "))), F.lit(": "), lead)
-
-
 def risk_distribution(scores: DataFrame, *keys: str) -> DataFrame:
     n = lambda p: F.count_if(F.col("priority") == p)
     valid = F.count_if(F.coalesce("assessment", F.lit("VALID")) == "VALID")

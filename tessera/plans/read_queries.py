@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import prompts as P
 from tessera.operators import matching as M
 from tessera.operators import reads as R
 from tessera.plans import text_queries as Q
@@ -116,3 +117,16 @@ def j21_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of two versions side by side; even years are the first version."""
     even = F.year("o_orderdate") % 2 == 0
     return R.side_by_side(_findings(spark, sf_dir).withColumn("score", F.col("o_totalprice")), even, ~even, "o_custkey")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no list of clauses' WHEN 2 THEN 'no flag of content' WHEN 3 THEN 'a clause lacks a field' WHEN 4 THEN 'a clause without text' END AS problem, CAST(CASE WHEN event_id % 6 = 5 THEN 1 + event_id % 2 END AS INT) AS n_clauses FROM events")
+def p37_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers checked; each event's kind and number make up an answer with one fault or none."""
+    fault = F.col("event_id") % 6
+    text = F.when(fault == 4, " ").otherwise(F.concat("event_type", F.lit(" "), F.col("event_id")))
+    clause = F.struct(text.alias("clause_text"), F.lit(0).alias("starts_at_char"), F.when(fault != 3, F.length(text)).alias("ends_at_char"), F.lit(False).alias("is_continuation"), F.lit(True).alias("is_truncated"))
+    listed = F.when(F.col("event_id") % 2 == 1, F.array(clause, clause)).otherwise(F.array(clause))
+    whole = F.to_json(F.struct(F.when(fault != 1, listed).alias("clauses"), F.when(fault != 2, F.lit(True)).alias("chunk_has_operative_content")))
+    answer = F.when(fault == 0, F.substring(whole, 1, 9)).otherwise(whole)
+    checked = table(spark, sf_dir, "events").select("event_id", P.extraction_answer(answer).alias("x"))
+    return checked.select("event_id", "x.problem", F.when(F.col("x.clauses").isNotNull(), F.size("x.clauses")).alias("n_clauses"))
