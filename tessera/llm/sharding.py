@@ -18,14 +18,14 @@ from tessera.llm.common import stored
 
 
 def _records(docs: DataFrame) -> DataFrame:
-    """Fixed-width rows; equal texts have equal keys."""
+    """Fixed-width rows with a number each, to be stored at once; equal texts have equal keys."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.xxhash64(F.lit("sub"), "doc_id").alias("tie"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("row"))
 
 
 def splitters(records: DataFrame, total: int, *, samples: int, ranges: int) -> list[int]:
     """At most ``ranges - 1`` keys: quantiles of about ``samples`` keys drawn with odds in proportion to size."""
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "key"), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "row"), F.lit(1 << 40)) / float(1 << 40)
     drawn = records.where(draw < F.col("size") * (samples / max(total, 1))).select("key")
     # each record enters once at most, so at most 2 * samples keys but for chance
     keys = sorted(r.key for r in drawn.collect())
@@ -58,8 +58,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, samples: int = 40_000,
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     Law ``bytes``. A null text has size 1 and shares a group with empty texts. A range whose exact size is over twice its share is
-    subdivided: by key where it holds several, else (one group of copies, larger than a 64th of a shard's share that
-    would not fit whole) by a hash of doc_id. Null ids and repeated rows are placed like others; an empty table stays empty.
+    subdivided: by key where it holds several; one group of copies of more than half a shard's share by a hash of its rows' numbers, so
+    rows that are equal in everything, or without id, are cut like others. An empty table stays empty.
     """
     records = stored(_records(docs), "records")
     total = records.agg(F.sum("size")).first()[0] or 0
@@ -72,7 +72,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, samples: int = 40_000,
     ranged = records.withColumn("range", range_of("key"))
     sums = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("key").alias("k0"), F.max("key").alias("k1")).collect()
     share = total / max(1, ranges)
-    # overfull ranges: by key into as many parts as they need; one key too large for a shard is cut by `tie`
+    # overfull ranges: by key into as many parts as they need; one key too large for a shard is cut by its rows
     over = {r.range: (int(r.b // share) + 1, r.k0 == r.k1 and r.b > total / shards / 2) for r in sums if r.b > 2 * share}
     parts = F.lit(1)
     by_tie = F.lit(False)
@@ -82,7 +82,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, samples: int = 40_000,
         tied = [k for k, (_, t) in over.items() if t]
         by_tie = F.col("range").isin(tied) if tied else by_tie
     # a second hash of the key spreads its range's groups, and keeps each whole
-    sub = F.pmod(F.when(by_tie, F.col("tie")).otherwise(F.xxhash64(F.lit("part"), "key")), parts).cast("int")
+    sub = F.pmod(F.when(by_tie, F.xxhash64(F.lit("sub"), "row")).otherwise(F.xxhash64(F.lit("part"), "key")), parts).cast("int")
     placed = ranged.withColumn("part", sub)
     cells = placed.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy("range", "part").collect()
     shard = assign([((c.range, c.part), c.b) for c in cells], shards)
@@ -98,10 +98,10 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, samples: int = 40_000,
 
 
 def _slots(placed: DataFrame) -> DataFrame:
-    """Gapless slots: a cell of many rows is numbered in blocks of a hash of doc_id, each block behind the ones before it."""
-    blocked = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "key"), F.col("blocks")).cast("int"))
+    """Gapless slots: a cell of many rows is numbered in blocks of a hash of the row's number, each block behind the ones before it."""
+    blocked = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), F.col("blocks")).cast("int"))
     sizes = blocked.where("blocks > 1").groupBy("range", "part", "block").agg(F.count("*").alias("n"))
     ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("range", "part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rows = blocked.join(F.broadcast(ahead), ["range", "part", "block"], "left")
-    order = W.partitionBy("range", "part", "block").orderBy("key", "doc_id", "size")
+    order = W.partitionBy("range", "part", "block").orderBy("key", "doc_id", "row")
     return rows.withColumn("slot", F.col("start") + F.coalesce("ahead", F.lit(0)) + F.row_number().over(order) - 1)

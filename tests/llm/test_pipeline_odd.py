@@ -53,3 +53,13 @@ def test_shards_keep_groups_and_odd_rows(spark):
     for held in groups.values():
         if sum(r["size"] for r in held) <= share / 2:
             assert len({r.shard for r in held}) == 1
+
+
+def test_equal_rows_and_null_ids_fill_all_shards(spark):
+    for made in (spark.range(200_000).selectExpr("7L doc_id", "'the same words' text"), spark.range(200_000).selectExpr("cast(null as bigint) doc_id", "concat('text ', id % 3) text")):
+        got = sharding.shard_documents(made).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+        sizes = [r["sum(size)"] for r in got]
+        assert len(got) == 8 and max(sizes) <= 1.03 * sum(sizes) / 8 and min(sizes) >= 0.97 * sum(sizes) / 8
+        assert all(r["max(slot)"] + 1 == r["count(1)"] for r in got)
+    drawn = sharding.splitters(sharding.stored(sharding._records(made), "records"), 200_000 * 7, samples=400, ranges=16)
+    assert len(drawn) <= 16
