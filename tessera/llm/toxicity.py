@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.calibrate import Logistic, labelled_sample
-from tessera.llm.common import filter_rows, map_batches, remainder
+from tessera.llm.common import filter_rows, map_batches, remainder, stored
 
 # Letters of other scripts and the Latin letters that they look like, capitals first (some look like another letter than their small form).
 _CAPITALS = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹՏՕՍԼ", "ABESIJKMHOPCTYXYGQWABEZHIKMNOPTYXCSOUL"))
@@ -56,7 +56,7 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    """``whole`` words and word ``starts`` with weights, and phrases in which they do not count."""
+    """``whole`` words and word ``starts`` with weights, and phrases in which they do not count; all in any spelling, for they are folded."""
 
     whole: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
@@ -67,12 +67,16 @@ class Lexicon:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for w, x in self.whole.items():
-            a.add_word(f" {w} ", (w, x, len(w) + 2))
-        for w, x in self.starts.items():
-            a.add_word(f" {w}", (w + "*", x, len(w) + 1))
-        for p in self.exceptions:
-            a.add_word(f" {' '.join(fold(p).split())} ", (None, 0.0, len(p) + 2))
+        # entries are folded as texts are; of several with one folded form the heaviest counts
+        form = lambda w: " ".join(fold(w).split())
+        for w, x in sorted(self.whole.items(), key=lambda e: e[1]):
+            if form(w):
+                a.add_word(f" {form(w)} ", (form(w), x, len(form(w)) + 2))
+        for w, x in sorted(self.starts.items(), key=lambda e: e[1]):
+            if form(w):
+                a.add_word(f" {form(w)}", (form(w) + "*", x, len(form(w)) + 1))
+        for p in filter(form, self.exceptions):
+            a.add_word(f" {form(p)} ", (None, 0.0, len(form(p)) + 2))
         if not len(a):
             return lambda text: (0.0, 0, 0, len(fold(text).split()))
         a.make_automaton()
@@ -114,7 +118,8 @@ def learn_lexicon(sample: DataFrame, *, least_docs: int = 5, least_gain: float =
     Near copies count once (one of each sketch). A longer entry gives way to its better beginning, and the other way.
     """
     sketch = map_batches(sample, ["text", "y"], "text string, y int, sketch long", lambda: lambda t, y: {"text": t, "y": y, "sketch": [_sketch(x) for x in t]})
-    rows = sketch.dropDuplicates(["sketch"])
+    # the same one for any partitioning, and one sample for all the counts below
+    rows = stored(sketch.groupBy("sketch").agg(F.min(F.struct("y", "text")).alias("x")).select("x.text", "x.y"), "sketches")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

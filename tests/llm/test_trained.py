@@ -253,3 +253,25 @@ def test_empty_tables(spark, docs):
     assert quality_rules.drop_by_rules(none, labels).columns == docs.columns
     untrained = docs.where("doc_id = -4")  # too few rows to learn from
     assert hmm_lm.score_documents(untrained, passes=1).count() == 2
+
+
+def test_a_callers_entries_are_folded_as_texts_are():
+    measure = Lexicon({"fool": 3.0, "l33t": 1.0, "Bad1": 2.0, "": 9.0, "???": 9.0}, {"Idiot": 4.0}, ("April Fool",)).matcher()
+    for text, weight in (("what a fool", 3.0), ("F00L!", 3.0), ("leet", 1.0), ("bad1 bad1", 4.0), ("1d10tic", 4.0), ("an April fool", 0.0), ("foolish", 0.0), ("", 0.0)):
+        assert measure(text)[0] == weight, text
+
+
+def test_toxicity_does_not_depend_on_the_partitioning(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    scores = [sorted((r.doc_id, round(r.score, 12)) for r in toxicity(docs.repartition(n), labels).collect()) for n in (3, 7)]
+    assert scores[0] == scores[1]
+
+
+def test_copies_of_a_text_reach_the_driver_once(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'one boilerplate text of a few words' as text").unionByName(spark.range(50).selectExpr("id + 50000", "concat('other text ', id)").toDF("doc_id", "text"))
+    sent, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(got := collect(self)) or got)
+    scored = hmm_lm.score_documents(docs)
+    assert max(map(len, sent)) < 1000
+    monkeypatch.undo()
+    assert scored.where("score is null or isnan(score)").count() == 0 and scored.count() == 20_050
