@@ -38,3 +38,30 @@ def risk_severity(score: Column) -> Column:
 def modifiers(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """key and, for each column, its distinct values in order, nulls left out."""
     return rows.groupBy(key).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
+
+
+def promote(matches: DataFrame, penalties: DataFrame, findings: DataFrame, keys: list[str], *order: Column, clause: str = "clause_id") -> DataFrame:
+    """Findings to insert: of each key the best match (covering in full or part, highest match_confidence, nulls last, then similarity, then ``order``), unless
+    ``findings`` (``keys``, finding_type) holds one that is not ``missing``. Run again with its result among ``findings`` it gives none.
+
+    matches: ``keys``, ``clause``, coverage, match_confidence, model_confidence, similarity, raw_quality, missing_elements (array). penalties: ``clause``, factor, one row
+    for each penalty. The quality behind the risk is the raw one times all penalties.
+    """
+    held = findings.where("finding_type <> 'missing'").select(*keys).distinct()
+    rows = best_match(matches.where(F.col("coverage").isin("full", "partial")), keys, F.desc_nulls_last("match_confidence"), F.desc("similarity"), *order).where("is_best")
+    rows = rows.join(held, keys, "left_anti").join(penalty(penalties, clause, "factor"), clause, "left")
+    post = F.col("raw_quality") * F.coalesce("factor", F.lit(1.0))
+    risk = F.round(100 * (1 - quality(post, F.col("raw_quality"))), 2)
+    lacking = F.array_join(F.coalesce("missing_elements", F.array().cast("array<string>")), "; ")
+    advice = F.when(F.col("coverage") == "full", "No action required.").when(lacking != "", F.concat(F.lit("Add: "), lacking)).otherwise("Clarify the clause.")
+    out = rows.withColumn("post_modifier_quality", post).withColumn("clause_risk_score", risk)
+    return out.select(
+        *keys,
+        clause,
+        F.when(F.col("coverage") == "full", "present").otherwise("partial").alias("finding_type"),
+        risk_severity(F.col("clause_risk_score")).alias("severity"),
+        F.coalesce(F.nullif("match_confidence", F.lit(0.0)), F.nullif("model_confidence", F.lit(0.0)), F.lit(0.5)).alias("confidence"),
+        advice.alias("recommendation"),
+        "clause_risk_score",
+        "post_modifier_quality",
+    )

@@ -95,3 +95,9 @@ def side_by_side(findings: DataFrame, before: Column, after: Column, *keys: str)
 
     out = findings.groupBy(*keys).agg(*part(before, "before"), *part(after, "after"))
     return out.withColumns({f"{c}_change": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("n", "high")})
+
+
+def by_priority(findings: DataFrame, severity: str, keys: list[str], *order: Column) -> DataFrame:
+    """Findings of one severity with n_open, how many of the key's are open, and step, their place in ``order``."""
+    rows = findings.where(F.col("severity") == severity)
+    return rows.withColumn("n_open", F.count_if(F.col("status") == "open").over(W.partitionBy(*keys))).withColumn("step", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

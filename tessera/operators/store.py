@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.shared import ranked
 
@@ -99,5 +100,18 @@ def violations(rows: DataFrame, checks: dict[str, Column], *keys: str) -> DataFr
     return rows.select(*keys, F.explode(failed).alias("violation"))
 
 
+def _public(column: Column, kind: T.DataType) -> Column:
+    """``column`` without fields whose names begin with an underscore, at any depth of structs, arrays and map values."""
+    if isinstance(kind, T.StructType):
+        fields = [_public(column[f.name], f.dataType).alias(f.name) for f in kind if not f.name.startswith("_")]
+        return F.when(column.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.transform(column, lambda x: _public(x, kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.transform_values(column, lambda _, v: _public(v, kind.valueType))
+    return column
+
+
 def strip_internal(rows: DataFrame) -> DataFrame:
-    return rows.select(*[c for c in rows.columns if not c.startswith("_")])
+    """The rows without columns and nested fields whose names begin with an underscore."""
+    return rows.select(*[_public(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema if not f.name.startswith("_")])

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import prompts as P
+from tessera.operators import elements as E
+from tessera.operators import library as L
 from tessera.operators import matching as M
 from tessera.operators import reads as R
+from tessera.operators import reports as RP
+from tessera.operators import store
+from tessera.operators.shared import ranked
 from tessera.plans import text_queries as Q
 from tessera.plans.registry import query, table, texts
 from tessera.plans.store_queries import _SEV, _STATUS, _findings
@@ -130,3 +135,55 @@ def p37_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(fault == 0, F.substring(whole, 1, 9)).otherwise(whole)
     checked = table(spark, sf_dir, "events").select("event_id", P.extraction_answer(answer).alias("x"))
     return checked.select("event_id", "x.problem", F.when(F.col("x.clauses").isNotNull(), F.size("x.clauses")).alias("n_clauses"))
+
+
+@query("WITH m AS (SELECT l_orderkey, l_partkey % 7 AS req, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS clause_id, CASE l_returnflag WHEN 'R' THEN 'full' WHEN 'A' THEN 'partial' ELSE 'none' END AS coverage, l_discount * 10 AS mc, l_tax AS sim, l_quantity / 50 AS raw, CASE WHEN l_linenumber % 2 = 0 THEN 'term; scope' ELSE '' END AS lacking, l_linenumber, l_partkey FROM lineitem), p AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS clause_id, product(1 - l_tax * 5) AS f FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT * FROM m WHERE coverage <> 'none' QUALIFY row_number() OVER (PARTITION BY l_orderkey, req ORDER BY mc DESC, sim DESC, raw DESC, clause_id) = 1), r AS (SELECT b.*, raw * coalesce(f, 1.0) AS post FROM b LEFT JOIN p USING (clause_id) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F' AND req = o_orderkey % 7)), k AS (SELECT *, round(100 * (1 - coalesce(nullif(post, 0), nullif(raw, 0), 0)), 2) AS risk FROM r) SELECT l_orderkey, req, clause_id, CASE coverage WHEN 'full' THEN 'present' ELSE 'partial' END AS finding_type, CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 35 THEN 'medium' ELSE 'low' END AS severity, CAST(round(coalesce(nullif(mc, 0), 0.5), 6) AS DOUBLE) AS confidence, CASE WHEN coverage = 'full' THEN 'No action required.' WHEN lacking <> '' THEN 'Add: ' || lacking ELSE 'Clarify the clause.' END AS recommendation FROM k")
+def d07_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best matches that become findings, unless there is one."""
+    li = table(spark, sf_dir, "lineitem").withColumn("clause_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")).withColumn("req", F.col("l_partkey") % 7)
+    coverage = F.when(F.col("l_returnflag") == "R", "full").when(F.col("l_returnflag") == "A", "partial").otherwise("none")
+    lacking = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("term"), F.lit("scope")))
+    matches = li.select("l_orderkey", "req", "clause_id", coverage.alias("coverage"), (F.col("l_discount") * 10).alias("match_confidence"), F.lit(0.0).alias("model_confidence"), F.col("l_tax").alias("similarity"), (F.col("l_quantity") / 50).alias("raw_quality"), lacking.alias("missing_elements"))
+    penalties = li.where("l_linestatus = 'F'").select("clause_id", (1 - F.col("l_tax") * 5).alias("factor"))
+    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7).alias("req"), F.lit("present").alias("finding_type"))
+    out = L.promote(matches, penalties, held, ["l_orderkey", "req"], F.desc("raw_quality"), F.col("clause_id"))
+    return out.select("l_orderkey", "req", "clause_id", "finding_type", "severity", F.round("confidence", 6).alias("confidence"), "recommendation")
+
+
+@query("SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 2 = 0 THEN text END, ''), nullif(CASE WHEN turn % 3 = 0 THEN '' END, ''), nullif(role, '')) AS shown FROM conversations")
+def p24_first_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.when(F.col("turn") % 2 == 0, F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", RP.first_filled(even, F.when(F.col("turn") % 3 == 0, ""), F.col("role")).alias("shown"))
+
+
+@query(f"WITH {Q.LINES}, n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id), s AS (SELECT doc_id, pos, line, sum(CASE WHEN n >= 3 AND pos > 0 AND {Q._hit('trim(line)', E.NUMBERED, '')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM lines JOIN n USING (doc_id)) SELECT doc_id, CAST(part AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY ALL")
+def w07_split_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents cut before each numbered heading."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), "text")
+    return E.split_internal(rows, "doc_id", "pos", "text").select("doc_id", "part", "text")
+
+
+@query(f"WITH f AS (SELECT o_custkey, o_orderkey, {_SEV} AS severity FROM orders) SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS proposal FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, o_orderkey) = 1")
+def o11_primary_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _findings(spark, sf_dir).select("o_custkey", "severity", F.col("o_orderkey").alias("position"), F.col("o_orderkey").cast("string").alias("proposal"))
+    return RP.primary_proposal(rows, "o_custkey")
+
+
+@query(f"WITH {Q.SCORES} SELECT doc_id, pos, CAST(risk_score AS DOUBLE) AS risk_score, row_number() OVER (ORDER BY risk_score DESC, doc_id, pos) AS place FROM scores")
+def o01_risk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses by risk, the place of each in the whole table."""
+    return ranked(Q._scores(spark, sf_dir).select("doc_id", "pos", F.col("risk_score").cast("double").alias("risk_score")), F.desc("risk_score"), F.col("doc_id"), F.col("pos"))
+
+
+@query(f"WITH f AS (SELECT o_custkey, o_orderkey, o_orderdate, {_SEV} AS severity, {_STATUS} AS status FROM orders) SELECT o_custkey, o_orderkey, status, count(*) FILTER (status = 'open') OVER (PARTITION BY o_custkey) AS n_open, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INT) AS step FROM f WHERE severity = 'HIGH'")
+def p39_open_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one priority, how many are open, newest first."""
+    return R.by_priority(_findings(spark, sf_dir), "HIGH", ["o_custkey"], F.desc("o_orderdate"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", "status", "n_open", "step")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, '{\"q\":' || CAST(l_linenumber AS VARCHAR) || ',\"parts\":[{\"flag\":\"' || l_returnflag || '\"}]}' AS doc FROM lineitem")
+def p33_public_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal fields go at any depth."""
+    part = F.struct(F.col("l_returnflag").alias("flag"), F.col("l_tax").alias("_tax"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit(1).alias("_row"), F.struct(F.col("l_linenumber").alias("q"), F.lit("x").alias("_why"), F.array(part).alias("parts")).alias("doc"))
+    return store.strip_internal(rows).withColumn("doc", F.to_json("doc"))
