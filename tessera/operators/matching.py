@@ -220,17 +220,16 @@ def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float |
 def contained(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """doc_key, item_key: documents that hold the whole text of an item, in any case. Null and empty items are in none.
 
-    Words inside an item stand as whole words in such a document, so the two meet by the item's longest inner word, and the whole
-    text is then looked for. Only items of one or two words are tried on every document.
+    An item's longest run of letters and digits stands inside some word of such a document, so the two meet by that word (``literals``) and texts
+    are fetched for these pairs only. Items without a run of three or more are tried on every document.
     """
-    d = docs.select(doc_key, F.lower(text).alias("_text"))
-    i = items.select(item_key, F.lower(text).alias("_item")).where(F.col("_item") != "").withColumn("_words", F.split("_item", r"\s+"))
-    inner = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
-    keyed = i.select(item_key, "_item", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_word"))
-    words = d.select(doc_key, "_text", F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("_word"))
-    holds = F.contains("_text", F.col("_item"))
-    long = words.join(keyed.where(F.col("_word") != ""), "_word").where(holds)
-    short = d.join(keyed.where(F.col("_word").isNull() | (F.col("_word") == "")), holds)
+    runs = F.regexp_extract_all(literals.fold(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    known = items.select(item_key, F.lower(text).alias("_item"), F.when(longest["n"] >= literals.GRAM, longest["w"]).alias("_run")).where(F.col("_item") != "")
+    pairs = literals.candidates(docs, known.where("_run is not null").select(item_key, F.array("_run").alias("parts")), [doc_key], text, item_key)
+    rows, holds = docs.select(doc_key, F.lower(text).alias("_text")), F.contains("_text", F.col("_item"))
+    long = rows.join(pairs, doc_key).join(known.select(item_key, "_item"), item_key).where(holds)
+    short = rows.join(known.where("_run is null"), holds)
     return long.select(doc_key, item_key).unionByName(short.select(doc_key, item_key)).distinct()
 
 
