@@ -31,14 +31,14 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-SEGMENT = _struct(part=T.IntegerType(), seq=T.IntegerType(), begin=T.LongType(), n_ids=T.LongType(), **{n: T.BinaryType() for n in ("doc_ids", "lengths", "offsets", "escapes", "words")})
+SEGMENT = _struct(part=T.IntegerType(), seq=T.IntegerType(), begin=T.LongType(), n_ids=T.LongType(), n_null=T.IntegerType(), **{n: T.BinaryType() for n in ("doc_ids", "lengths", "offsets", "escapes", "words")})
 CODED = _struct(part=T.IntegerType(), doc_id=T.LongType(), n_ids=T.IntegerType(), **{n: T.BinaryType() for n in ("offsets", "escapes", "words")})
 #: Ids at which a segment is closed; it never ends inside a document.
 SEGMENT_IDS = 1 << 18
 #: Ids, and coded rows, that a worker holds at once besides one document.
 HELD_IDS, HELD_ROWS = 1 << 18, 512
-#: Stands for a null doc_id in a segment.
-NO_ID = -(1 << 63)
+#: Parts at most: their bounds are one list of doc_ids on the driver.
+MOST_PARTS = 16_384
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -96,18 +96,20 @@ def _segment(part: int, seq: int, begin: int, rows: list[dict], arrow: pa.Schema
         words = [np.where(w >> np.uint64(60) == 0, w + np.uint64(k), w) for w, k in zip(words, n_escapes.tolist())]
     offsets = np.concatenate([b + k for b, k in zip(blocks, n_words.tolist())]).astype("<u4")
     lengths = np.array([r["n_ids"] for r in rows], "<u4")
-    keys = np.array([NO_ID if r["doc_id"] is None else r["doc_id"] for r in rows], "<i8")
-    row = [part, seq, begin, int(lengths.sum()), *(x.tobytes() for x in (keys, lengths, offsets, np.concatenate(escapes), np.concatenate(words)))]
+    keys = np.array([r["doc_id"] or 0 for r in rows], "<i8")
+    # rows without doc_id come first, so their number tells which they are
+    row = [part, seq, begin, int(lengths.sum()), sum(r["doc_id"] is None for r in rows), *(x.tobytes() for x in (keys, lengths, offsets, np.concatenate(escapes), np.concatenate(words)))]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 0, parts: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write them to ``path``.
 
-    A null or empty text gives the end id alone. Rows without doc_id come first; repeated ids stand side by side, in the order
+    Parts are ranges of doc_id, as many as shuffle partitions or, where more, as splits of ``docs``, which follow its bytes. doc_id is a whole number; another
+    type is cast to one, as the session casts. A null or empty text gives the end id alone. Rows without doc_id come first; repeated ids stand side by side, in the order
     of their number of ids and coded words. An empty table writes an empty data set. Other columns are not looked at.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     arrow = to_arrow_schema(SEGMENT)
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
     bounds = np.unique(np.array(cuts or [], np.int64))
@@ -161,7 +163,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
                 ends = np.cumsum(lengths)
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                got = [pa.array([None if k == NO_ID else k for k in keys.tolist()], pa.int64()), pa.array(ends - lengths + begin + starts.value[part]), pa.array(lengths), pa.array(crc, pa.int64())]
+                got = [pa.array(keys, mask=np.arange(len(keys)) < row["n_null"].as_py()), pa.array(ends - lengths + begin + starts.value[part]), pa.array(lengths), pa.array(crc, pa.int64())]
                 if with_ids:
                     got.append(pa.array([ids[e - n : e].astype(np.int64) for e, n in zip(ends, lengths)], arrow.field("ids").type))
                 yield pa.RecordBatch.from_arrays(got, schema=arrow)

@@ -70,13 +70,13 @@ def test_files_of_null_and_repeated_ids(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(default_tokenizer())
-    texts = [(None, "no id"), (7, "b"), (7, "a longer one"), (None, None), (3, "word " * 400_000), (-5, ""), (7, "b"), (1 << 40, "x y z")]
+    texts = [(None, "no id"), (-(1 << 63), "least"), (7, "b"), (7, "a longer one"), (None, None), (3, "word " * 400_000), (-5, ""), (7, "b"), (1 << 40, "x y z")]
     made = spark.createDataFrame([(k, t, "q", 1) for k, t in texts], "doc_id long, text string, words string, part int").repartition(3)
     write_tokens(made, path := scratch(spark, "odd"), parts=4)
     rows = read_tokens(spark, path, with_ids=True).orderBy("start").collect()
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 0]
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in rows) == sorted((k is not None, k or 0, ids(t)) for k, t in texts)
-    assert [r.doc_id for r in rows] == [None, None, -5, 3, 7, 7, 7, 1 << 40]
+    assert [r.doc_id for r in rows] == [None, None, -(1 << 63), -5, 3, 7, 7, 7, 1 << 40]
     assert [r.start for r in rows] == [sum(len(x.ids) for x in rows[:i]) for i in range(len(rows))]
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
 
