@@ -7,7 +7,7 @@ fingerprint its own: 0 mostly, -1 (not looked at) where its value is common, 1 (
 at 0.8 differ in more bits; width and number of partitions are such that they still share one but for a chance of ``MISS``.
 
 Texts of equal sets are one row from the start. Who meets in a partition is tested on sizes and 128 bits of the fingerprints, then on
-all bits of a wider fingerprint, of ``WIDE`` words, and every link is verified on the whole sets. A first round gives each text its ``NEAREST`` partners at most and
+all bits of a wider fingerprint, of ``WIDE`` words, in the second round of ``FINE`` words, and every link is verified on the whole sets. A first round gives each text its ``NEAREST`` partners at most and
 looks at only ``LEADERS`` rows of crowded values; the second tests all that share a value and are not in one component yet, on all bits where they meet, and names a pair
 only in the first partition in which it meets: a large group of copies costs no pair twice and no link of a candidate is lost. A value of more than ``CROWD`` rows is dealt over several tasks.
 """
@@ -31,8 +31,9 @@ MISS = 1e-3
 CROWDED, LEADERS, CROWD = 2048, 64, 20_000
 #: Nearest partners of a text that the first round verifies, and that a batch of rows names.
 NEAREST, NAMED = 8, 4
-#: 64-bit words of the fingerprints by which pairs are tested; the first of them make up the partitions.
-WIDE = 16
+#: 64-bit words of the fingerprints by which pairs are tested; the first of them make up the partitions. ``FINE`` ones are made in the second round, for the
+#: texts that are left: in a large group of texts that are a little less alike than asked for, they tell most pairs apart where they meet.
+WIDE, FINE = 16, 64
 #: Nodes that are sent to all executors at most; more are joined.
 BROADCAST = 1 << 21
 #: Bits of a partition's value by which candidates are counted, and fingerprints from which correlations are estimated.
@@ -351,12 +352,30 @@ def _linked(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame
     links = _verified(tried, classes, docs, similarity, shingle)
     rooted = lambda some, found: some.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = stored(rooted(asked.join(first.select(F.col("b").alias("node")), "node", "left_semi"), links), "open")
-    left = left.join(classes.select("node", "wide"), "node")
+    left = left.join(_finer(docs, rows, left, max(words, FINE), shingle), "node")
     rest = _met(left, groups, similarity, leaders=False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, classes, docs, similarity, shingle))
     return rows.select("doc_id", "key", "node"), stored(rooted(classes.select("node", "least"), links), "rooted")
 
 
+def _finer(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, shingle: int) -> DataFrame:
+    """node and its fingerprint of so many words: texts of ``nodes`` are found by their hashes, and only these are cut into windows again."""
+    wanted = stored(rows.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct(), "finer")
+    small = wanted.count() <= BROADCAST
+
+    def make():
+        hashed = Words()
+
+        def step(texts):
+            held = [windows(t, hashed, shingle) for t in texts]
+            return {"node": [_node(h) for h in held], "wide": signatures(held, words) if held else []}
+
+        return step
+
+    some = docs.select("text", F.xxhash64("text").alias("key")).join(F.broadcast(wanted) if small else wanted, "key", "left_semi")
+    return stored(map_batches(some, ["text"], "node long, wide binary", make).dropDuplicates(["node"]), "fine")
+
+
 def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id and component_id (the least doc_id that links reach) for every row.
 
