@@ -114,6 +114,7 @@ def topic_summary(scores: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("priority", priority(F.col("max_score")))
 
 
+# Fixed values in the two functions below: words that tell topics, in the order in which they are tried.
 def topic_of(kind: Column, text: Column, sr_topic: Column) -> Column:
     """Topic of an obligation finding by its type and, where that is open, by words of its text or the topic of its match."""
     has = lambda *w: F.coalesce(F.lower(text).rlike("|".join(w)), F.lit(False))

@@ -72,12 +72,11 @@ def u08_unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", F.array_join(F.array_except("p", F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))), ",").alias("unknown"))
 
 
-@query("SELECT vec_id, CAST(round_even(vec_id::DOUBLE / 10, 0) AS BIGINT) AS y_row, '[' || array_to_string(list_transform(embedding[1:3], lambda x: printf('%.8f', x::DOUBLE)), ',') || ']' AS head FROM embeddings")
+@query("SELECT vec_id, CAST(round_even(vec_id::DOUBLE / 10, 0) AS BIGINT) AS y_row, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',') || ']' AS vector FROM embeddings")
 def o12_spatial_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O12, F17."""
     e = table(spark, sf_dir, "embeddings")
-    head = models.vector_text(F.slice("embedding", 1, 3))
-    return e.select("vec_id", E.spatial_order(F.lit(0), F.col("vec_id").cast("double"))[0].cast("long").alias("y_row"), head.alias("head"))
+    return e.select("vec_id", E.spatial_order(F.lit(0), F.col("vec_id").cast("double"))[0].cast("long").alias("y_row"), models.vector_text(F.col("embedding")).alias("vector"))
 
 
 @query("""SELECT event_id, coalesce(event_type = 'purchase' AND value > 5, FALSE) AS matches, CASE WHEN event_type IN ('purchase', 'click') THEN CASE WHEN event_type = 'purchase' AND value > 5 THEN 'full' ELSE 'none' END ELSE 'none' END AS coverage, CAST(CASE WHEN event_type IN ('purchase', 'click') THEN 0.5 ELSE round(event_id % 100 / 100.0::DOUBLE * 0.5::DOUBLE, 4) END AS DOUBLE) AS confidence FROM events""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import prompts as P
+from tessera.operators import compliance as K
 from tessera.operators import elements as E
 from tessera.operators import library as L
 from tessera.operators import matching as M
@@ -13,6 +14,7 @@ from tessera.operators import reads as R
 from tessera.operators import reports as RP
 from tessera.operators import store
 from tessera.operators.shared import ranked
+from tessera.plans import demo
 from tessera.plans import text_queries as Q
 from tessera.plans.registry import query, table, texts
 from tessera.plans.store_queries import _SEV, _STATUS, _findings
@@ -187,3 +189,16 @@ def p33_public_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.struct(F.col("l_returnflag").alias("flag"), F.col("l_tax").alias("_tax"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit(1).alias("_row"), F.struct(F.col("l_linenumber").alias("q"), F.lit("x").alias("_why"), F.array(part).alias("parts")).alias("doc"))
     return store.strip_internal(rows).withColumn("doc", F.to_json("doc"))
+
+
+_TITLES = "CASE sr_id " + " ".join(f"WHEN '{r.sr_id}' THEN '{r.title.lower()}'" for r in demo.CATALOGUE) + " END"
+
+
+@query(f"WITH {Q.SCORES}, m AS (SELECT doc_id, pos, framework, {_TITLES} AS title FROM matches WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY match_confidence DESC, sr_id) = 1), r AS (SELECT doc_id, pos, CASE WHEN regexp_matches(title, 'incident|reporting timeline|notification') THEN 'INCIDENT_MANAGEMENT' WHEN regexp_matches(title, 'transfer|subprocessor|data subject|dpa|processing agreement') THEN 'DATA_PROTECTION' WHEN contains(title, 'audit') THEN 'AUDIT_RIGHTS' WHEN contains(title, 'supply chain') THEN 'SECURITY_CONTROLS' WHEN framework = 'DORA' THEN 'REGULATORY_COMPLIANCE' WHEN framework = 'GDPR' THEN 'DATA_PROTECTION' END AS topic FROM m) SELECT s.doc_id, s.pos, CASE WHEN s.assessment = 'AMBIGUOUS_REQUIREMENT' THEN coalesce(r.topic, 'SECURITY_CONTROLS') ELSE s.topic END AS topic FROM scores s LEFT JOIN r USING (doc_id, pos) WHERE s.assessment <> 'VALID'")
+def p23_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of findings, of ambiguous ones by the requirement that their best match names."""
+    titles = F.create_map(*[F.lit(x) for r in demo.CATALOGUE for x in (r.sr_id, r.title)])
+    found = Q._matches(spark, sf_dir).where("hits > 0").withColumn("topic", K.requirement_topic(F.element_at(titles, F.col("sr_id")), F.col("framework")))
+    best = found.groupBy("doc_id", "pos").agg(F.min_by(F.struct("topic"), F.struct(-F.col("match_confidence"), "sr_id")).alias("m")).select("doc_id", "pos", "m.topic")
+    rows = Q._assessed(spark, sf_dir).where("assessment <> 'VALID'").join(best, ["doc_id", "pos"], "left")
+    return rows.select("doc_id", "pos", K.topic_of(F.col("assessment"), F.col("line"), F.col("topic")).alias("topic"))

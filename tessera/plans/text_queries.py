@@ -106,9 +106,9 @@ def w08_pair_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pair_orphans(_lines(spark, sf_dir), "doc_id", "pos", F.length("line") < 60).select("doc_id", "pos", "merge_with_next")
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text[1:40] END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations")
 def w12_section_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.last_heading(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 40))).select("conv_id", "turn", "section")
+    return S.last_heading(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("text"))).select("conv_id", "turn", "section")
 
 
 @query(f"WITH {LINES}, e AS (SELECT *, lag(regexp_matches(line, '[.!?:;]\\s*$')) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM lines), s AS (SELECT *, sum(CASE WHEN coalesce(e, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM e) SELECT doc_id, CAST(seg AS BIGINT) AS seg, string_agg(line, ' ' ORDER BY pos) AS text FROM s GROUP BY doc_id, seg")
