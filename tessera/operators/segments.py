@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.composition import composed
+
 MAX_HEADING = 200
 
 
 def normalise(text: Column) -> Column:
-    """Quotes, dashes and spaces to ASCII, replacement characters dropped, runs of spaces and blank lines shortened.
-
-    Canonical composition of characters has no Spark function; texts are taken as composed.
-    """
-    t = F.translate(text, "‘’“”–— �", "''\"\"-- ")
+    """Characters in canonical composition, quotes, dashes and spaces to ASCII, replacement characters dropped, runs of spaces and blank lines shortened."""
+    t = F.translate(composed(text), "‘’“”–— �", "''\"\"-- ")
     t = F.regexp_replace(t, " {2,}", " ")
     t = F.regexp_replace(t, r"[ \t]+(?=\n|$)", "")
     return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))

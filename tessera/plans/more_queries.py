@@ -97,9 +97,11 @@ def s16_mermaid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(rows, "a").select("a", "value", "row")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—' || chr(160), '''''\"\"-- '), ' {2,}', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS clean FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))), '‘’“”–—' || chr(160), '''''\"\"-- '), ' {2,}', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS clean FROM documents")
 def f01_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", S.normalise(F.col("text")).alias("clean"))
+    """two letters are taken apart first, so that composition has work to do."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return texts(spark, sf_dir).select("doc_id", S.normalise(apart).alias("clean"))
 
 
 @query(f"WITH {Q.LINES}, m AS (SELECT doc_id, pos, CAST(floor(coalesce(sum(len(regexp_split_to_array(trim(line, ' '), '\\s+'))) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500.0) + 1 AS BIGINT) AS page FROM lines) SELECT doc_id, page, count(*) AS n_lines, min(pos) AS first_pos FROM m GROUP BY ALL")
