@@ -137,8 +137,7 @@ def chunk_ends(following: DataFrame, key: str) -> DataFrame:
     jump = stored(following.select(key, "e", F.col("end").alias("to")), "jumps")
     reached = jump.where("e = -1").select(key, "e")
     while True:
-        both = stored(reached.join(jump, [key, "e"]).select(key, F.col("to").alias("e")), "reached")
-        reached = stored(reached.unionByName(both), "ends")
+        reached = stored(reached.unionByName(reached.join(jump, [key, "e"]).select(key, F.col("to").alias("e"))), "ends")
         on = jump.withColumnRenamed("e", "m").withColumnRenamed("to", "far")
         jump = stored(jump.join(on.withColumnRenamed("m", "to"), [key, "to"]).select(key, "e", F.col("far").alias("to")), "jumps")
         if jump.where("e = -1").isEmpty():  # no document has so many chunks
