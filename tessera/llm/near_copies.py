@@ -30,7 +30,7 @@ MISS = 1e-3
 #: Rows of a value after which only its first ``LEADERS`` are met in the first round, and rows that one task takes of it.
 CROWDED, LEADERS, CROWD = 2048, 64, 20_000
 #: Nearest partners of a text that the first round verifies, and that a batch of rows names.
-NEAREST, NAMED = 8, 4
+NEAREST, NAMED = 8, 1
 #: 64-bit words of the fingerprints by which pairs are tested; the first of them make up the partitions. ``FINE`` ones are made in the second round, for the
 #: texts that are left: in a large group of texts that are a little less alike than asked for, they tell most pairs apart where they meet.
 WIDE, FINE = 16, 64
@@ -257,7 +257,7 @@ def _meetings(similarity: float, leaders: bool, groups: list[list[int]]):
                 order = np.lexsort((d, b))
                 first = np.flatnonzero(np.concatenate([[True], b[order][1:] != b[order][:-1]])) if len(b) else order
                 keep = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < NAMED]
-                named = np.unique(np.concatenate([a, crowded]))
+                named = np.setdiff1d(np.concatenate([a, crowded]), b[keep])  # the others are named as they are
                 a, b, d = np.concatenate([a[keep], named]), np.concatenate([b[keep], named]), np.concatenate([d[keep], 0 * named])
             held = [c[start[-1] :] for c in got]
             if len(a):
