@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.shared import stored
+
 GRAM = 3
 _RUN = re.compile(r"\w+")
 
@@ -110,7 +112,8 @@ def candidates(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str
     parts = patterns.select(pattern_key, F.explode("parts").alias("_part")).distinct()
     asked = parts.select("_part", F.substring("_part", 1, GRAM).alias("_gram")).distinct()
     met = vocabulary.select("_word", F.explode(_grams(F.col("_word"))).alias("_gram")).join(asked, "_gram").where(F.contains("_word", F.col("_part")))
-    leads = met.join(parts, "_part").select("_word", pattern_key).distinct()
+    # stored, so that its size is known before the texts' words are dealt out for the join
+    leads = stored(met.join(parts, "_part").select("_word", pattern_key).distinct(), "leads")
     return words.join(leads, "_word").select(*keys, pattern_key).distinct()
 
 

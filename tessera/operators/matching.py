@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import literals
+from tessera.operators.shared import stored
 from tessera.packs import CATALOGUE, TIER_RANK, Requirement
 
 
@@ -105,44 +106,58 @@ def idf(tokens: DataFrame, key: str, n_docs: int | Column) -> DataFrame:
 
 
 def weights(tokens: DataFrame, key: str, idf_rows: DataFrame) -> DataFrame:
-    """key, tok, w: term share times idf, each row of a unit length. Tokens outside the idf table do not count.
+    """key, tok, w: term share times idf, each row of a unit length. Tokens outside the idf table do not count and go before anything is counted.
 
     The share's divisor is one number for each key, which the unit length takes out again: counts are enough, and tokens are read once.
     """
-    raw = tokens.groupBy(key, "tok").agg(F.count("*").alias("c")).join(idf_rows.select("tok", "idf"), "tok").select(key, "tok", (F.col("c") * F.col("idf")).alias("x"))
+    raw = tokens.where(F.col(key).isNotNull()).join(idf_rows.select("tok", "idf"), "tok").groupBy(key, "tok", "idf").agg(F.count("*").alias("c")).select(key, "tok", (F.col("c") * F.col("idf")).alias("x"))
     return raw.select(key, "tok", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))).alias("w"))
 
 
+_SLACK = 0.00005 + 1e-9  # scores are rounded to four digits before they are compared
+
+
+def _bounds(queries: DataFrame, index: DataFrame, query_key: str) -> DataFrame:
+    """key, tok, w of ``queries`` with ``_bound``, the most that the token adds to a score, ``_below``, the sum of the row's bounds up to this one in
+    rising order, and ``_df``, the index rows of the token."""
+    most = index.groupBy("tok").agg(F.max("w").alias("_most"), F.count("*").alias("_df"))
+    bound = queries.join(most, "tok").withColumn("_bound", F.col("w") * F.col("_most"))
+    below = F.sum("_bound").over(W.partitionBy(query_key).orderBy("_bound", "tok").rowsBetween(W.unboundedPreceding, 0))
+    return bound.withColumn("_below", below).select(query_key, "tok", "w", "_bound", "_below", "_df")
+
+
 def lifting(queries: DataFrame, index: DataFrame, query_key: str, *, least: float) -> DataFrame:
     """Rows of ``queries`` (key, tok, w) whose tokens can, with all less promising ones of the row, reach ``least``.
 
     A token adds at most w times the largest weight that the index gives it. Ordered by this bound, the tokens of a row that together stay
     below ``least`` can lift no pair over it, so every pair that reaches it shares one of the others.
     """
-    most = index.groupBy("tok").agg(F.max("w").alias("_most"))
-    bound = queries.join(most, "tok").withColumn("_bound", F.col("w") * F.col("_most"))
-    below = F.sum("_bound").over(W.partitionBy(query_key).orderBy("_bound", "tok").rowsBetween(W.unboundedPreceding, 0))
-    slack = 0.00005 + 1e-9  # scores are rounded to four digits before they are compared
-    return bound.withColumn("_below", below).where(F.col("_below") >= least - slack).select(query_key, "tok", "w")
+    return _bounds(queries, index, query_key).where(F.col("_below") >= least - _SLACK).select(query_key, "tok", "w")
 
 
-def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15, crowd: int = 100_000) -> DataFrame:
+def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15, crowd: int = 100_000, wide: int = 10_000) -> DataFrame:
     """Score, then the ``k`` best of each query over ``least``, of two weight tables (key, tok, w).
 
-    Pairs are found by the tokens that can lift one over ``least``; their whole score comes from both rows' weights, side by side in
-    one row. The query rows of a token with more than ``crowd`` of them are dealt over several tasks, its index rows go to each of these.
+    A join by token adds up the scores; both tables are stored before, so texts are read once. Tokens of more than ``wide`` index rows that can lift
+    no pair over ``least`` (``lifting``) make no pairs: pairs that others have found, and that can still reach ``least``, look them up. The
+    query rows of a token with more than ``crowd`` of them are dealt over several tasks, its index rows go to each of these.
     """
-    ahead = lifting(queries, index, query_key, least=least)
-    hot = ahead.groupBy("tok").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("tok", F.ceil(F.col("_n") / crowd).cast("int").alias("_deals"))
-    dealt = ahead.join(hot, "tok", "left").withColumn("_deal", F.pmod(F.xxhash64(query_key), F.coalesce("_deals", F.lit(1))))
-    many = index.join(hot, "tok", "left").select(index_key, "tok", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)).cast("long") - 1)).alias("_deal"))
-    pairs = dealt.select(query_key, "tok", "_deal").join(many, ["tok", "_deal"]).select(query_key, index_key).distinct()
-    vector = lambda rows, key, name: rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("tok", "w"))).alias(name))  # one text's tokens
-    both = pairs.join(vector(queries, query_key, "_q"), query_key).join(vector(index, index_key, "_i"), index_key)
-    terms = F.transform(F.map_keys("_i"), lambda t: F.coalesce(F.col("_q")[t], F.lit(0.0)) * F.col("_i")[t])
-    dot = both.withColumn("score", F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 4)).select(query_key, index_key, "score")
+    index = stored(index, "index")
+    asked = stored(_bounds(queries, index, query_key).withColumn("_late", (F.col("_below") < least - _SLACK) & (F.col("_df") > wide)), "asked")
+    early, late = asked.where("not _late"), asked.where("_late")
+    hot = F.broadcast(early.groupBy("tok").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("tok", F.ceil(F.col("_n") / crowd).cast("int").alias("_deals")))  # a row for ``crowd`` rows
+    dealt = early.join(hot, "tok", "left").withColumn("_deal", F.pmod(F.xxhash64(query_key), F.coalesce("_deals", F.lit(1))))
+    many = index.join(hot, "tok", "left").select(index_key, "tok", F.col("w").alias("_w"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)).cast("long") - 1)).alias("_deal"))
+    score = F.sum(F.col("w") * F.col("_w"))
+    pairs = dealt.select(query_key, "tok", "w", "_deal").join(many, ["tok", "_deal"]).groupBy(query_key, index_key).agg(score.alias("score"))
+    if not late.isEmpty():
+        more = late.groupBy(query_key).agg(F.sum("_bound").alias("_rest"), F.collect_list(F.struct("tok", "w")).alias("_more"))  # tokens of one text
+        open_pairs = pairs.join(more, query_key, "left").where(F.col("score") + F.coalesce("_rest", F.lit(0.0)) >= least - _SLACK)
+        each = open_pairs.select(query_key, index_key, "score", F.explode_outer("_more").alias("_m")).select(query_key, index_key, "score", F.col("_m.tok").alias("tok"), F.col("_m.w").alias("w"))
+        added = each.join(index.select(index_key, "tok", F.col("w").alias("_w")), [index_key, "tok"], "left").groupBy(query_key, index_key, "score").agg(score.alias("_more"))
+        pairs = added.select(query_key, index_key, (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"))
     order = W.partitionBy(query_key).orderBy(F.desc("score"), F.desc(index_key))
-    return dot.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("score", F.round("score", 4)).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def shortlist(pattern_hits: DataFrame, similar: DataFrame, key: str, index_key: str, *, cap: int = 8) -> DataFrame:

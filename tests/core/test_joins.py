@@ -71,3 +71,15 @@ def test_bounded_search_equals_all_pairs(spark, crowd):
         got.setdefault(x.q, []).append((-x.score, -x.i))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:3] for k, v in want.items()}
     assert M.lifting(queries, index, "q", least=0.4).count() < queries.count()
+
+
+@pytest.mark.parametrize("wide", [0, 5, 10_000])
+def test_scores_add_up_by_joins(spark, wide):
+    """Pairs do not carry both texts' weights; tokens that make no pairs of their own still count in the scores of found ones."""
+    r = random.Random(3)
+    weights = lambda n, key: spark.createDataFrame([(i, f"t{t}", r.random() ** 3) for i in range(n) for t in {r.randint(0, 40) ** 2 // 40 for _ in range(8)}] + [(None, "t0", 1.0)], f"{key} int, tok string, w double")
+    queries, index = weights(60, "q").cache(), weights(40, "i").cache()
+    dot = queries.join(index.withColumnRenamed("w", "w2"), "tok").where("q is not null and i is not null").groupBy("q", "i").agg(F.round(F.sum(F.col("w") * F.col("w2")), 4).alias("score")).where("score >= 0.4")
+    got = M.top_similar(queries.where("q is not null"), index.where("i is not null"), "q", "i", k=100, least=0.4, wide=wide)
+    assert sorted((x.q, x.i, x.score) for x in got.collect()) == sorted(map(tuple, dot.collect()))
+    assert "map_from_entries" not in got._jdf.queryExecution().toString()
