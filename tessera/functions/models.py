@@ -61,5 +61,18 @@ def vector_of(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
+def fixed(x: Column, places: int = 8) -> Column:
+    """The number with ``places`` decimals as C's printf writes it: its exact value rounded, ties to even. The product is exact for floats, whose
+    24 bits leave room for the scale; that of other doubles is rounded once. A null stays null."""
+    x = x.cast("double")
+    n = F.abs(F.rint(x * 10.0**places))
+    long = F.least(n, F.lit(2.0**53)).cast("long")
+    part = F.pmod(long, F.lit(10**places).cast("long"))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    plain = F.concat(sign, ((long - part) / 10**places).cast("long").cast("string"), F.lit("."), F.lpad(part.cast("string"), places, "0"))
+    odd = F.lower(F.regexp_replace(F.format_string(f"%.{places}f", x), "inity", ""))
+    return F.when(n < 2.0**53, plain).when(x.isNotNull(), odd)  # larger ones have no decimals to round, if they are floats
+
+
 def vector_text(vector: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: fixed(x)), ","), F.lit("]"))

@@ -1,5 +1,7 @@
 """Elements, reports, models, Word files and the streaming extension."""
 
+import random
+import struct
 import zipfile
 
 import pytest
@@ -117,3 +119,14 @@ def test_items_contained_in_documents(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {(k, j) for k, t in docs for j, s in items if t and s and s.lower() in t.lower()}
     assert {tuple(r) for r in matching.contained(d, i).collect()} == want
+
+
+def test_vectors_are_written_with_exact_rounding(spark):
+    """Ties of the exact value go to the even digit, as the SQL's printf does; what only looks like a tie goes to its side."""
+    r = random.Random(4)
+    values = [0.001953125, -0.001953125, 0.005859375, 0.0, -0.0, -1e-9, 1.0, 12345.678, 1e7, 0.1, 3.0 / 512, 1e10] + [n / 512 for n in range(-40, 40)] + [r.uniform(-1, 1) for _ in range(2000)]
+    floats = [struct.unpack("f", struct.pack("f", v))[0] for v in values]
+    df = spark.createDataFrame([(floats,)], "v array<float>")
+    assert df.select(models.vector_text(F.col("v")).alias("t")).first().t == "[" + ",".join("%.8f" % v for v in floats) + "]"
+    odd = spark.createDataFrame([([float("nan"), float("inf"), float("-inf"), None, 2.5],), (None,)], "v array<float>")
+    assert [x.t for x in odd.select(models.vector_text(F.col("v")).alias("t")).collect()] == ["[nan,inf,-inf,2.50000000]", None]
