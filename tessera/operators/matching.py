@@ -188,14 +188,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float | None = None, block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float | None = None, block: int = 2048, at_once: int = 128) -> DataFrame:
     """query_id, item_id, similarity, rank: exact cosine neighbours of queries(query_id, v) among all rows of index(item_id, v).
 
-    The queries go to the executors in blocks of about ``block``; each block meets every batch of the index as one matrix product, and a
-    batch gives on its ``k`` best for each query only. Null, empty and zero vectors, and those of another length, are near to nothing: they
+    The queries go to the executors in blocks of about ``block``; each block meets every batch of the index in matrix products of ``at_once``
+    queries, so that a worker's memory stands whatever the tables' size, and a batch gives on its ``k`` best for each query only. Null, empty and zero vectors, and those of another length, are near to nothing: they
     find and are found by none.
     """
-    rows = queries.where(F.col("query_id").isNotNull() & (F.size("v") > 0)).select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    rows = queries.where(F.col("query_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull())).select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
     spark, parts = queries.sparkSession, []
 
     def search(held: list) -> DataFrame:
@@ -209,18 +209,24 @@ def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float |
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                items, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                lists = batch.column(1)
+                size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                fine = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                begin, flat = lists.offsets.to_numpy()[:-1], lists.values
+                if flat.null_count:
+                    bad = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+                    fine = fine & (bad[begin + size] == bad[begin])
+                flat, items = flat.to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
                 for w, (ids, q) in shared.value.items():
-                    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == w and items[i] is not None and None not in v]
-                    m = np.array([vectors[i] for i in at], float).reshape(len(at), w)
-                    size = np.linalg.norm(m, axis=1)
-                    m, name = m[size > 0] / size[size > 0, None], np.array(items, object)[at][size > 0].astype(np.int64)
-                    if not len(name) or not len(ids):
-                        continue
-                    score = np.round(q @ m.T, 4)
-                    order = np.lexsort((np.broadcast_to(name, score.shape), -score), axis=1)[:, :k]
-                    take = np.take_along_axis(score, order, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(name[order].ravel()), pa.array(take.ravel())], names=["query_id", "item_id", "similarity"])
+                    at = np.flatnonzero(fine & (size == w))
+                    m = flat[begin[at][:, None] + np.arange(w)]
+                    length = np.linalg.norm(m, axis=1)
+                    m, name = m[length > 0] / length[length > 0, None], items[at][length > 0]
+                    for low in range(0, len(ids) if len(name) else 0, at_once):
+                        score = np.round(q[low : low + at_once] @ m.T, 4)
+                        order = np.lexsort((np.broadcast_to(name, score.shape), -score), axis=1)[:, :k]
+                        take = np.take_along_axis(score, order, 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + at_once], order.shape[1])), pa.array(name[order].ravel()), pa.array(take.ravel())], names=["query_id", "item_id", "similarity"])
 
         return index.select(F.col("item_id").cast("long").alias("item_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, item_id long, similarity double")
 

@@ -83,3 +83,17 @@ def test_scores_add_up_by_joins(spark, wide):
     got = M.top_similar(queries.where("q is not null"), index.where("i is not null"), "q", "i", k=100, least=0.4, wide=wide)
     assert sorted((x.q, x.i, x.score) for x in got.collect()) == sorted(map(tuple, dot.collect()))
     assert "map_from_entries" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 128])
+def test_neighbours_in_small_products_equal_brute_force(spark, at_once):
+    """A worker holds the scores of ``at_once`` queries, not of a whole block; odd vectors are near to nothing."""
+    r = random.Random(2)
+    vectors = {i: [r.choice((-1.0, 0.5, 0.0, 2.0)) for _ in range(3 if i % 5 else 2)] for i in range(60)}
+    odd = [(100, None), (101, []), (102, [1.0, None, 2.0]), (103, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([*vectors.items(), *odd], "item_id long, v array<float>")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    real = {i: v for i, v in vectors.items() if any(v)}
+    want = {(q, i, n + 1) for q, a in real.items() for n, (_, i) in enumerate(sorted((-round(cosine(a, b), 4), i) for i, b in real.items() if len(a) == len(b))[:4])}
+    got = M.nearest(df.withColumnRenamed("item_id", "query_id"), df, k=4, at_once=at_once)
+    assert {(x.query_id, x.item_id, x["rank"]) for x in got.collect()} == want
