@@ -9,6 +9,7 @@ document and place; no document is a group in one Python call.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -53,6 +54,16 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
+def _slices(texts: list[str], most: int = 1 << 16) -> Iterator[list[str]]:
+    """The texts in runs of about ``most`` characters: the library's answer is many times the size of what it is asked."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i + 1 == len(texts):
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+
+
 @dataclass(frozen=True)
 class Subwords:
     """Tokens are those of a byte-level vocabulary file; texts go to its library in Arrow batches."""
@@ -64,7 +75,7 @@ class Subwords:
 
         @F.pandas_udf("int")
         def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([len(e.ids) for e in _encoder(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int32")
+            return pd.Series([n for some in _slices(texts.fillna("").tolist()) for n in map(len, _encoder(path).encode_batch_fast(some, add_special_tokens=False))], dtype="int32")
 
         return run(text)
 
@@ -92,11 +103,12 @@ def units(rows: DataFrame, key: str, pos: str, text: str, *, most: int, tokens:
     """key, pos, text, t, i: rows with tokens; one of over ``most`` tokens comes as sentences, a sentence of over ``most`` as parts. ``i`` numbers
     a key's units from 0 in order; rows without tokens are left out."""
     keep = F.col("t") <= most
-    base = rows.select(key, pos, F.col(text).alias("text")).withColumn("t", tokens.count(F.coalesce("text", F.lit("")))).where("t > 0")
+    # each step is stored, so that no text is read or counted twice and a task keeps one worker with a vocabulary
+    base = stored(rows.select(key, pos, F.col(text).alias("text")).withColumn("t", tokens.count(F.coalesce("text", F.lit("")))), "counted").where("t > 0")
     fit = base.where(keep).select(key, pos, F.lit(0).alias("_s"), F.lit(0).alias("_p"), "text", "t")
-    said = base.where(~keep).select(key, pos, F.posexplode(sentences(F.col("text"))).alias("_s", "text")).withColumn("t", tokens.count(F.col("text"))).where("t > 0")
+    said = stored(base.where(~keep).select(key, pos, F.posexplode(sentences(F.col("text"))).alias("_s", "text")).withColumn("t", tokens.count(F.col("text"))), "said").where("t > 0")
     short = said.where(keep).select(key, pos, "_s", F.lit(0).alias("_p"), "text", "t")
-    parts = said.where(~keep).select(key, pos, "_s", F.posexplode(tokens.cut(F.col("text"), most)).alias("_p", "text"))
+    parts = stored(said.where(~keep).select(key, pos, "_s", F.posexplode(tokens.cut(F.col("text"), most)).alias("_p", "text")), "parts")
     cut = parts.withColumn("t", F.least(F.lit(most), tokens.count(F.col("text"))))  # a part alone may split otherwise than in its sentence
     whole = fit.unionByName(short).unionByName(cut)
     return whole.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy(pos, "_s", "_p")) - 1).select(key, pos, "text", "t", "i")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import chunking as C
 
@@ -67,3 +68,24 @@ def test_chunks_by_subwords(spark):
     long = spark.createDataFrame([(1, 0, "nosentence" * 60)], "d int, p int, t string")
     parts = C.units(long, "d", "p", "t", most=20, tokens=C.Subwords(path)).orderBy("i").collect()
     assert "".join(p.text for p in parts) == "nosentence" * 60 and all(count(p.text) <= 22 for p in parts) and len(parts) > 3
+
+
+def test_lines_go_to_the_vocabulary_a_few_at_a_time():
+    texts = ["a" * n for n in (0, 5, 20, 0, 1, 9, 9, 9, 9, 0)]
+    got = list(C._slices(texts, 20))
+    assert [t for some in got for t in some] == texts and len(got) == 3 and all(sum(map(len, some[:-1])) < 20 for some in got)
+    assert list(C._slices([])) == []
+
+
+def test_texts_are_counted_once(spark):
+    """The rows' texts are read and counted by one scan, whatever the number of branches that use the counts."""
+    docs = spark.createDataFrame([(1, 0, "a b c. D e f g h"), (2, 0, "x")], "k int, p int, text string")
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        count.add(1)
+        return t
+
+    C.units(docs.withColumn("text", seen("text")), "k", "p", "text", most=3).collect()
+    assert count.value == 2
