@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.shared import stored
+
 
 def line(rows: DataFrame, key: str, text: Column, *place: Column) -> DataFrame:
     """key, place (up to four whole numbers), line."""
@@ -37,9 +39,10 @@ def heads(*names: str) -> str:
 def action_report(plan: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """A report for each ``key``: its actions in order, each with priority, scores, clauses, topics and a table of its evidence. plan: ``compliance.action_plan``;
     evidence: ``compliance.action_evidence``."""
-    n = F.col("action_no")
+    plan, n = stored(plan, "plan"), F.col("action_no")
     say = lambda text, place: line(plan, key, text, n, F.lit(place))
     cited = plan.select(key, "finding_type", "action_no").join(evidence, [key, "finding_type"])
+    cited = stored(cited, "cited")
     parts = [
         line(plan.select(key).distinct(), key, F.concat(F.lit("# Action plan: "), F.col(key).cast("string")), F.lit(0)),
         say(F.format_string("\n## ACT-%03d %s", n, "finding_type"), 0),

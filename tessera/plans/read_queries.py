@@ -208,8 +208,8 @@ def p23_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q.SCORES}, {Q._CITED}, kinds AS (SELECT source, assessment AS finding_type, min(CASE WHEN risk_score >= 7 THEN 0 WHEN risk_score >= 4 THEN 1 ELSE 2 END) AS p, round(max(risk_score), 2) AS mx, round(sum(risk_score), 2) AS tot, count(*) AS n FROM scores WHERE assessment <> 'VALID' GROUP BY ALL), firsts AS (SELECT source, assessment AS finding_type, topic, min(struct_pack(d := doc_id, p := pos)) AS f FROM scores WHERE assessment <> 'VALID' AND topic IS NOT NULL GROUP BY ALL), spoken AS (SELECT source, finding_type, string_agg(topic, ', ' ORDER BY f, topic) AS ts FROM firsts GROUP BY ALL), plan AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p, mx DESC, finding_type) AS no FROM kinds LEFT JOIN spoken USING (source, finding_type)), cited_rows AS (SELECT source, finding_type, string_agg('| ' || sr_id || ' | ' || framework || ' | ' || match_type || ' | ' || confidence || ' | ' || source_clause || ' |', chr(10) ORDER BY doc_id, pos, sr_id) AS t FROM evidence GROUP BY ALL), acts AS (SELECT source, no, chr(10) || '## ACT-' || printf('%03d', CAST(no AS INT)) || ' ' || finding_type || chr(10) || '- Priority: ' || ['HIGH', 'MEDIUM', 'LOW'][p + 1] || chr(10) || '- Highest score: ' || printf('%.2f', mx::DOUBLE) || ', sum: ' || printf('%.2f', tot::DOUBLE) || chr(10) || '- Clauses: ' || n || chr(10) || '- Topics: ' || coalesce(ts, '') || CASE WHEN t IS NULL THEN '' ELSE chr(10) || chr(10) || '| Requirement | Framework | Match | Confidence | First clause |' || chr(10) || '|---|---|---|---|---|' || chr(10) || t END AS a FROM plan LEFT JOIN cited_rows USING (source, finding_type)) SELECT source, '# Action plan: ' || source || chr(10) || string_agg(a, chr(10) ORDER BY no) AS text FROM acts GROUP BY source")
 def s16_action_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown report of each source's actions with their evidence."""
-    rows = Q._line_findings(spark, sf_dir)
-    return RD.action_report(K.action_plan(rows, "source"), K.action_evidence(rows, Q._line_matches(spark, sf_dir), "source"), "source")
+    rows, matches = Q._stored_lines(spark, sf_dir)
+    return RD.action_report(K.action_plan(rows, "source"), K.action_evidence(rows, matches, "source"), "source")
 
 
 @query("WITH e AS (SELECT DISTINCT n_regionkey AS g, format('    {}[\"{}\"] -->|{}| {}[\"{}\"]', regexp_replace(c_mktsegment, '[^A-Za-z0-9]', '_', 'g'), c_mktsegment, r_name, regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g'), n_name) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT g, 'graph LR' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS text FROM e GROUP BY g")

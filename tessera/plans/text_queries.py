@@ -13,7 +13,7 @@ from tessera.operators import obligations as O  # noqa: E741
 from tessera.operators import segments as S
 from tessera.operators import store
 from tessera.operators import tracing as T
-from tessera.operators.shared import ordered_distinct
+from tessera.operators.shared import ordered_distinct, stored
 from tessera.operators.vectors import InvertedFile
 from tessera.plans import demo
 from tessera.plans.registry import query, table, texts
@@ -459,8 +459,13 @@ def a12_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.action_texts(rows, proposals, "source").join(pages, ["source", "finding_type"])
 
 
+def _stored_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings, without their texts, and matches for several readers: the texts meet the patterns once for each."""
+    return stored(_line_findings(spark, sf_dir).drop("line"), "findings"), stored(_line_matches(spark, sf_dir), "matches")
+
+
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows, matches = _line_findings(spark, sf_dir), _line_matches(spark, sf_dir)
+    rows, matches = _stored_lines(spark, sf_dir)
     items = K.action_plan(rows, "source").select("source", "finding_type", F.format_string("NEG-%03d", "action_no").alias("item_id"))
     return K.exposure_index(matches, K.action_members(rows, "source"), K.action_evidence(rows, matches, "source"), items, "source")
 

@@ -130,3 +130,20 @@ def test_vectors_are_written_with_exact_rounding(spark):
     assert df.select(models.vector_text(F.col("v")).alias("t")).first().t == "[" + ",".join("%.8f" % v for v in floats) + "]"
     odd = spark.createDataFrame([([float("nan"), float("inf"), float("-inf"), None, 2.5],), (None,)], "v array<float>")
     assert [x.t for x in odd.select(models.vector_text(F.col("v")).alias("t")).collect()] == ["[nan,inf,-inf,2.50000000]", None]
+
+
+def test_reports_read_their_plan_once(spark):
+    """The lines of a report come from one evaluation of its actions, not from one for each kind of line."""
+    from tessera.operators import render
+
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        count.add(1)
+        return t
+
+    plan = spark.createDataFrame([("s", "A", 1, "HIGH", 7.0, 9.0, 2, ["t"]), ("s", "B", 2, "LOW", 1.0, 1.0, 1, [])], "source string, finding_type string, action_no int, priority string, max_score double, total_score double, n_clauses int, topics array<string>")
+    evidence = spark.createDataFrame([("s", "A", "R", "F", "DIRECT_MATCH", 90, "c", 1)], "source string, finding_type string, sr_id string, framework string, match_type string, confidence int, source_clause string, place int")
+    text = render.action_report(plan.withColumn("priority", seen("priority")), evidence, "source").collect()[0].text
+    assert count.value == 2 and "| R | F | DIRECT_MATCH | 90 | c |" in text and text.index("ACT-001") < text.index("ACT-002")
