@@ -9,11 +9,12 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import literals
+from tessera.operators import literals, runs
 from tessera.operators.shared import stored
 from tessera.packs import CATALOGUE, TIER_RANK, Requirement
 
@@ -110,7 +111,33 @@ def weights(tokens: DataFrame, key: str, idf_rows: DataFrame) -> DataFrame:
 
     The share's divisor is one number for each key, which the unit length takes out again: counts are enough, and tokens are read once.
     """
-    raw = tokens.where(F.col(key).isNotNull()).join(idf_rows.select("tok", "idf"), "tok").groupBy(key, "tok", "idf").agg(F.count("*").alias("c")).select(key, "tok", (F.col("c") * F.col("idf")).alias("x"))
+    return _unit(tokens.select(key, "tok", F.lit(1).cast("long").alias("_c")), key, idf_rows)
+
+
+def text_weights(rows: DataFrame, text: str, key: str, idf_rows: DataFrame, *, held: int = 400_000) -> DataFrame:
+    """``weights`` of the texts' tokens. An idf table of up to ``held`` rows goes to the tasks, which count its words in whole batches of texts and
+    give on a row for each text and word; with a larger one all tokens are rows of a join."""
+    if idf_rows.limit(held + 1).count() > held:
+        return weights(token_rows(rows, text, key, stop_words=()), key, idf_rows)
+    known = rows.sparkSession.sparkContext.broadcast(idf_rows.select("tok").toArrow().column(0).combine_chunks().cast(pa.large_string()))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, len(known.value))
+        for batch in batches:
+            for at, texts in runs.slices(batch.column(1)):
+                row, words = runs.runs_of(texts, plain=True, least=2)
+                place = pc.index_in(words, value_set=known.value)
+                here = place.is_valid().to_numpy(zero_copy_only=False)
+                pair, n = np.unique(row[here] * size + place.fill_null(0).to_numpy()[here], return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + pair // size)), known.value.take(pa.array(pair % size)).cast(pa.string()), pa.array(n, pa.int64())], names=[key, "tok", "_c"])
+
+    counted = rows.where(F.col(key).isNotNull()).select(key, F.lower(text).alias("_text")).mapInArrow(count, f"{key} {kind}, tok string, _c long")
+    return _unit(counted.repartition(key), key, idf_rows)  # counts of a text, weights and what is grouped by the key later share one shuffle
+
+
+def _unit(counts: DataFrame, key: str, idf_rows: DataFrame) -> DataFrame:
+    raw = counts.where(F.col(key).isNotNull()).join(idf_rows.select("tok", "idf"), "tok").groupBy(key, "tok", "idf").agg(F.sum("_c").alias("c")).select(key, "tok", (F.col("c") * F.col("idf")).alias("x"))
     return raw.select(key, "tok", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))).alias("w"))
 
 
@@ -135,14 +162,17 @@ def lifting(queries: DataFrame, index: DataFrame, query_key: str, *, least: floa
     return _bounds(queries, index, query_key).where(F.col("_below") >= least - _SLACK).select(query_key, "tok", "w")
 
 
-def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15, crowd: int = 100_000, wide: int = 10_000) -> DataFrame:
+def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int = 5, least: float = 0.15, crowd: int = 100_000, wide: int = 10_000, held: int = 400_000) -> DataFrame:
     """Score, then the ``k`` best of each query over ``least``, of two weight tables (key, tok, w).
 
-    A join by token adds up the scores; both tables are stored before, so texts are read once. Tokens of more than ``wide`` index rows that can lift
+    An index of up to ``held`` rows goes to the tasks (``_scored_in_tasks``), so no pair is shuffled but the best of each query. With a larger one
+    a join by token adds up the scores; both tables are stored before, so texts are read once. Tokens of more than ``wide`` index rows that can lift
     no pair over ``least`` (``lifting``) make no pairs: pairs that others have found, and that can still reach ``least``, look them up. The
     query rows of a token with more than ``crowd`` of them are dealt over several tasks, its index rows go to each of these.
     """
     index = stored(index, "index")
+    if index.count() <= held:
+        return _best(_scored_in_tasks(queries, index, query_key, index_key, k=k, least=least), query_key, index_key, k, least)
     asked = stored(_bounds(queries, index, query_key).withColumn("_late", (F.col("_below") < least - _SLACK) & (F.col("_df") > wide)), "asked")
     early, late = asked.where("not _late"), asked.where("_late")
     hot = F.broadcast(early.groupBy("tok").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("tok", F.ceil(F.col("_n") / crowd).cast("int").alias("_deals")))  # a row for ``crowd`` rows
@@ -156,10 +186,62 @@ def top_similar(queries: DataFrame, index: DataFrame, query_key: str, index_key:
         each = open_pairs.select(query_key, index_key, "score", F.explode_outer("_more").alias("_m")).select(query_key, index_key, "score", F.col("_m.tok").alias("tok"), F.col("_m.w").alias("w"))
         added = each.join(index.select(index_key, "tok", F.col("w").alias("_w")), [index_key, "tok"], "left").groupBy(query_key, index_key, "score").agg(score.alias("_more"))
         pairs = added.select(query_key, index_key, (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"))
+    return _best(pairs, query_key, index_key, k, least)
+
+
+def _best(pairs: DataFrame, query_key: str, index_key: str, k: int, least: float) -> DataFrame:
     order = W.partitionBy(query_key).orderBy(F.desc("score"), F.desc(index_key))
     return pairs.withColumn("score", F.round("score", 4)).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _scored_in_tasks(queries: DataFrame, index: DataFrame, query_key: str, index_key: str, *, k: int, least: float, cells: int = 1 << 21) -> DataFrame:
+    """query_key, index_key, score: all pairs over ``least`` that can be among a query's ``k`` best once scores are rounded.
+
+    A query's tokens are one row; a batch of queries adds up its postings in arrays of ``cells`` numbers (or one query's index rows).
+    """
+    held = index.select(index_key, "tok", "w").toArrow()
+    keys, words = pc.unique(held.column(0)), pc.unique(held.column(1).cast(pa.large_string()))
+    place, item, w = pc.index_in(held.column(1).cast(pa.large_string()), value_set=words).to_numpy(), pc.index_in(held.column(0), value_set=keys).to_numpy(), held.column(2).to_numpy()
+    order = np.argsort(place, kind="stable")
+    start = np.searchsorted(place[order], np.arange(len(words) + 1))
+    shared = index.sparkSession.sparkContext.broadcast((words, keys, start, item[order].astype(np.int64), w[order]))
+    types = {x: (queries if x == query_key else index).schema[x].dataType.simpleString() for x in (query_key, index_key)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, keys, start, item, weight = shared.value
+        n, df = len(keys), np.diff(start)
+        for batch in batches:
+            lists = batch.column(1)
+            parts = lists.flatten()
+            place = pc.index_in(parts.field(0).cast(pa.large_string()), value_set=words)
+            here = place.is_valid().to_numpy(zero_copy_only=False)
+            place, w = place.fill_null(0).to_numpy()[here], parts.field(1).to_numpy()[here]
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())[here]
+            many = max(1, cells // max(1, n))
+            for low in range(0, len(batch) if n else 0, many):
+                high = min(low + many, len(batch))
+                score = np.zeros((high - low) * n)
+                a, b = np.searchsorted(row, (low, high))
+                ends = np.concatenate([[0], np.cumsum(df[place[a:b]])])
+                at = 0
+                while at < b - a:
+                    end = max(at + 1, int(np.searchsorted(ends, ends[at] + cells, side="right")) - 1)
+                    mine = slice(a + at, a + end)
+                    size = df[place[mine]]
+                    posting = np.arange(size.sum()) + np.repeat(start[place[mine]] - (ends[at:end] - ends[at]), size)
+                    score += np.bincount(np.repeat((row[mine] - low) * n, size) + item[posting], np.repeat(w[mine], size) * weight[posting], len(score))
+                    at = end
+                score = score.reshape(-1, n)
+                limit = np.full(len(score), least - _SLACK)
+                if n > k:
+                    limit = np.maximum(limit, np.partition(score, n - k, axis=1)[:, n - k] - 2 * _SLACK)
+                q, i = np.nonzero(score >= limit[:, None])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + q)), keys.take(pa.array(i)), pa.array(score[q, i])], names=[query_key, index_key, "score"])
+
+    one = queries.groupBy(query_key).agg(F.collect_list(F.struct("tok", "w")).alias("_words"))  # tokens of one text
+    return one.mapInArrow(run, f"{query_key} {types[query_key]}, {index_key} {types[index_key]}, score double")
+
+
 def shortlist(pattern_hits: DataFrame, similar: DataFrame, key: str, index_key: str, *, cap: int = 8) -> DataFrame:
     """All pairs with pattern hits, filled up to ``cap`` for each key by the best of the merely similar ones."""
     det = pattern_hits.select(key, index_key).distinct().withColumn("det", F.lit(True))

@@ -331,8 +331,9 @@ def a16_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, b, i = _token_tables(spark, sf_dir)
-    return M.top_similar(M.weights(d, "doc_id", i), M.weights(b, "item_id", i), "doc_id", "item_id")
+    _, b, i = _token_tables(spark, sf_dir)
+    i = stored(i, "idf")
+    return M.top_similar(M.text_weights(texts(spark, sf_dir), "text", "doc_id", i), M.weights(b, "item_id", i), "doc_id", "item_id")
 
 
 @query(f"WITH {SIMILAR} SELECT doc_id, item_id, score, rank FROM top")

@@ -97,3 +97,34 @@ def test_neighbours_in_small_products_equal_brute_force(spark, at_once):
     want = {(q, i, n + 1) for q, a in real.items() for n, (_, i) in enumerate(sorted((-round(cosine(a, b), 4), i) for i, b in real.items() if len(a) == len(b))[:4])}
     got = M.nearest(df.withColumnRenamed("item_id", "query_id"), df, k=4, at_once=at_once)
     assert {(x.query_id, x.item_id, x["rank"]) for x in got.collect()} == want
+
+
+ODD = ["Hello World_1 a über straße abc ABC", None, "", "x", "日本 語abc abc 😀abc", "ábc d́ef", "ab\0cd ef", " tail ", "İstanbul K Kelvin ﬁne ſo", "٣abc ab٣ ab-cd", "é" * 9 + " ab " + "𝒳ab ab𝒳 ②two", "no\nno\tno"]
+
+
+def test_words_of_batches_are_those_of_the_regular_expression(spark):
+    rows = spark.createDataFrame([*enumerate(ODD), (3, "ab x ab"), (None, "ab")], "k int, text string")
+    words = M.token_rows(rows, "text", "k", stop_words=()).select("tok").distinct().where("tok <> 'no'").collect()
+    known = spark.createDataFrame([(w.tok, len(w.tok) + 0.5) for w in words], "tok string, idf double")
+    key = lambda df: sorted((r.k, r.tok, round(r.w, 12)) for r in df.collect())
+    want = key(M.weights(M.token_rows(rows, "text", "k", stop_words=()), "k", known))
+    assert key(M.text_weights(rows, "text", "k", known)) == want == key(M.text_weights(rows, "text", "k", known, held=0)) and len(want) >= 15
+    assert "regexp_extract_all" not in M.text_weights(rows, "text", "k", known)._jdf.queryExecution().toString()
+    assert M.text_weights(rows, "text", "k", known.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("k, cells", [(3, 1 << 21), (3, 7), (100, 50)])
+def test_pairs_are_scored_where_the_query_lies(spark, k, cells):
+    """No row for each token of each pair, and none for each pair: tasks give on what can be among a query's best."""
+    r = random.Random(4)
+    weights = lambda n, key: spark.createDataFrame([(i, f"t{t}", r.choice((0.25, 0.5, r.random()))) for i in range(n) for t in {r.randint(0, 40) ** 2 // 40 for _ in range(8)}], f"{key} int, tok string, w double")
+    queries, index = weights(60, "q").cache(), weights(40, "i").cache()
+    key = lambda df: sorted((x.q, x.i, x.score, x["rank"]) for x in df.collect())
+    joined = M.top_similar(queries, index, "q", "i", k=k, least=0.4, held=0)
+    got = M.top_similar(queries, index, "q", "i", k=k, least=0.4)
+    assert key(got) == key(joined) and len(key(got)) > 100
+    assert "Join" in joined._jdf.queryExecution().toString() and "Join" not in got._jdf.queryExecution().toString()
+    scored = M._scored_in_tasks(queries, index, "q", "i", k=k, least=0.4, cells=cells)
+    assert key(M._best(scored, "q", "i", k, 0.4)) == key(joined)
+    assert k == 100 or scored.count() < queries.join(index.drop("w"), "tok").select("q", "i").distinct().count() / 2
+    assert M.top_similar(queries, index.where("false"), "q", "i").count() == 0
