@@ -320,10 +320,46 @@ def nearest(queries: DataFrame, index: DataFrame, *, k: int = 10, least: float |
     return ranked if least is None else ranked.where(F.col("similarity") >= least)
 
 
-def contained(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", *, held: int = 16_000_000) -> DataFrame:
     """doc_key, item_key: documents that hold the whole text of an item, in any case. Null and empty items are in none.
 
-    An item's longest run of letters and digits stands inside some word of such a document, so the two meet by that word (``literals``) and texts
+    Items of up to ``held`` characters in all go to the tasks. An item's longest inner run of letters and digits, with other characters on both
+    of its sides, is a run of each document that holds the item: only such documents are searched for it, where they are read. Items without
+    an inner run of three bytes or more are tried on every document. Larger tables meet by joins (``_contained_by_joins``).
+    """
+    known = items.select(item_key, F.lower(text).alias("_item")).where("_item <> ''").distinct()
+    if (known.agg(F.sum(F.length("_item"))).first()[0] or 0) > held:
+        return _contained_by_joins(docs, items, doc_key, item_key, text)
+    rows = known.toArrow()
+    names, whole = rows.column(0).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(0).type), rows.column(1).to_pylist()
+    leads = [runs.inner_run(t, literals.GRAM) for t in whole]
+    asked = sorted({w for w in leads if w})
+    of = {w: [] for w in asked}
+    for i, w in enumerate(leads):
+        if w:
+            of[w].append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((names, whole, pa.array(asked, pa.large_string()), [of[w] for w in asked], [i for i, w in enumerate(leads) if not w]))
+    types = {x: (docs if x == doc_key else items).schema[x].dataType.simpleString() for x in (doc_key, item_key)}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, whole, asked, of, rest = shared.value
+        for batch in batches:
+            for at, texts in runs.slices(batch.column(1)):
+                row, words = runs.runs_of(texts, least=literals.GRAM)
+                place = pc.index_in(words, value_set=asked)
+                here = place.is_valid().to_numpy(zero_copy_only=False)
+                pairs = np.unique(row[here] * max(1, len(asked)) + place.fill_null(0).to_numpy()[here])
+                tried: dict[int, list[int]] = {r: list(rest) for r in range(len(texts))} if rest else {}
+                for p in pairs.tolist():
+                    tried.setdefault(p // len(asked), list(rest)).extend(of[p % len(asked)])
+                found = [(at + r, i) for r, them in tried.items() if (t := texts[r].as_py()) for i in them if whole[i] in t]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in found], pa.int64())), names.take(pa.array([i for _, i in found], pa.int64()))], names=[doc_key, item_key])
+
+    return docs.select(doc_key, F.lower(text).alias("_text")).mapInArrow(search, f"{doc_key} {types[doc_key]}, {item_key} {types[item_key]}").distinct()
+
+
+def _contained_by_joins(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str) -> DataFrame:
+    """An item's longest run of letters and digits stands inside some word of such a document, so the two meet by that word (``literals``) and texts
     are fetched for these pairs only. Items without a run of three or more are tried on every document.
     """
     runs = F.regexp_extract_all(literals.fold(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -73,3 +73,10 @@ def runs_of(texts: pa.Array, *, plain: bool = False, least: int = 1) -> tuple[np
     offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held)))
     return np.searchsorted(begin, first, side="right") - 1, words
+
+
+def inner_run(text: str, least: int) -> str | None:
+    """The longest run of ``least`` bytes and more with other characters on both of its sides: a text that holds ``text`` has it as a run of its own."""
+    found, inside = runs_of(pa.array([text]))[1].to_pylist(), _in_runs(np.frombuffer(text.encode(), np.uint8))
+    inner = found[int(inside[0]) : len(found) - int(inside[-1])] if len(inside) else []
+    return max((w for w in inner if len(w.encode()) >= least), key=lambda w: (len(w.encode()), w), default=None)

@@ -128,3 +128,17 @@ def test_pairs_are_scored_where_the_query_lies(spark, k, cells):
     assert key(M._best(scored, "q", "i", k, 0.4)) == key(joined)
     assert k == 100 or scored.count() < queries.join(index.drop("w"), "tok").select("q", "i").distinct().count() / 2
     assert M.top_similar(queries, index.where("false"), "q", "i").count() == 0
+
+
+def test_whole_items_are_found_where_texts_are_read(spark):
+    r = random.Random(8)
+    words = ["Alpha", "beta-ray", "über", "x1", "a", "日本", "no_way", "é", "…", "\n"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(200)] + [None, "", *[x for x in ODD if x]]
+    items = [" ".join(r.choices(words, k=r.randint(1, 3))) for _ in range(40)] + [None, "", "pha b", "ay über x", "lpha BETA-ray a", "日本 a", "abc abc", "ab\0cd", "ab", "🚀"]
+    d, i = spark.createDataFrame([*enumerate(texts), (None, "alpha")], "doc_id int, text string"), spark.createDataFrame([*enumerate(items)], "item_id int, text string")
+    want = {(x.doc_id, x.item_id) for x in d.join(i.withColumnRenamed("text", "item"), F.expr("item <> '' and contains(lower(text), lower(item))")).collect()}
+    got = M.contained(d, i)
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 100
+    assert {tuple(x) for x in M.contained(d, i, held=0).where("doc_id is not null").collect()} == {x for x in want if x[0] is not None}
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert M.contained(d, i.where("false")).count() == 0
