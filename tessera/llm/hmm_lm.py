@@ -4,15 +4,14 @@ Tokens are lower-cased words and one end a document. The ``own`` most frequent w
 word belongs to the symbol of its last bytes, inside which it has its add-one share, and an unseen word has the share of a count
 of 0. The states emit symbols. One state alone gives the base; more states learn languages, registers and word order.
 
-Baum-Welch starts from a bounded sample of segments, then runs whole passes over all training documents, whose expected
-counts are summed across partitions. The scaled forward recursion gives a document's exact log-likelihood.
+Baum-Welch starts from the neighbours of every symbol, counted over all training documents: symbols with like neighbours begin in one
+state. Whole passes over all training documents follow, whose expected counts are summed across partitions; nothing is learnt from a sample. The scaled forward recursion gives a document's exact log-likelihood.
 Counts of frequent words are broadcast (a fixed number); those of all others are joined on the word, so no table of the corpus's
 words meets in one place.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +30,8 @@ SEGMENT = 64
 _CACHE = 400_000
 #: Characters of the texts whose symbols are found at once.
 _CHARS = 1 << 20
+#: Classes of neighbours on each side of a symbol.
+_SIDE = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -178,16 +179,22 @@ def segments_of(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return grid.reshape(-1, SEGMENT), first
 
 
-def _grids(texts: list[str | None], symbols: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Segments of the texts, some at a time."""
+def _flats(texts: list[str | None], symbols: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols of the texts and how many each has, some texts at a time."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "") + 1
         if size >= _CHARS or i + 1 == len(texts):
-            yield segments_of(*symbols.of(texts[at : i + 1]))
+            yield symbols.of(texts[at : i + 1])
             at, size = i + 1, 0
 
 
+def _grids(texts: list[str | None], symbols: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Segments of the texts, some at a time."""
+    for flat, lengths in _flats(texts, symbols):
+        yield segments_of(flat, lengths)
+
+
 @dataclass
 class Model:
     own: list[bytes]
@@ -240,8 +247,9 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in sorted(held, key=lambda r: (-r.n, bytes(r.word)))}
 
 
-def fit(docs: DataFrame, counts: DataFrame, *, states: int = 8, own: int = 4096, frequent: int = 65_536, suffixes: int = 256, passes: int = 2, sample_segments: int = 16_384, weight: float = 50.0, seed: int = 7) -> Model:
-    """Train on all rows of ``docs``; ``counts`` is their stored token table."""
+def fit(docs: DataFrame, counts: DataFrame, *, states: int = 8, own: int = 4096, frequent: int = 65_536, suffixes: int = 256, passes: int = 2, sample_segments: int | None = None, weight: float = 50.0, seed: int = 7) -> Model:
+    """Train on all rows of ``docs``; ``counts`` is their stored token table. ``sample_segments`` is for older callers and has no effect: no
+    segments are sampled."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     documents = docs.count()
     top = frequent_words(counts, frequent)
@@ -264,46 +272,102 @@ def fit(docs: DataFrame, counts: DataFrame, *, states: int = 8, own: int = 4096,
     for r in map_batches(counts, ["word", "n"], "g int, m double", make).groupBy("g").agg(F.sum("m").alias("m")).collect():
         mass[r.g] += r.m
     model = Model(words, suffixes, top, mass, total.n + documents, total.v + (documents > 0), documents)
-    model.hmm = _start(docs, model, states, sample_segments, weight, seed)
+    model.hmm = _start(docs, model, states, weight, seed)
     for _ in range(passes):
         model.hmm = _pass(docs, model, weight)
     return model
 
 
-def _start(docs: DataFrame, model: Model, states: int, sample: int, weight: float, seed: int) -> HMM:
-    """Parameters to start from: a few rounds over about ``sample`` segments, chosen by a hash over the whole corpus.
+def neighbours(docs: DataFrame, model: Model) -> np.ndarray:
+    """symbols x (2 x ``_SIDE``): how often each symbol stands behind and before symbols of each class, over all of ``docs``.
 
-    The share that is drawn follows from the known number of tokens and documents. A segment is drawn in all its copies or in none; copies
-    are counted before they go to the driver, which gets each drawn segment once and repeats it up to twice ``sample`` in all.
+    A frequent word is a class of its own, as are the ends; other symbols share the rest. A document's first symbol stands behind an end.
+    Whole numbers are summed, so partitions do not matter; the driver gets a bounded table.
     """
-    segments = model.tokens / SEGMENT + model.documents
-    limit = int(min(1.0, sample / max(1.0, segments)) * (1 << 32))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size, width = len(model.prior()), 2 * _SIDE
 
     def make():
-        symbols = model.symbols()
+        symbols = shared.value.symbols()
+        classes = _classes(symbols)
 
         def step(texts):
-            out = {"s": [], "first": [], "rank": []}
-            for grid, first in _grids(texts, symbols):
-                rank = np.fromiter((zlib.crc32(g) for g in grid), np.int64, len(grid))
-                for i in np.flatnonzero(rank < limit).tolist():
-                    for x, v in zip(out.values(), (grid[i].tolist(), bool(first[i]), int(rank[i]))):
-                        x.append(v)
-            return out
+            total = np.zeros(size * width, np.int64)
+            for flat, _ in _flats(texts, symbols):
+                here, met = flat.astype(np.int64) * width, classes[flat]
+                behind = np.concatenate([[classes[symbols.end]], met[:-1]])
+                inner = np.flatnonzero(flat != symbols.end)
+                total += np.bincount(here + behind, minlength=len(total)) + np.bincount(here[inner] + _SIDE + met[inner + 1], minlength=len(total))
+            at = np.flatnonzero(total)
+            return {"cell": at.tolist(), "n": total[at].tolist()}
 
         return step
 
-    drawn = map_batches(docs, ["text"], "s array<int>, first boolean, rank long", make).groupBy("s", "first", "rank").agg(F.count("*").alias("n"))
-    rows = []
-    for r in sorted(drawn.collect(), key=lambda r: (r.rank, r.s, r.first)):
-        rows += [r] * min(r.n, 2 * sample - len(rows))
-    rng, prior = np.random.default_rng(seed), model.prior()
-    hmm = HMM.from_counts(np.ones(states), np.ones((states, states)) + 20 * np.eye(states), rng.gamma(0.5, 1, (len(prior), states)) * prior[:, None] * len(rows), prior, weight)
-    if rows:
-        grid, first = np.array([r.s for r in rows], np.int32), np.array([r.first for r in rows])
-        for _ in range(10):
-            hmm = HMM.from_counts(*hmm.expected(grid, first), prior, weight)
-    return hmm
+    got = map_batches(docs, ["text"], "cell int, n long", make).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * width)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(size, width)
+
+
+def _classes(symbols: Symbols) -> np.ndarray:
+    """The class, under ``_SIDE``, of every symbol: half of them are the most frequent words' own, the last is the end's."""
+    own, at = _SIDE // 2, np.arange(symbols.size)
+    out = np.where(at < min(own, symbols.own), at, own + at % (_SIDE - own - 1))
+    out[symbols.end] = _SIDE - 1
+    return out
+
+
+def _start(docs: DataFrame, model: Model, states: int, weight: float, seed: int) -> HMM:
+    """Parameters to start from: ``states`` clusters of symbols by their neighbours over the whole corpus, then rounds of Baum-Welch on these counts."""
+    rng, prior, met = np.random.default_rng(seed), model.prior(), neighbours(docs, model)
+    before, after = met[:, :_SIDE], met[:, _SIDE:]
+    counts = before.sum(1)
+    shares = np.sqrt(np.hstack([side / np.maximum(side.sum(1, keepdims=True), 1) for side in (before, after)]))
+    belongs = np.full((len(prior), states), 0.2 / states)
+    belongs[np.arange(len(prior)), _clusters(shares, np.sqrt(counts), states, rng)] += 0.8
+    belongs *= rng.uniform(0.9, 1.1, belongs.shape)  # clusters without symbols must not stay alike
+    emit, move, classes = belongs * (counts + prior)[:, None], np.ones((states, states)) + np.eye(states), _classes(model.symbols())
+    for _ in range(200):
+        emit, move = _pair_round(emit, move, before, after, classes)
+    shown = (emit + 1e-9 * prior[:, None]) / (emit + 1e-9 * prior[:, None]).sum(1, keepdims=True)
+    return HMM.from_counts(shown.T @ before[:, -1], move, emit, prior, weight)
+
+
+def _pair_round(emit: np.ndarray, move: np.ndarray, before: np.ndarray, after: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Baum-Welch counts of emit and move from pairs: a symbol and the class of the symbol behind which, or before which, it stands."""
+    tiny = 1e-12
+    share = (emit.sum(0) + tiny) / (emit.sum() + tiny)
+    e = emit / (emit.sum(0) + tiny)
+    of_class = np.stack([np.bincount(classes, e[:, i], _SIDE) for i in range(len(move))], 1)
+    onward = (move + tiny) / (move + tiny).sum(1, keepdims=True)
+    back = (share[:, None] * onward).T
+    back /= back.sum(1, keepdims=True)
+    mass, emits, moves = e * share, 0.0, 0.0
+    for table, step, turned in ((after, onward, False), (before, back, True)):
+        ahead = of_class @ step.T
+        ratio = table / (mass @ ahead.T + tiny)
+        emits = emits + mass * (ratio @ ahead)
+        pairs = step * (mass.T @ ratio @ of_class)
+        moves = moves + (pairs.T if turned else pairs)
+    return emits / 2, moves / 2
+
+
+def _clusters(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """The cluster of every row, by weighted k-means from spread centres."""
+    far = np.ones(len(rows))
+    centres = []
+    for _ in range(k):
+        mass = np.cumsum(weights * far)
+        centres.append(rows[min(int(np.searchsorted(mass, rng.random() * mass[-1], side="right")), len(rows) - 1)])
+        gap = ((rows - centres[-1]) ** 2).sum(1)
+        far = gap if len(centres) == 1 else np.minimum(far, gap)
+    centre = np.array(centres)
+    for _ in range(30):
+        place = ((centre**2).sum(1) - 2 * rows @ centre.T).argmin(1)
+        size = np.bincount(place, weights, k)
+        sums = np.stack([np.bincount(place, weights * rows[:, j], k) for j in range(rows.shape[1])], 1)
+        centre = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-9)[:, None], centre)
+    return place
 
 
 def _pass(docs: DataFrame, model: Model, weight: float) -> HMM:

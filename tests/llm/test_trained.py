@@ -275,3 +275,29 @@ def test_copies_of_a_text_reach_the_driver_once(spark, monkeypatch):
     assert max(map(len, sent)) < 1000
     monkeypatch.undo()
     assert scored.where("score is null or isnan(score)").count() == 0 and scored.count() == 20_050
+
+
+def test_language_model_learns_nothing_from_a_sample(spark, docs):
+    part = docs.where("doc_id is not null")
+    options = dict(states=3, own=50, frequent=80, suffixes=16, passes=1)
+    scores = [sorted((r.doc_id, round(r.score, 6)) for r in hmm_lm.score_documents(part.repartition(n), sample_segments=sample, **options).collect()) for n, sample in ((3, 1), (5, 500))]
+    assert scores[0] == scores[1]
+
+
+def test_neighbours_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "_CHARS", 40)
+    random.seed(12)
+    texts = [" ".join(random.choices(["the", "a", "cat", "dogs", "été", "x1"], k=random.randint(0, 9))) for _ in range(60)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = hmm_lm.Model([b"the", b"a"], 7, {b"the": 3, b"a": 2}, np.ones(7), 10, 5, 62)
+    symbols = model.symbols()
+    classes, want = hmm_lm._classes(symbols), np.zeros((symbols.size, 2 * hmm_lm._SIDE))
+    assert classes.max() == classes[symbols.end] < hmm_lm._SIDE and sum(classes == classes[symbols.end]) == 1
+    for t in texts:
+        flat = [symbols.end, *symbols.of([t])[0].tolist()]
+        for a, b in zip(flat, flat[1:]):
+            want[b, classes[a]] += 1
+        for a, b in zip(flat[1:], flat[2:]):
+            want[a, hmm_lm._SIDE + classes[b]] += 1
+    assert np.array_equal(hmm_lm.neighbours(rows, model), want)
+    assert not hmm_lm.neighbours(rows.where("false"), model).any()
